@@ -23,11 +23,18 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def shingles(own: str, width: int) -> Column:
-    """Hashes of the shingles of an array column of words; fewer words than the width make one shingle, none make none."""
-    last = F.greatest(F.size(own) - width, F.lit(0))
-    every = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*(F.get(F.col(own), i + k) for k in range(width))))
-    return F.when(F.size(own) > 0, every).otherwise(F.array().cast("array<bigint>"))
+def shingles(text: Column, width: int) -> Column:
+    """Hashes of a text's word shingles; fewer words than the width make one shingle, none make none.
+
+    The words are bound to a lambda variable, so that they are split once for a text and not once for each shingle.
+    """
+
+    def of(own: Column) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.size(own) - width, F.lit(0)))
+        every = F.transform(places, lambda i: F.xxhash64(*(F.get(own, i + k) for k in range(width))))
+        return F.when(F.size(own) > 0, every).otherwise(F.array().cast("array<bigint>"))
+
+    return F.get(F.transform(F.array(words(text)), of), F.lit(0))
 
 
 def _bounded(table: DataFrame) -> DataFrame:
@@ -47,7 +54,7 @@ def contained(docs: DataFrame, items: DataFrame, share: float = 0.8, width: int
     all its words; null, empty and wordless texts match nothing. Rows that share an id are judged by themselves and give
     a row for each text that matches; repeated rows give one. Null ids match like any other. Other columns play no part.
     """
-    own = items.select(F.col(item_id).alias("item"), words(F.col(item_text)).alias("w")).select("item", F.array_distinct(shingles("w", width)).alias("s"))
+    own = items.select(F.col(item_id).alias("item"), F.array_distinct(shingles(F.col(item_text), width)).alias("s"))
     own = materialize(own.where(F.size("s") > 0).withColumn("n", F.size("s")).distinct(), "items")
     sketch_size = F.col("n") - _least(share, F.col("n")) + 1
     ordered = F.transform(F.array_sort(F.transform("s", lambda h: F.struct(F.xxhash64(h).alias("o"), h.alias("h")))), lambda x: x["h"])
@@ -56,13 +63,13 @@ def contained(docs: DataFrame, items: DataFrame, share: float = 0.8, width: int
     sketch = sketch.withColumn("part", F.floor(F.log2("n")).cast("int")).withColumn("needs", _least(share, F.col("n")))
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    hashed = texts.select(*text_id(F.col("text")), words(F.col("text")).alias("w")).select("t1", "t2", shingles("w", width).alias("s"))
-    seen = hashed.select("t1", "t2", F.size("s").alias("size"), F.floor(F.log2(F.size("s"))).cast("int").alias("parts"), F.explode("s").alias("h"))
+    hashed = texts.select(*text_id(F.col("text")), shingles(F.col("text"), width).alias("s"))
+    seen = hashed.select("t1", "t2", F.size("s").alias("size"), F.floor(F.log2(F.size("s"))).cast("int").alias("parts"), F.explode_outer("s").alias("h"))
     fits = (F.col("parts") >= F.col("part") - 1) & (F.col("size") >= F.col("needs"))
     found = materialize(seen.join(_bounded(sketch), "h").where(fits).select("t1", "t2", "item").distinct(), "candidates")
 
     near = texts.withColumns({c: e for c, e in zip(("t1", "t2"), text_id(F.col("text")), strict=True)}).join(found.select("t1", "t2").distinct(), ["t1", "t2"], "left_semi")
-    near = near.select("id", "t1", "t2", words(F.col("text")).alias("w")).select("id", "t1", "t2", F.explode(shingles("w", width)).alias("h"))
+    near = near.select("id", "t1", "t2", F.explode_outer(shingles(F.col("text"), width)).alias("h"))
     known = _bounded(own.select("item", "n", F.explode("s").alias("h")))
     shared = near.join(known, "h").select("id", "t1", "t2", "item", "n", "h").distinct().groupBy("id", "t1", "t2", "item", "n").agg(F.count("*").alias("n_shared"))
     exact = shared.where(F.col("n_shared") >= _least(share, F.col("n"))).join(found.select("t1", "t2", F.col("item").alias("sought")), [shared.t1 == found.t1, shared.t2 == found.t2, F.col("item").eqNullSafe(F.col("sought"))], "left_semi")
