@@ -52,7 +52,8 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.spans(read(spark, sf_dir, "documents"))
     shown = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["base"] & (x["kind"] == k))).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    number = lambda kind: F.size(F.filter("spans", lambda x: x["base"] & (x["kind"] == kind)))
+    counts = [number(k).cast("long").alias(f"n_{k}") for k in pii.BASE]
     return out.select("doc_id", *counts, F.sha2(shown(F.filter("spans", lambda x: x["base"])).cast("binary"), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
 
 
