@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import q_links, q_retrieval, q_store  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
