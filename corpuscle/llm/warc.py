@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 #: The capture date of tables that have none.
 NO_DATE = "1970-01-01T00:00:00Z"
 #: Fixed patterns of the text extraction, in the order in which they are applied; they mean the same to Java and to RE2.
-DROPPED = r"(?is)<script[^>]*>.*?</script[^>]*>|<style[^>]*>.*?</style[^>]*>|<!--.*?-->"
-BREAKS = r"(?i)</?(?:p|div|br|hr|li|ul|ol|h[1-6]|tr|td|th|table|section|article|nav|header|footer|title|main|aside|blockquote|pre)(?:[ \t\r\n/][^>]*)?>"
-TAGS = r"<[^>]*>"
+DROPPED = r"(?is)<script[^<>]*>.*?</script[^<>]*>|<style[^<>]*>.*?</style[^<>]*>|<!--.*?-->"
+BREAKS = r"(?i)</?(?:p|div|br|hr|li|ul|ol|h[1-6]|tr|td|th|table|section|article|nav|header|footer|title|main|aside|blockquote|pre)(?:[ \t\r\n/][^<>]*)?>"
+TAGS = r"<[^<>]*>"
 BLANKS, LINES = r"[ \t\r\f]+", r" ?\n[ \n]*"
-TITLE = r"(?is)<title[^>]*>(.*?)</title>"
-LANG = r"(?is)<html[^>]* lang=\"([^\"]*)\""
-LINKS = r"(?i)<a [^>]*href=\"([^\"]*)\""
+TITLE = r"(?is)<title[^<>]*>(.*?)</title>"
+LANG = r"(?is)<html[^<>]* lang=\"([^\"]*)\""
+LINKS = r"(?i)<a [^<>]*href=\"([^\"]*)\""
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 
