@@ -178,12 +178,12 @@ def tiered_quota(spark, d):
     return ranking.tiered_quota(hits)
 
 
-@query("doc_top3_sum", f"WITH {C}, {BQ}, {bm25_sql(60, 'bench')} SELECT query_id, doc_id, round(sum(score), 4) AS importance FROM (SELECT query_id, split_part(pk, '::', 1) doc_id, score, row_number() OVER (PARTITION BY query_id, split_part(pk, '::', 1) ORDER BY score DESC, pk) k FROM bm25) WHERE k <= 3 GROUP BY ALL")
+@query("doc_top3_sum", f"WITH {C}, {BQ}, {bm25_sql(60, 'bench')} SELECT query_id, doc_id, CAST(round(sum(CAST(score AS DECIMAL(20, 6))), 4) AS DOUBLE) AS importance FROM (SELECT query_id, split_part(pk, '::', 1) doc_id, score, row_number() OVER (PARTITION BY query_id, split_part(pk, '::', 1) ORDER BY score DESC, pk) k FROM bm25) WHERE k <= 3 GROUP BY ALL")
 def doc_top3_sum(spark, d):
     from corpuscle.operators.retrieval import top_k
 
     hits = bm25(benchmark_queries(spark, d), chunks(spark, d), 60).drop("rank").withColumn("doc_id", F.split_part("pk", F.lit("::"), F.lit(1)))
-    return top_k(hits, 3, ["query_id", "doc_id"]).groupBy("query_id", "doc_id").agg(F.round(F.sum("score"), 4).alias("importance"))
+    return top_k(hits, 3, ["query_id", "doc_id"]).groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("score").cast("decimal(20,6)")), 4).cast("double").alias("importance"))
 
 
 @query("prefix_dedup", f"WITH {C} SELECT pk FROM (SELECT pk, row_number() OVER (PARTITION BY doc_id, substr({_SQ.format('content')}, 1, 80) ORDER BY length(content) DESC, pk) k FROM chunks) WHERE k = 1")
