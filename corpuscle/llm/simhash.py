@@ -204,7 +204,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
 
     Rows with a null id are kept: nothing tells them apart.
     """
-    classes = near_duplicates(docs, id_col, text_col, words, radius)
+    return smallest_of_each(docs, near_duplicates(docs, id_col, text_col, words, radius), id_col)
+
+
+def smallest_of_each(docs: DataFrame, classes: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` that ``classes`` (<id_col>, component_id) gives the smallest id, as :func:`keep_one` has them."""
     gone = classes.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
     left = docs.join(gone, id_col, "left_anti").select(docs.columns)
     named = left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
