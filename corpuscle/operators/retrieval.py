@@ -16,6 +16,8 @@ from corpuscle.functions.words import DENSE_WEIGHT, LEAST_WEIGHT, MOST_WEIGHT
 K1, B, RRF_K, DIGITS = 1.5, 0.75, 60, 5
 #: Query vectors that one pass over the vectors compares: a bound of what is sent to each task.
 QUERY_BLOCK = 4096
+#: Query vectors whose scores are held at a time.
+QUERY_COLUMNS = 256
 
 
 def top_k(hits: DataFrame, k: int, by: Sequence[str] = ("query_id",), score: str = "score", tie: str = "pk") -> DataFrame:
@@ -65,8 +67,8 @@ bm25 AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id
 def dense(queries: DataFrame, vectors: DataFrame, k: int, key: str = "pk", vector: str = "embedding") -> DataFrame:
     """``(query_id, key, score, rank)`` of the k largest inner products of each query ``(query_id, q_vec)``.
 
-    Exact: blocks of query vectors are sent to the tasks, each task keeps the best of its own rows by matrix product, and
-    a window merges them. A block has QUERY_BLOCK vectors at most; more queries mean more passes, not larger blocks.
+    Exact, ties of rounded scores included: blocks of query vectors are sent to the tasks, each task keeps the best of its
+    own rows by matrix product, and a window merges them. A block has QUERY_BLOCK vectors at most; more queries mean more passes, not larger blocks.
     """
     kind = vectors.schema[key].dataType
     asked = queries.select("query_id", "q_vec").where("q_vec IS NOT NULL")
@@ -79,21 +81,30 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int, key: str = "pk", vecto
             continue
         ids = [r["query_id"] for r in rows]
         matrix = np.array([r["q_vec"] for r in rows], np.float64)
-        found = vectors.select(key, vector).where(F.col(vector).isNotNull()).mapInPandas(lambda f, ids=ids, m=matrix: _best(f, ids, m, k + 16, key), f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {kind.simpleString()}, score double")
+        found = vectors.select(key, vector).where(F.col(vector).isNotNull()).mapInPandas(lambda f, ids=ids, m=matrix: _best(f, ids, m, k, key), f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {kind.simpleString()}, score double")
         out = found if out is None else out.unionByName(found)
     if out is None:
         return vectors.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {kind.simpleString()}, score double, rank int")
-    return top_k(out.withColumn("score", F.round("score", DIGITS)), k, tie=key)
+    return top_k(out, k, tie=key)
 
 
-def _best(frames: Iterator[pd.DataFrame], ids: list, matrix: np.ndarray, most: int, key: str) -> Iterator[pd.DataFrame]:
+def _best(frames: Iterator[pd.DataFrame], ids: list, matrix: np.ndarray, k: int, key: str) -> Iterator[pd.DataFrame]:
+    """The k best rows of each frame for each query: by rounded score, and of equal scores the smaller keys."""
     for frame in frames:
         if not len(frame):
             continue
-        own, scores = frame[key].to_numpy(), np.stack(frame.iloc[:, 1].to_numpy()).astype(np.float64) @ matrix.T
-        n = min(most, len(own))
-        pick = np.argpartition(-scores, n - 1, axis=0)[:n]
-        yield pd.DataFrame({"query_id": np.repeat(ids, n), key: own[pick.T.ravel()], "score": np.take_along_axis(scores, pick, 0).T.ravel()})
+        frame = frame.sort_values(key, na_position="first")
+        own, vectors = frame[key].to_numpy(), np.stack(frame.iloc[:, 1].to_numpy()).astype(np.float64)
+        n = min(k, len(own))
+        for at in range(0, len(ids), QUERY_COLUMNS):
+            scores = vectors @ matrix[at : at + QUERY_COLUMNS].T
+            scores = np.copysign(np.floor(np.abs(scores) * 10**DIGITS + 0.5) / 10**DIGITS, scores)  # halves away from zero, as DuckDB
+            order = np.where(np.isnan(scores), np.inf, scores)
+            last = np.partition(order, len(own) - n, axis=0)[len(own) - n]
+            above, ties = order > last, order == last
+            pick = above | ties & (np.cumsum(ties, axis=0) <= n - above.sum(axis=0))
+            q, row = np.nonzero(pick.T)
+            yield pd.DataFrame({"query_id": np.asarray(ids)[at + q], key: own[row], "score": scores[row, q]})
 
 
 def dense_sql(k: int, queries: str, source: str, key: str, vector: str = "embedding") -> str:
