@@ -266,7 +266,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, text_col: str = "text") -
     whole = contexts.where("n > 1").select("gram", "context", F.lit(None).cast("array<int>").alias("spans"))
 
     wanted = contexts.where("mixed").groupBy("t1", "t2").agg(F.collect_list(F.struct("gram", "context", "packed")).alias("wanted"))
-    pieces = texts.join(wanted, ["t1", "t2"]).select("data", "wanted").mapInArrow(lambda b: _contexts(b, length), "gram long, context long, place int, run int, data binary")
+    # a text once, however many copies it has: a gram's rows are then as many as its contexts, GROUP at most
+    pieces = texts.dropDuplicates(["t1", "t2"]).join(wanted, ["t1", "t2"]).select("data", "wanted").mapInArrow(lambda b: _contexts(b, length), "gram long, context long, place int, run int, data binary")
     sizes = contexts.where("mixed").groupBy("gram").agg(F.count("*").alias("size"))
     large = sizes.where(F.col("size") > GROUP).select("gram")
     pieces = materialize(pieces, "pieces")

@@ -59,3 +59,14 @@ def test_odd_rows(spark):
     assert results(suffix_dedup.remove_repeats(short)) == sorted((str(i), *x) for (i, _), x in zip(items, brute([t for _, t in items], 400), strict=True))
     assert suffix_dedup.remove_repeats(docs).count() == docs.count()
     assert suffix_dedup.remove_repeats(none(spark)).count() == 0
+
+
+def test_copies_of_a_text_give_each_context_once(spark, monkeypatch):
+    kept, write = {}, suffix_dedup.materialize
+    monkeypatch.setattr(suffix_dedup, "materialize", lambda df, name: kept.update({name: write(df, name)}) or kept[name])
+    rng = random.Random(3)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    texts = [base] * 40 + [base[:500] + "#" + base[501:], "other words" + base[300:620]]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(4)
+    assert results(suffix_dedup.remove_repeats(docs, 120)) == sorted((str(i), *x) for i, x in enumerate(brute(texts, 120)))
+    assert 0 < kept["pieces"].count() == kept["pieces"].select("gram", "context").distinct().count()
