@@ -121,7 +121,9 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     of_path = urls.select("host", "path", steps.alias("token")).where("token != ''").withColumn("token", F.concat(F.lit("/"), "token"))
     tokens = materialize(of_host.union(of_path).groupBy("host", "path", "token").agg(F.count("*").alias("n")), "tokens")
 
-    marked = tokens.where(F.col("token").isin(*SEEDS)).select("host", "path").distinct().withColumn("bad", F.lit(1))
+    # path tokens have a / before them, and 0 for digits, at which host names are split
+    seeded = F.exists(F.split("token", "[^a-z]+"), lambda word: word.isin(*SEEDS))
+    marked = tokens.where(seeded).select("host", "path").distinct().withColumn("bad", F.lit(1))
     classed = tokens.join(marked, ["host", "path"], "left").withColumn("bad", F.coalesce("bad", F.lit(0)))
     model = classed.groupBy("token").agg(F.sum(F.col("n") * F.col("bad")).alias("b"), F.sum(F.col("n") * (1 - F.col("bad"))).alias("a"))
     model = materialize(model, "model")

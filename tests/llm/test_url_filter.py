@@ -59,3 +59,11 @@ def test_concatenated_seed_words_are_blocked(spark):
     out = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(good + bad, "page_id long, url string, html string"), []).collect()}
     assert {out[i] for i, *_ in good} == {"allow"}
     assert {out[i] for i, *_ in bad} == {"block"}
+
+
+def test_seed_words_in_the_path_alone_are_blocked(spark):
+    good = [(i, f"http://news{i % 7}.example.com/story/report/{i}", "the best news report story about town and river") for i in range(200)]
+    bad = [(1000 + i, f"http://pages{i % 5}.example.org/{'casino' if i % 2 else 'Casino77'}/list/{i}", "a list of pages") for i in range(60)]
+    out = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(good + bad, "page_id long, url string, html string"), []).collect()}
+    assert {out[i] for i, *_ in good} == {"allow"}
+    assert {out[i] for i, *_ in bad} == {"block"}
