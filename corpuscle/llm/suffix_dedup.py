@@ -4,9 +4,13 @@ As in external suffix sorting by induction, only sampled suffixes are sorted by
 and the common-prefix values of neighbours, follow from those by prepending one byte at a time. The samples are chosen by
 content: of the short grams in a window of ``length`` bytes the one with the least hash. Equal windows choose the same
 gram at the same offset, so all suffixes that can share ``length`` bytes have a sample with the same gram to their right.
-That makes the groups of suffixes with one sample gram independent, and Spark deals them out. Its external sort (memory
-first, then sorted runs on disk, merged by a queue) stands for the disk-backed priority queues: it brings the suffix
-tuples of a shard in order, however large the shard. One shard's tuples are then induced in blocks of bounded size.
+That makes the groups of suffixes with one sample gram independent, and Spark deals them out as shards.
+
+Spark's external sort (memory first, then sorted runs on disk, merged by a queue) stands for the disk-backed priority
+queues: it brings the tuples of a shard in the order of their sampled suffixes, however large the task's share. The
+tuples then pass in blocks of bounded size. A shard of more tuples than a block is dealt out again by half of the bytes
+that its tuples have yet to share, on either side of what they share for certain; so it goes on, in halves, until the
+shards fit or share a whole window.
 """
 
 from __future__ import annotations
@@ -21,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import materialize, text_bytes, text_id
+from ._common import join_uneven, materialize, text_bytes, text_id, without_uneven
 
 #: Bytes of the sampled grams. Long enough that short set phrases don't make groups, short enough that samples are rare.
 GRAM = 100
 #: Windows sampled at a time in a long text; positions in such a block fit in 20 bits.
 BLOCK = 1 << 19
-#: Suffix tuples induced at a time, and the distinct contexts of one gram above which its windows are dealt out singly.
+#: Suffix tuples induced at a time (more only to end a shard), and the tuples of a shard above which it is dealt out again.
 TUPLES, GROUP = 1 << 14, 1 << 15
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -106,30 +110,27 @@ def _batch(columns: list[list[np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["t1", "t2", "gram", "context", "packed"])
 
 
+PIECES = "gram long, context long, run int, head binary, tail binary"
+
+
 def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The bytes of each wanted run: from its first window's start to its last window's end."""
+    """The bytes of each wanted run from its first window's start to its last window's end, cut before the sample."""
+    names = ["gram", "context", "run", "head", "tail"]
     for batch in batches:
-        gram, context, offset, run, data = [], [], [], [], []
-        size = 0
+        out: list[tuple] = []
         for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
             raw = text.as_py()
             for w in wanted.as_py():
-                first, r = w["packed"] >> 20, w["packed"] & 1023
-                gram.append(w["gram"])
-                context.append(w["context"])
-                offset.append((w["packed"] >> 10) & 1023)
-                run.append(r)
-                data.append(raw[first : first + r + length])
-                size += 1
-            if size > 1 << 14:
-                yield _context_batch(gram, context, offset, run, data)
-                gram, context, offset, run, data, size = [], [], [], [], [], 0
-        if size:
-            yield _context_batch(gram, context, offset, run, data)
+                first, place, run = w["packed"] >> 20, (w["packed"] >> 10) & 1023, w["packed"] & 1023
+                out.append((w["gram"], w["context"], run, raw[first : first + place], raw[first + place : first + run + length]))
+            if len(out) > 1 << 14:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), _PIECES, strict=True)], names=names)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), _PIECES, strict=True)], names=names)
 
 
-def _context_batch(gram, context, offset, run, data) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(context, pa.int64()), pa.array(offset, pa.int32()), pa.array(run, pa.int32()), pa.array(data, pa.binary())], names=["gram", "context", "place", "run", "data"])
+_PIECES = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
 
 
 def _least_between(lcp: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -152,14 +153,13 @@ def _least_between(lcp: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.nda
 def induced(group: np.ndarray, offset: np.ndarray, run: np.ndarray, data: list[bytes], length: int) -> list[np.ndarray]:
     """For each context the windows (as distances from its first) whose bytes another context of its group has too.
 
-    group: sorted; contexts with the same group share the sampled gram, ``offset`` bytes after their start. The suffixes
-    at the samples are sorted by their bytes; the suffix one byte to the left then has its place by that byte and the
-    place so far, and its common prefix with its new neighbour is one more than the least between them before.
+    Contexts come in the order of their groups and of the suffixes at their samples, ``offset`` bytes after their start.
+    The suffix one byte to the left then has its place by that byte and the place so far, and its common prefix with its
+    new neighbour is one more than the least between them before.
     """
     n = len(data)
     found: list[list[int]] = [[] for _ in range(n)]
-    order = np.array(sorted(range(n), key=lambda i: (group[i], data[i][offset[i] :])), np.int64)
-    lcp = np.zeros(n, np.int64)
+    order, lcp = np.arange(n), np.zeros(n, np.int64)
     for at in range(0, n, 4096):  # neighbours' common prefixes, a block of padded rows at a time
         own = order[max(0, at - 1) : at + 4096]
         width = 2 * length
@@ -206,19 +206,18 @@ def _spans_of(windows: np.ndarray) -> list[int]:
 
 
 def _induce(frames: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
-    """frames: contexts ordered by gram and context; the repeated windows of each that has any."""
+    """frames: tuples ordered by shard and sampled suffix; the repeated windows of each that has any."""
     rest: list[pd.DataFrame] = []
     held = 0
 
     def solved(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates(["gram", "context"])
-        group = np.unique(frame["gram"].to_numpy(), return_inverse=True)[1]
-        by = np.argsort(group, kind="stable")
-        frame = frame.iloc[by]
-        windows = induced(group[by], frame["place"].to_numpy(np.int64), frame["run"].to_numpy(np.int64), frame["data"].tolist(), length)
-        own = np.array([len(w) > 0 for w in windows])
-        out = frame.loc[own, ["gram", "context"]].copy()
-        out["spans"] = [_spans_of(w) for w in windows if len(w)]
+        group = np.unique(frame["shard"].to_numpy(), return_inverse=True)[1]
+        heads = frame["head"].tolist()
+        offset = np.array([len(h) for h in heads], np.int64)
+        data = [h + t for h, t in zip(heads, frame["tail"], strict=True)]
+        windows = induced(group, offset, frame["run"].to_numpy(np.int64), data, length)
+        out = frame.loc[np.array([len(w) > 0 for w in windows], bool), ["gram", "context"]].copy()
+        out["spans"] = pd.Series([_spans_of(w) for w in windows if len(w)], index=out.index, dtype=object)
         return out
 
     for frame in frames:
@@ -226,25 +225,48 @@ def _induce(frames: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFram
         held += len(frame)
         if held >= TUPLES:
             frame = pd.concat(rest, ignore_index=True)
-            gram = frame["gram"].to_numpy()
-            cut = int(np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])[-1])  # the last gram may go on
-            if cut:
-                yield solved(frame.iloc[:cut])
+            shard = frame["shard"].to_numpy()
+            cut = int(np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])[-1])  # the last shard may go on
+            if cut and len(out := solved(frame.iloc[:cut])):
+                yield out
             rest, held = [frame.iloc[cut:]], len(frame) - cut
-    if held:
-        yield solved(pd.concat(rest, ignore_index=True))
+    if held and len(out := solved(pd.concat(rest, ignore_index=True))):
+        yield out
 
 
-def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """A row for each single window of a context: its distance from the sample and a 128-bit digest of its bytes."""
-    for batch in batches:
-        for gram, context, place, run, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            digests = [xxhash.xxh3_128_intdigest(data[w : w + length]) for w in range(run + 1)]
-            n = len(digests)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([gram] * n, pa.int64()), pa.array([context] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([place - w for w in range(n)], pa.int32()), pa.array(np.array([d >> 64 for d in digests], np.uint64).view(np.int64)), pa.array(np.array([d & (2**64 - 1) for d in digests], np.uint64).view(np.int64))],
-                names=["gram", "context", "window", "distance", "d1", "d2"],
-            )
+def _repeated_windows(pieces: DataFrame, length: int) -> DataFrame:
+    """``(gram, context, spans)`` for the contexts that share windows with another context of their gram.
+
+    Two contexts that share a window hold it at one offset from the sample. Of the bytes of the window that a shard's
+    tuples don't share for certain (``left`` bytes before the sample and ``right`` from it), half at least are on one
+    side of those; so a tuple of a shard that is too large goes on to a shard of that many more bytes to its left, and
+    one to its right, and each pair that shares a window meets again in one of the two.
+    """
+    found, now = [], pieces.select("*", F.col("gram").alias("shard"), F.lit(0).alias("left"), F.lit(GRAM).alias("right"))
+    for level in range(length.bit_length() + 1):
+        now = materialize(now, f"pieces-{level}")
+        large = materialize(now.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > GROUP), f"large-shards-{level}")
+        some, rest = bool(large.head(1)), F.lit(length) - F.col("left") - F.col("right")
+        small = without_uneven(now, large, ["shard"], now.count()) if some else now
+        small = small.repartition("shard").sortWithinPartitions("shard", "tail")
+        found.append(small.mapInPandas(lambda f: _induce(f, length), "gram long, context long, spans array<int>"))
+        if not some:
+            break
+        own = join_uneven(now, large, ["shard"], now.count())
+        # what shares a whole window has it, however many they are
+        window = F.octet_length("head") - F.col("left")
+        found.append(own.where((rest <= 0) & window.between(0, F.col("run"))).select("gram", "context", F.array(window, window).alias("spans")))
+        half = F.ceil(rest / 2).cast("int")
+        before = F.substring(F.col("head"), F.octet_length("head") - F.col("left") - half + 1, half)
+        after = F.substring(F.col("tail"), F.col("right") + 1, half)
+        onward = [F.struct(F.xxhash64(F.lit(side), "shard", part).alias("shard"), (F.col("left") + (half if not side else 0)).alias("left"), (F.col("right") + (half if side else 0)).alias("right"), F.octet_length(part).alias("size")) for side, part in enumerate((before, after))]
+        more = own.where(rest > 0).select("gram", "context", "run", "head", "tail", half.alias("half"), F.explode(F.array(*onward)).alias("to"))
+        whole = F.when(F.col("to.left") > F.octet_length("head"), False).otherwise(F.col("to.size") == F.col("half"))
+        now = more.where(whole).select("gram", "context", "run", "head", "tail", "to.shard", "to.left", "to.right")
+    every = found[0]
+    for more in found[1:]:
+        every = every.union(more)
+    return every.groupBy("gram", "context").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 def repeated_spans(docs: DataFrame, length: int = 400, text_col: str = "text") -> DataFrame:
@@ -258,31 +280,20 @@ def repeated_spans(docs: DataFrame, length: int = 400, text_col: str = "text") -
     data = text_bytes(text_col)
     texts = docs.select(*text_id(data), data.alias("data")).where(F.length("data") >= length)
     runs = materialize(texts.mapInArrow(lambda b: _runs(b, length), RUNS), "runs")
-    grams = runs.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("c1"), F.max("context").alias("c2")).where("n > 1")
+    grams = runs.groupBy("gram").agg(F.count("*").alias("n"), (F.min("context") != F.max("context")).alias("mixed")).where("n > 1")
     # only grams that occur again matter: few rows go on
-    own = materialize(runs.join(grams.select("gram", (F.col("c1") != F.col("c2")).alias("mixed")), "gram"), "repeated-grams")
+    own = materialize(join_uneven(runs, materialize(grams, "grams"), ["gram"], runs.count()).drop("n"), "repeated-grams")
     contexts = own.groupBy("gram", "context", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "packed")).alias("at"))
     contexts = materialize(contexts.select("gram", "context", "mixed", "n", "at.*"), "contexts")
-    whole = contexts.where("n > 1").select("gram", "context", F.lit(None).cast("array<int>").alias("spans"))
+    whole = contexts.where("n > 1").select("gram", "context", "n", F.lit(None).cast("array<int>").alias("spans"))
 
     wanted = contexts.where("mixed").groupBy("t1", "t2").agg(F.collect_list(F.struct("gram", "context", "packed")).alias("wanted"))
-    # a text once, however many copies it has: a gram's rows are then as many as its contexts, GROUP at most
-    pieces = texts.dropDuplicates(["t1", "t2"]).join(wanted, ["t1", "t2"]).select("data", "wanted").mapInArrow(lambda b: _contexts(b, length), "gram long, context long, place int, run int, data binary")
-    sizes = contexts.where("mixed").groupBy("gram").agg(F.count("*").alias("size"))
-    large = sizes.where(F.col("size") > GROUP).select("gram")
-    pieces = materialize(pieces, "pieces")
-    small = pieces.join(large, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram", "context")
-    part = small.mapInPandas(lambda f: _induce(f, length), "gram long, context long, spans array<int>")
-    # a gram with very many contexts: its windows one by one, counted by digest with sums before the shuffle
-    single = materialize(pieces.join(large, "gram", "left_semi").dropDuplicates(["gram", "context"]).mapInArrow(lambda b: _windows(b, length), "gram long, context long, window int, distance int, d1 long, d2 long"), "windows")
-    again = single.groupBy("gram", "distance", "d1", "d2").count().where("count > 1").drop("count")
-    many = single.join(again, ["gram", "distance", "d1", "d2"], "left_semi").groupBy("gram", "context").agg(F.collect_set("window").alias("w"))
-    many = many.select("gram", "context", F.flatten(F.transform("w", lambda w: F.array(w, w))).alias("spans"))
-
-    partial = part.union(many).join(contexts.where("n = 1").select("gram", "context"), ["gram", "context"], "left_semi")
+    # a text once, however many copies it has: a gram's tuples are then as many as its contexts
+    pieces = texts.dropDuplicates(["t1", "t2"]).join(wanted, ["t1", "t2"]).select("data", "wanted").mapInArrow(lambda b: _contexts(b, length), PIECES)
+    partial = _repeated_windows(pieces, length).join(contexts.where("n = 1").select("gram", "context", "n"), ["gram", "context"])
     spans = materialize(whole.unionByName(partial), "spans")
     first, run = F.shiftright("packed", 20), F.col("packed").bitwiseAND(1023)
-    hit = own.join(spans, ["gram", "context"]).select("t1", "t2", first.alias("first"), F.coalesce("spans", F.array(F.lit(0), run.cast("int"))).alias("spans"))
+    hit = join_uneven(own, spans, ["gram", "context"], own.count()).select("t1", "t2", first.alias("first"), F.coalesce("spans", F.array(F.lit(0), run.cast("int"))).alias("spans"))
     each = F.transform(F.sequence(F.lit(0), F.size("spans") - 2, F.lit(2)), lambda i: F.struct((F.col("first") + F.get("spans", i)).alias("start"), (F.col("first") + F.get("spans", i + 1) + length).alias("end")))
     return hit.select("t1", "t2", F.inline(each)).groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 

@@ -40,7 +40,7 @@ def test_whole_table_against_brute_force(spark, tiny):
 
 @pytest.mark.parametrize("group", [1 << 15, 2])
 def test_planted_repeats(spark, monkeypatch, group):
-    monkeypatch.setattr(suffix_dedup, "GROUP", group)  # 2: nearly every gram is counted window by window
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)  # 2: nearly every shard is dealt out again
     monkeypatch.setattr(suffix_dedup, "TUPLES", 64)
     rng = random.Random(9)
     word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
@@ -69,4 +69,15 @@ def test_copies_of_a_text_give_each_context_once(spark, monkeypatch):
     texts = [base] * 40 + [base[:500] + "#" + base[501:], "other words" + base[300:620]]
     docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(4)
     assert results(suffix_dedup.remove_repeats(docs, 120)) == sorted((str(i), *x) for i, x in enumerate(brute(texts, 120)))
-    assert 0 < kept["pieces"].count() == kept["pieces"].select("gram", "context").distinct().count()
+    assert 0 < kept["pieces-0"].count() == kept["pieces-0"].select("gram", "context").distinct().count()
+
+
+def test_shared_grams_without_a_repeat(spark):
+    docs = spark.createDataFrame([(1, "x" * 30_000), (2, "x" * 600 + "b"), (3, "y" * 399)], "doc_id long, text string")
+    expected = sorted((str(i), *x) for i, x in enumerate(brute(["x" * 30_000, "x" * 600 + "b", "y" * 399], 400), 1))
+    assert results(suffix_dedup.remove_repeats(docs)) == expected
+    rng = random.Random(5)
+    near = ["".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(4)]  # a shared gram, no shared window
+    texts = [near[0] + near[1], near[2] + near[1][:110] + near[3]]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    assert results(suffix_dedup.remove_repeats(docs)) == sorted((str(i), *x) for i, x in enumerate(brute(texts, 400)))
