@@ -1,32 +1,31 @@
 """SimHash near-duplicates: fingerprints, BK-trees per shard of the fingerprints, connected components.
 
 A BK-tree keys the children of a node by their integer Hamming distance to it, so a search of radius r at distance d
-follows the edges d-r to d+r only. One tree over all fingerprints would have to be collected to be broadcast, and that
-collection grows with the corpus; so the trees are built per shard, and the shards are dealt out by a shuffle. A shard
-holds the fingerprints that agree on two of four 16-bit blocks: two fingerprints that differ in at most two bits agree
-on two blocks at least, so each linked pair meets in a shard.
+follows the edges d-r to d+r only. Broadcasting the trees would bring the fingerprints of the whole corpus to the driver;
+so the trees are built per shard, the shards are dealt out by a shuffle, and a shard's tree is searched where it is. A
+shard holds fingerprints that agree on the first bits of one of three blocks of 21 or 22 bits: two fingerprints that
+differ in at most two bits agree on a whole block at least, so each linked pair meets in a shard.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import materialize, text_bytes
+from ._common import join_uneven, materialize, text_bytes, text_id, without_uneven
 from .components import connected_components
 
-#: Fingerprints in one shard; larger shards are split by the bits on which they don't agree yet, to 2**16 at most.
-SHARD_ROWS = 1 << 16
-#: Values in a leaf of a tree; they are compared as one numpy block.
-LEAF = 256
+#: Fingerprints in a shard, about; shards of over SPLIT times as many are dealt out again by the bits they don't share.
+SHARD_ROWS, SPLIT = 1 << 12, 4
+#: Queries that go down a tree together: a bound of the pairs of query and node held at a time.
+QUERIES = 1 << 11
 #: Hashes whose bits are unpacked at a time (64 bytes each).
 BLOCK = 1 << 16
 MAX_RADIUS = 2
@@ -51,48 +50,55 @@ def fingerprint(text: bytes, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """``(<id_col>, fp)`` for each row, fp a signed 64-bit fingerprint; a null text counts as empty."""
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
+    """``(<id_col>, t1, t2, fp)`` for each row: the text's name, a signed 64-bit fingerprint; a null text counts as empty."""
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("t1", "t2", "fp"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(x.as_py(), words) for x in batch.column(1)), np.uint64, len(batch))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=[id_col, "fp"])
+            found = np.fromiter((fingerprint(x.as_py(), words) for x in batch.column(3)), np.uint64, len(batch))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found.view(np.int64))], names=[id_col, "t1", "t2", "fp"])
 
-    return docs.select(F.col(id_col), text_bytes(text_col).alias("text")).mapInArrow(run, schema)
+    data = text_bytes(text_col)
+    return docs.select(F.col(id_col), *text_id(data), data.alias("text")).mapInArrow(run, schema)
 
 
 class BKTree:
-    """A BK-tree over 64-bit values with array leaves; searches run for many queries at once."""
+    """A BK-tree over distinct 64-bit values: node k is ``values[k]``, and ``child`` lists the nodes in the order of ``key``.
+
+    ``key`` is 65 times the parent plus the distance to it, so the edges of a node within a range are one slice.
+    """
 
     def __init__(self, values: np.ndarray):
         self.values = values
-        self.root = self._build(np.arange(len(values)))
-
-    def _build(self, own: np.ndarray):
-        if len(own) <= LEAF:
-            return own
-        distance = np.bitwise_count(self.values[own] ^ self.values[own[0]])
-        return own[0], {int(k): self._build(own[distance == k]) for k in np.unique(distance)} if distance.any() else {0: own}
+        parent, edge = np.zeros(len(values), np.int64), np.zeros(len(values), np.int64)
+        own = np.arange(1, len(values))
+        at = np.zeros(len(own), np.int64)  # the node that each value not yet in the tree has come to
+        while len(own):
+            distance = np.bitwise_count(values[own] ^ values[at]).astype(np.int64)
+            _, first, same = np.unique(at * 65 + distance, return_index=True, return_inverse=True)
+            parent[own[first]], edge[own[first]] = at[first], distance[first]
+            at = own[first][same]
+            left = np.ones(len(own), bool)
+            left[first] = False
+            own, at = own[left], at[left]
+        key = parent * 65 + edge
+        self.child = 1 + np.argsort(key[1:], kind="stable")
+        self.key = key[self.child]
 
     def pairs(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Blocks of (index of query, index of value) within the radius."""
-        todo = [(self.root, np.arange(len(queries)))]
-        while todo:
-            node, own = todo.pop()
-            if not len(own):
-                continue
-            if isinstance(node, np.ndarray):
-                for at in range(0, len(own), 4096):
-                    part = own[at : at + 4096]
-                    near = np.bitwise_count(queries[part, None] ^ self.values[node][None, :]) <= radius
-                    i, j = np.nonzero(near)
-                    yield part[i], node[j]
-                continue
-            pivot, children = node
-            distance = np.bitwise_count(queries[own] ^ self.values[pivot]).astype(np.int64)
-            for k, child in children.items():
-                todo.append((child, own[np.abs(distance - k) <= radius]))
+        for at in range(0, len(queries) if len(self.values) else 0, QUERIES):
+            query = np.arange(at, min(at + QUERIES, len(queries)))
+            node = np.zeros(len(query), np.int64)
+            while len(query):
+                distance = np.bitwise_count(queries[query] ^ self.values[node]).astype(np.int64)
+                near = distance <= radius
+                yield query[near], node[near]
+                start = np.searchsorted(self.key, node * 65 + np.maximum(distance - radius, 1))
+                count = np.searchsorted(self.key, node * 65 + np.minimum(distance + radius, 64), side="right") - start
+                total = np.cumsum(count)
+                query = np.repeat(query, count)
+                node = self.child[np.repeat(start - total + count, count) + np.arange(len(query))]
 
 
 def _join(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -152,35 +158,49 @@ def _last_flagged(items: Iterator) -> Iterator[tuple[bool, object]]:
         yield True, held
 
 
-def _block_keys(fp: Column, bits: int, offset: int, tag: Column | None = None) -> Column:
-    """An array of keys: the value of each pair of the four blocks of this many bits from offset, with the pair's number."""
-    block = [F.shiftrightunsigned(fp, offset + bits * i).bitwiseAND((1 << bits) - 1) for i in range(4)]
-    tagged = [] if tag is None else [tag]
-    return F.array(*(F.struct(F.xxhash64(*tagged, F.lit(i), F.lit(j), block[i], block[j]).alias("shard"), F.lit(n).alias("pair")) for n, (i, j) in enumerate(combinations(range(4), 2))))
+def _masks(bits: list[int], parts: int) -> list[list[int]]:
+    """The bits in runs as equal as can be."""
+    return [list(map(int, part)) for part in np.array_split(bits, parts)]
+
+
+def _at(bits: list[int]) -> int:
+    mask = sum(1 << b for b in bits)
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
 def links(fps: DataFrame, radius: int = MAX_RADIUS) -> DataFrame:
     """``(a, b)`` links between distinct fingerprints ``fp`` that give the components of "at most radius bits apart".
 
-    Shards are hashes of block pairs, so a shard may hold two keys by chance: that costs time and no link, since each
-    link is checked. A shard over SHARD_ROWS is split again by block pairs of the 32 bits it doesn't share.
+    The number of bits that make a shard grows with the table, up to the whole block. Fingerprints of a shard that is
+    still too large meet by their whole block and one of three blocks of the other bits. Shards are hashes of bits, so
+    a shard may hold two keys by chance: that costs time and no link, since each link is checked.
     """
     if not 0 <= radius <= MAX_RADIUS:
-        raise ValueError(f"radius must be 0 to {MAX_RADIUS}: two of four blocks agree only up to that distance")
-    keyed = fps.select("fp", F.inline(_block_keys(F.col("fp"), 16, 0)))
-    sizes = keyed.groupBy("shard").count().where("count > 1")
-    keyed = materialize(keyed.join(sizes, "shard").select("shard", "pair", "fp", (F.col("count") > SHARD_ROWS).alias("hot")), "shards")
-    # the two blocks that the pair leaves free, side by side as 32 bits
-    free = [[k for k in range(4) if k not in p] for p in combinations(range(4), 2)]
-    cut = lambda k: F.shiftrightunsigned(F.col("fp"), 16 * k).bitwiseAND(0xFFFF)
-    rest = F.coalesce(*(F.when(F.col("pair") == n, F.shiftleft(cut(j), 16).bitwiseOR(cut(i))) for n, (i, j) in enumerate(free)))
-    split = keyed.where("hot").select("fp", F.inline(_block_keys(rest, 8, 0, F.col("shard")))).select("shard", "fp")
-    dealt = keyed.where("not hot").select("shard", "fp").union(split)
+        raise ValueError(f"radius must be 0 to {MAX_RADIUS}: one of three blocks agrees only up to that distance")
+    rows, blocks = fps.count(), _masks([*range(64)], 3)
+    some = max(0, int(rows // SHARD_ROWS).bit_length())
+    fp = F.col("fp")
+    first = F.array(*(F.struct(F.xxhash64(F.lit(k), fp.bitwiseAND(_at(own[:some]))).alias("shard"), F.lit(k).alias("block")) for k, own in enumerate(blocks)))
+    keyed = materialize(fps.select("fp", F.inline(first)), "shards")
+    large = materialize(keyed.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT * SHARD_ROWS), "large-shards")
+    dealt = without_uneven(keyed, large, ["shard"], 3 * rows).select("shard", "fp")
+    for k, own in enumerate(blocks):
+        rest = _masks([b for b in range(64) if b not in own], 3)
+        again = F.array(*(F.xxhash64("shard", fp.bitwiseAND(_at(own)), F.lit(j), fp.bitwiseAND(_at(part))) for j, part in enumerate(rest)))
+        dealt = dealt.union(join_uneven(keyed.where(F.col("block") == k), large, ["shard"], 3 * rows).select(F.explode(again).alias("shard"), "fp"))
     dealt = dealt.repartition("shard").sortWithinPartitions("shard")
     found = dealt.mapInPandas(lambda frames: _links(frames, radius), "a long, b long")
     return found.distinct()
 
 
+def _rooted(docs: DataFrame, id_col: str, text_col: str, words: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """``(id, t1, t2, fp)`` for each row, and ``(fp, least, root)`` for each fingerprint: its least id, its component."""
+    own = materialize(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", words), "fingerprints")
+    distinct = materialize(own.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
+    roots = connected_components(links(distinct.select("fp"), radius), "a", "b")
+    return own, distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = MAX_RADIUS) -> DataFrame:
     """``(<id_col>, fingerprint, component_id)``, a row for each row of ``docs``.
 
@@ -189,10 +209,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated rows come out as often as they came in. Other columns of ``docs`` play no part. An empty table gives an
     empty result.
     """
-    own = materialize(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", words), "fingerprints")
-    distinct = materialize(own.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
-    roots = connected_components(links(distinct.select("fp"), radius), "a", "b")
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    own, rooted = _rooted(docs, id_col, text_col, words, radius)
     component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.select("fp", "root").join(component, "root").select("fp", "component_id")
     shown = F.lower(F.lpad(F.hex("fp"), 16, "0"))
@@ -200,16 +217,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = MAX_RADIUS) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, all columns as they were; one row for each id.
+    """One row of ``docs`` for each component of texts, all columns as they were; see :func:`one_of_each`."""
+    own, rooted = _rooted(docs, id_col, text_col, words, radius)
+    return one_of_each(docs, own.select("t1", "t2", "fp").distinct().join(rooted.select("fp", "root"), "fp"), id_col, text_col)
 
-    Rows with a null id are kept: nothing tells them apart.
-    """
-    return smallest_of_each(docs, near_duplicates(docs, id_col, text_col, words, radius), id_col)
 
+def one_of_each(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of ``docs`` for each root of ``classes`` (t1, t2, root), which has a row for each text.
 
-def smallest_of_each(docs: DataFrame, classes: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``docs`` that ``classes`` (<id_col>, component_id) gives the smallest id, as :func:`keep_one` has them."""
-    gone = classes.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    left = docs.join(gone, id_col, "left_anti").select(docs.columns)
-    named = left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return named.unionByName(left.where(F.col(id_col).isNull()))
+    It is the row with the smallest id; of rows with one id, the one with the least hash of all columns (maps aside). So
+    a text stays if its id alone is also that of a copy, and repeated rows stay once. Rows with a null id are kept.
+    """
+    named = docs.where(F.col(id_col).isNotNull())
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    keyed = named.select("*", *(c.alias(n) for c, n in zip(text_id(text_bytes(text_col)), ("__t1", "__t2"), strict=True)), F.xxhash64(*hashed).alias("__r1"), F.xxhash64(F.lit(1), *hashed).alias("__r2"))
+    best = F.struct(F.col(id_col).alias("id"), "__r1", "__r2").alias("best")
+    of_text = keyed.select("__t1", "__t2", best).toDF("t1", "t2", "best").groupBy("t1", "t2").agg(F.min("best").alias("best"))
+    won = of_text.join(classes, ["t1", "t2"]).groupBy("root").agg(F.min("best").alias("best")).select("best.__r1", "best.__r2").distinct()
+    # joined by sort, so that the rows are where their repeats are
+    kept = keyed.join(won.hint("merge"), ["__r1", "__r2"]).dropDuplicates(["__r1", "__r2"])
+    return kept.select(docs.columns).union(docs.where(F.col(id_col).isNull()))

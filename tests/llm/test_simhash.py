@@ -95,6 +95,35 @@ def test_bk_tree_finds_all_pairs():
     assert found == set(zip(*map(np.ndarray.tolist, np.nonzero(near)), strict=True))
 
 
+def test_bk_tree_follows_edges_within_the_radius_only():
+    values = np.unique(np.random.default_rng(4).integers(0, 1 << 64, 4000, np.uint64))
+    tree = simhash.BKTree(values)
+    assert sorted(tree.child.tolist()) == [*range(1, len(values))]
+    parent, edge = tree.key // 65, tree.key % 65
+    assert (np.bitwise_count(values[tree.child] ^ values[parent]) == edge).all()
+    seen = sum(len(i) for i, _ in tree.pairs(values, 64))
+    assert seen == len(values) ** 2  # all edges are within 64 bits
+    flips = values ^ np.uint64(3 << 40)
+    assert {(int(i), int(j)) for a, b in tree.pairs(flips, 2) for i, j in zip(a, b, strict=True)} >= {(i, i) for i in range(len(values))}
+
+
+def test_links_come_from_the_trees(spark, monkeypatch):
+    one = np.uint64(1) << np.uint64(5)
+    values = np.random.default_rng(6).integers(0, 1 << 64, 300, np.uint64)
+    fps = spark.createDataFrame([(int(v),) for v in np.unique(np.r_[values, values ^ one]).view(np.int64)], "fp long")
+    assert simhash.links(fps).count() == 300
+    frame = [__import__("pandas").DataFrame({"shard": 1, "fp": np.r_[values, values ^ one].view(np.int64)})]
+    assert sum(len(x) for x in simhash._links(iter(frame), 2)) == 300
+    monkeypatch.setattr(simhash.BKTree, "pairs", lambda self, queries, radius: iter(()))
+    assert not sum(len(x) for x in simhash._links(iter(frame), 2))
+
+
+def test_keep_one_loses_no_text(spark):
+    text, other = "alpha beta gamma delta epsilon zeta eta theta", "quite another text that nothing here is like at all"
+    docs = spark.createDataFrame([(3, text), (5, text), (5, other), (5, other), (9, other)], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.keep_one(docs).collect())) == [(3, text), (5, other)]
+
+
 def test_keep_one_leaves_the_smallest_id(spark):
     docs = odd(spark)
     kept = simhash.keep_one(docs)
