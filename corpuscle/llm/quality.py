@@ -6,6 +6,8 @@ Trees and weights are fitted by Spark ML on a bounded sample of labelled rows.
 
 from __future__ import annotations
 
+import math
+import re
 from typing import NamedTuple
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -52,10 +54,12 @@ class Rule(NamedTuple):
     terms: tuple[tuple[str, bool, float], ...]
     weight: float
 
-    def holds(self) -> Column:
+    def holds(self, stats: str = "") -> Column:
+        """Whether the rule holds for statistics that are columns, or fields of the column ``stats``."""
         out = F.lit(True)
         for name, below, cut in self.terms:
-            out = out & ((F.col(name) <= cut) if below else (F.col(name) > cut))
+            value = F.col(f"{stats}.{name}" if stats else name)
+            out = out & ((value <= cut) if below else (value > cut))
         return out
 
 
@@ -65,19 +69,24 @@ class Ensemble(NamedTuple):
     intercept: float
     rules: tuple[Rule, ...]
 
-    def score(self) -> Column:
+    def score(self, stats: str = "") -> Column:
         total = F.lit(self.intercept)
         for rule in self.rules:
-            total = total + F.when(rule.holds(), rule.weight).otherwise(0.0)
+            total = total + F.when(rule.holds(stats), rule.weight).otherwise(0.0)
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
-def _paths(node, above: tuple = ()) -> list[tuple]:
-    """The conjunction that leads to each node below the root, of a JVM tree."""
-    out = [above] if above else []
-    if node.subtreeDepth() > 0:
-        name, cut = NAMES[node.split().featureIndex()], float(node.split().threshold())
-        out += _paths(node.leftChild(), (*above, (name, True, cut))) + _paths(node.rightChild(), (*above, (name, False, cut)))
+_EDGE = re.compile(r"^( +)(?:If|Else) \(feature (\d+) (<=|>) (\S+)\)$", re.MULTILINE)
+
+
+def paths(trees: str) -> list[tuple[tuple[str, bool, float], ...]]:
+    """The conjunction that leads to each node below a root, of trees in Spark's printed form (``toDebugString``)."""
+    out, above = [], []
+    for indent, feature, sign, cut in _EDGE.findall(trees):
+        while above and above[-1][0] >= len(indent):
+            above.pop()
+        above.append((len(indent), (NAMES[int(feature)], sign == "<=", float(cut))))
+        out.append(tuple(term for _, term in above))
     return out
 
 
@@ -95,8 +104,11 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, id_col: str, sample_
 
     One class alone gives a constant score near it. Ids only choose the sample; they and other columns are no inputs.
     """
-    chosen = labelled.where(F.col(label_col).isin(0, 1)).orderBy(F.xxhash64(F.col(id_col)), F.xxhash64(F.col(text_col))).limit(sample_rows)
-    own = chosen.select(F.col(label_col).cast("double").alias("label"), *(c.alias(n) for n, c in statistics(F.col(text_col)).items()))
+    own = labelled.where(F.col(label_col).isin(0, 1))
+    order = [F.xxhash64(F.col(id_col)).alias("by"), F.xxhash64(F.col(text_col)).alias("then")]
+    # the statistics first, where the texts are: the rows that are put in order are narrow
+    own = own.select(*order, F.col(label_col).cast("double").alias("label"), *(c.alias(n) for n, c in statistics(F.col(text_col)).items()))
+    own = materialize(own, "quality-statistics").orderBy("by", "then", "label").limit(sample_rows).drop("by", "then")
     own = materialize(own, "quality-sample")
     sizes = {r["label"]: r["count"] for r in own.groupBy("label").count().collect()}
     if len(sizes) < 2:
@@ -105,12 +117,10 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, id_col: str, sample_
     own = own.coalesce(4).cache()
     named = own.select("label", array_to_vector(F.array(*NAMES)).alias("features"))
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, maxBins=64).fit(named)
-    conjunctions = sorted({simplified(p) for t in trees._java_obj.trees() for p in _paths(t.rootNode())}) if hasattr(trees, "_java_obj") else []
-    rules = [Rule(c, 1.0) for c in conjunctions]
+    rules = [Rule(c, 1.0) for c in sorted({simplified(p) for p in paths(trees.toDebugString)})]
     if not rules:
+        own.unpersist()
         share = sizes[1.0] / (sizes[0.0] + sizes[1.0])
-        import math
-
         return Ensemble(math.log(share / (1 - share)), ())
     on = own.select("label", array_to_vector(F.array(*(r.holds().cast("double") for r in rules))).alias("features"))
     model = LogisticRegression(elasticNetParam=1.0, regParam=LASSO, maxIter=60, standardization=False).fit(on)
@@ -119,19 +129,35 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, id_col: str, sample_
     return Ensemble(float(model.intercept), tuple(Rule(r.terms, float(w)) for r, w in zip(rules, weights, strict=True) if abs(w) > 1e-6))
 
 
+def _free_name(docs: DataFrame, name: str) -> str:
+    """The name, with as many underscores as set it apart from the columns, whose case does not count."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _with_statistics(docs: DataFrame, text_col: str) -> tuple[DataFrame, str]:
+    # an explode of a one-element array: the statistics are computed once, however many rules read them
+    name = _free_name(docs, "__statistics")
+    own = F.struct(*(c.alias(n) for n, c in statistics(F.col(text_col)).items()))
+    return docs.select("*", F.explode(F.array(own)).alias(name)), name
+
+
 def scored(docs: DataFrame, ensemble: Ensemble, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``docs`` with a score from 0 to 1 for each row, null and empty texts too; all columns as they were."""
-    names = {n: f"__stat_{n}" for n in NAMES}
-    kept = [c for c in docs.columns if c != score_col]
-    packed = docs.select(*kept, F.struct(*(c.alias(n) for n, c in statistics(F.col(text_col)).items())).alias(names["words"]))
-    # one explode of a one-element array: the statistics are computed once, however many rules read them
-    wide = packed.select(*kept, F.inline(F.array(names["words"])))
-    clash = {n for n in NAMES if n in kept}
-    if clash:
-        renamed = [c if c not in clash else f"__own_{c}" for c in kept]
-        wide = docs.select(*(F.col(c).alias(r) for c, r in zip(kept, renamed, strict=True)), F.inline(F.array(F.struct(*(c.alias(n) for n, c in statistics(F.col(text_col)).items())))))
-        return wide.select(*(F.col(r).alias(c) for c, r in zip(kept, renamed, strict=True)), ensemble.score().alias(score_col))
-    return wide.select(*kept, ensemble.score().alias(score_col))
+    """``docs`` with a score from 0 to 1 for each row, null and empty texts too; the other columns as they were.
+
+    A column that has the score's name already, in any case, gives way to it.
+    """
+    wide, name = _with_statistics(docs, text_col)
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() != score_col.lower()]
+    return wide.select(*kept, ensemble.score(name).alias(score_col))
+
+
+def keep(docs: DataFrame, ensemble: Ensemble, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score ``least`` or more, all columns as they were."""
+    wide, name = _with_statistics(docs, text_col)
+    return wide.where(ensemble.score(name) >= least).drop(name)
 
 
 def learn(docs: DataFrame, labels: DataFrame, held_out_of: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Ensemble:

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import math
+import re
 import sys
 import zlib
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).parent))
+import regex
 from rows import none, odd
 
 from corpuscle.llm import quality, queries
@@ -67,3 +69,42 @@ def test_odd_rows(spark):
     assert quality.learn(docs, labels) == quality.Ensemble(0.0, ())
     one = spark.createDataFrame([(i, 1, 0) for i in range(8)], "doc_id long, quality int, toxic int")
     assert quality.learn(docs, one).rules == ()
+
+
+def brute_statistics(text: str | None) -> dict[str, float]:
+    text = text or ""
+    size, words = max(len(text), 1), max(len(re.findall(r"[^ \t\n\x0b\f\r]+", text)), 1)
+    count = lambda p: len(regex.findall(p, text))
+    s = r"[ \t\n\x0b\f\r]"
+    n = r"[^ \t\n\x0b\f\r]"
+    return {
+        "log_chars": math.log1p(len(text)), "word_chars": len(text) / words, "upper": count(r"\p{Lu}") / size, "digits": count("[0-9]") / size,
+        "symbols": count(r"[^\p{L}\p{N} \t\n\x0b\f\r.,;:!?'\"()-]") / size, "stops": count("[.,;:]") / words, "bangs": count("!") / words,
+        "bars": count(rf"(?<!{n})[|](?!{n})") / words, "long_words": count(n + "{20,}+") / words, "repeats": len(regex.findall(rf"(?<!{n})({n}++)(?={s}\1(?!{n}))", text)) / words,
+        "lines": count(r"\n") / words, "capitals": count(rf"(?<!{n})\p{{Lu}}{{2}}") / words, "words": math.log1p(words),
+    }
+
+
+def test_whole_query_against_the_rules_by_hand(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    ensemble = quality.learn(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    assert ensemble.rules and all(r.terms for r in ensemble.rules)
+    got = {r["doc_id"]: r for r in queries.op10_quality(spark, SMALL).collect()}
+    for i, text in docs.collect():
+        stats = brute_statistics(text)
+        total = ensemble.intercept + sum(r.weight for r in ensemble.rules if all(stats[n] <= c if below else stats[n] > c for n, below, c in r.terms))
+        assert abs(got[i]["score"] - 1 / (1 + math.exp(-total))) < 1e-9, i
+        assert got[i]["predicted"] == (got[i]["score"] >= 0.3)
+
+
+def test_names_that_differ_in_case_alone(spark):
+    rules = quality.Ensemble(0.0, (quality.Rule((("words", False, 1.0),), 1.0),))
+    docs = spark.createDataFrame([(1, "one two three four", "w", "s", 3)], "doc_id long, text string, Words string, `__Score` string, `__statistics` long")
+    assert quality.scored(docs, rules).columns == [*docs.columns, "score"]
+    assert [tuple(r) for r in quality.keep(docs, rules, 0.3).collect()] == [tuple(r) for r in docs.collect()]
+
+
+def test_paths_of_printed_trees():
+    text = "  Tree 0 (weight 1.0):\n    If (feature 3 <= 0.5)\n     If (feature 0 <= 1.0E-4)\n      Predict: 1.0\n     Else (feature 0 > 1.0E-4)\n      Predict: 0.0\n    Else (feature 3 > 0.5)\n     Predict: 2.0\n  Tree 1 (weight 0.3):\n    Predict: 1.0\n"
+    digits, chars = ("digits", True, 0.5), ("log_chars", True, 1e-4)
+    assert quality.paths(text) == [(digits,), (digits, chars), (digits, ("log_chars", False, 1e-4)), (("digits", False, 0.5),)]
