@@ -1,6 +1,10 @@
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
+
+import pytest
 
 from corpuscle.llm import queries, url_filter
 
@@ -29,13 +33,72 @@ def agree(urls, out):
         text, action = rule(host, path)
         r = rows[i]
         assert (r["host"], r["path"], r["rule"]) == (host, path, text)
-        assert r["verdict"] == (action or ("block" if r["score"] > 0 else "allow"))
+        assert r["verdict"] == (action or ("block" if r["score"] > 0 or r["seeded"] else "allow"))
+
+
+def split(label, counts, total):
+    """The best split by trying every last word."""
+    best = [(0.0, 0)]
+    for end in range(1, len(label) + 1):
+        options = []
+        for start in range(end):
+            word = label[start:end]
+            cost = math.log(counts[word] / total) if word in counts else math.log(10 / total) - len(word) * math.log(10)
+            options.append((best[start][0] + cost, -start))
+        best.append((max(options)[0], -max(options)[1]))
+    out, end = [], len(label)
+    while end:
+        out.append(label[best[end][1] : end])
+        end = best[end][1]
+    return out
+
+
+def brute(pages):
+    """id -> (score, verdict) of the whole operator: counts of words, splits, classes and naive Bayes."""
+    counts = Counter(url_filter.SEEDS)
+    for _, _, html in pages:
+        text = re.sub(r"[a-z]+://\S*", " ", re.sub(r"<[^<>]*>", " ", (html or "").lower()))
+        counts.update(w for w in re.split("[^a-z]+", text) if w)
+    total, bags, seeded = sum(counts.values()), {}, set()
+    for url in {parts(u) for _, u, _ in pages}:
+        host, path = url
+        words = [(w, w) for label in re.split("[^a-z]+", host) if label for w in split(label, counts, total)]
+        words += [(w, "/" + w) for w in re.split("[^a-z0]+", re.sub("[0-9]+", "0", path.lower())) if w]
+        if any(x in url_filter.SEEDS for w, _ in words for x in w.split("0")):
+            seeded.add(url)
+        bags[url] = Counter(t for w, t in words if not any(x in url_filter.SEEDS for x in w.split("0")))
+    of = {True: Counter(), False: Counter()}
+    for url, bag in bags.items():
+        of[url in seeded].update(bag)
+    size = len({*of[True], *of[False]})
+    prior = math.log((len(seeded) + 1) / (len(bags) - len(seeded) + 1))
+    log = {bad: (lambda t, c=c: math.log((c[t] + 1) / (sum(c.values()) + size + 1))) for bad, c in of.items()}
+    out = {}
+    for i, u, _ in pages:
+        url = parts(u)
+        score = prior + sum(n * (log[True](t) - log[False](t)) for t, n in bags[url].items())
+        out[i] = (score, rule(*url)[1] or ("block" if url in seeded or score > 0 else "allow"))
+    return out
 
 
 def test_whole_table(spark, tiny):
     agree({r["page_id"]: r["url"] for r in spark.read.parquet(f"{tiny}/pages.parquet").collect()}, queries.op6_url_filter(spark, tiny))
 
 
+@pytest.mark.parametrize("joined", [20, 3])
+def test_scores_against_brute_force(spark, tiny, monkeypatch, joined):
+    monkeypatch.setattr(url_filter, "JOINED_LETTERS", joined)  # 3: most words are sought by their first letters
+    table = spark.read.parquet(f"{tiny}/pages.parquet").select("page_id", "url", "html")
+    more = [(-1, "http://thecasinoof" + "riverside" * 9 + ".com/a1/Slots9/b", None), (-2, None, "<a href='x'>the river side http://ignored.com</a>"), (-3, "https://www.the-news.org/x", "")]
+    table = table.union(spark.createDataFrame(more, table.schema))
+    expected = brute([tuple(r) for r in table.collect()])
+    rows = url_filter.judge(table, queries.RULES).collect()
+    assert len(rows) == len(expected) and any(r["seeded"] for r in rows)
+    for r in rows:
+        score, verdict = expected[r["page_id"]]
+        assert abs(r["score"] - score) < 2e-6 and r["verdict"] == verdict
+
+
 def test_odd_urls(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://ExAmPlE.Net/en/x?y#z", "http://example.net/EN/", "ftp://a.org/fr/", "http://org/fr/", "http://borg/fr/", "http://x.net", "http://a://b/c", "http://net/", "https://example.com?/de/", "http://ÄB.net/é", "x://" + "a" * 70 + ".com/", "http://é.example.com/de/1"]
     rows = [(i, u, None, "x", 1.0) for i, u in enumerate(urls)]
