@@ -3,8 +3,10 @@
 The sketch of a test item is the least hashes of its word shingles (a bottom-k MinHash). A document that holds a share s
 of an item's n shingles misses at most n - ceil(s n) of them, so of the n - ceil(s n) + 1 least it holds one at least:
 with sketches of that size the search loses no pair, however long the document. Items are partitioned by the size of
-their shingle sets, since that fixes the sketch's size, and an item is sought only in documents that have shingles enough
-to hold its share. All of it is DataFrame functions.
+their shingle sets, by powers of two. A partition has a bound, the greatest hash in any of its sketches, and a least size
+of the documents that can hold one of its items. The sketch of a document is its shingles under the greatest bound of
+the partitions that it is large enough for: the others can't meet a sketch and go no further. Candidates are checked by
+their shingles as words, not as hashes. All of it is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -14,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ._common import materialize, text_id
 
-#: Rows of a table of (item, shingle) that may be broadcast (16 bytes each); above it the joins shuffle by shingle.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a table of (item, shingle) that may be broadcast; above it the joins shuffle by shingle.
+BROADCAST_BYTES = 32 << 20
 
 
 def words(text: Column) -> Column:
@@ -23,23 +25,32 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def shingles(text: Column, width: int) -> Column:
-    """Hashes of a text's word shingles; fewer words than the width make one shingle, none make none.
+def _each(text: Column, width: int, shown, none: str) -> Column:
+    """``shown`` of each run of ``width`` words of a text; fewer words make one run, none make none.
 
-    The words are bound to a lambda variable, so that they are split once for a text and not once for each shingle.
+    The words are bound to a lambda variable, so that they are split once for a text and not once for each run.
     """
 
     def of(own: Column) -> Column:
         places = F.sequence(F.lit(0), F.greatest(F.size(own) - width, F.lit(0)))
-        every = F.transform(places, lambda i: F.xxhash64(*(F.get(own, i + k) for k in range(width))))
-        return F.when(F.size(own) > 0, every).otherwise(F.array().cast("array<bigint>"))
+        return F.when(F.size(own) > 0, F.transform(places, lambda i: shown(own, i))).otherwise(F.array().cast(none))
 
     return F.get(F.transform(F.array(words(text)), of), F.lit(0))
 
 
-def _bounded(table: DataFrame) -> DataFrame:
-    """The table with a broadcast hint if its counted size is within the bound."""
-    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+def shingles(text: Column, width: int) -> Column:
+    """Hashes of a text's word shingles."""
+    return _each(text, width, lambda own, i: F.xxhash64(*(F.get(own, i + k) for k in range(width))), "array<bigint>")
+
+
+def shingle_words(text: Column, width: int) -> Column:
+    """A text's word shingles themselves, words joined by spaces."""
+    return _each(text, width, lambda own, i: F.array_join(F.slice(own, i + 1, width), " "), "array<string>")
+
+
+def _bounded(table: DataFrame, size: Column) -> DataFrame:
+    """The table with a broadcast hint if the counted sum of its rows' sizes is within the bound."""
+    return F.broadcast(table) if (table.agg(F.sum(size + 32)).first()[0] or 0) <= BROADCAST_BYTES else table
 
 
 def _least(share: float, n: Column) -> Column:
@@ -54,25 +65,33 @@ def contained(docs: DataFrame, items: DataFrame, share: float = 0.8, width: int
     all its words; null, empty and wordless texts match nothing. Rows that share an id are judged by themselves and give
     a row for each text that matches; repeated rows give one. Null ids match like any other. Other columns play no part.
     """
-    own = items.select(F.col(item_id).alias("item"), F.array_distinct(shingles(F.col(item_text), width)).alias("s"))
-    own = materialize(own.where(F.size("s") > 0).withColumn("n", F.size("s")).distinct(), "items")
-    sketch_size = F.col("n") - _least(share, F.col("n")) + 1
-    ordered = F.transform(F.array_sort(F.transform("s", lambda h: F.struct(F.xxhash64(h).alias("o"), h.alias("h")))), lambda x: x["h"])
-    sketch = own.select(F.col("item"), "n", F.explode(F.slice(ordered, F.lit(1), sketch_size.cast("int"))).alias("h"))
-    # the partition of an item: the power of two of its size; a document with fewer shingles than the share can't hold it
-    sketch = sketch.withColumn("part", F.floor(F.log2("n")).cast("int")).withColumn("needs", _least(share, F.col("n")))
+    texts_of = F.array_distinct(shingle_words(F.col(item_text), width))
+    own = items.select(F.col(item_id).alias("item"), F.array_distinct(shingles(F.col(item_text), width)).alias("s"), texts_of.alias("w"))
+    own = materialize(own.where(F.size("s") > 0).withColumn("n", F.size("w")).withColumn("needs", _least(share, F.col("n"))).distinct(), "items")
+    # hashes that collide would make fewer of them than shingles: the sketch still holds one too many to be missed
+    sketch_size = (F.col("n") - F.col("needs") + 1).cast("int")
+    ordered = F.array_sort(F.transform("s", lambda h: F.struct(F.xxhash64(h).alias("o"), h.alias("h"))))
+    sketch = own.select("item", "needs", F.floor(F.log2("n")).cast("int").alias("part"), F.inline(F.slice(ordered, F.lit(1), sketch_size)))
+    sketch = materialize(sketch, "sketches")
+    parts = sketch.groupBy("part").agg(F.max("o").alias("bound"), F.min("needs").alias("needs")).collect()  # one row for a power of two
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    hashed = texts.select(*text_id(F.col("text")), shingles(F.col("text"), width).alias("s"))
-    seen = hashed.select("t1", "t2", F.size("s").alias("size"), F.floor(F.log2(F.size("s"))).cast("int").alias("parts"), F.explode_outer("s").alias("h"))
-    fits = (F.col("parts") >= F.col("part") - 1) & (F.col("size") >= F.col("needs"))
-    found = materialize(seen.join(_bounded(sketch), "h").where(fits).select("t1", "t2", "item").distinct(), "candidates")
-
-    near = texts.withColumns({c: e for c, e in zip(("t1", "t2"), text_id(F.col("text")), strict=True)}).join(found.select("t1", "t2").distinct(), ["t1", "t2"], "left_semi")
-    near = near.select("id", "t1", "t2", F.explode_outer(shingles(F.col("text"), width)).alias("h"))
-    known = _bounded(own.select("item", "n", F.explode("s").alias("h")))
-    shared = near.join(known, "h").select("id", "t1", "t2", "item", "n", "h").distinct().groupBy("id", "t1", "t2", "item", "n").agg(F.count("*").alias("n_shared"))
-    exact = shared.where(F.col("n_shared") >= _least(share, F.col("n"))).join(found.select("t1", "t2", F.col("item").alias("sought")), [shared.t1 == found.t1, shared.t2 == found.t2, F.col("item").eqNullSafe(F.col("sought"))], "left_semi")
+    bound = F.greatest(F.lit(-(1 << 63)), *(F.when(F.size("s") >= r["needs"], F.lit(r["bound"])) for r in parts)) if parts else F.lit(-(1 << 63))
+    # bound to a generated column, so that the shingles are made once and not again for each use
+    hashed = texts.select(*text_id(F.col("text")), F.explode(F.array(shingles(F.col("text"), width))).alias("s"))
+    under = F.filter(F.transform("s", lambda h: F.struct(F.xxhash64(h).alias("o"), h.alias("h"))), lambda x: x["o"] <= F.col("top"))
+    seen = hashed.withColumn("size", F.size("s")).withColumn("top", bound).select("t1", "t2", "size", F.inline(under))
+    small = _bounded(sketch.select("item", "needs", "h"), F.lit(0))
+    found = materialize(seen.select("t1", "t2", "size", "h").join(small, "h").where(F.col("size") >= F.col("needs")).select("t1", "t2", "item").distinct(), "candidates")
+
+    named = texts.withColumns({c: e for c, e in zip(("t1", "t2"), text_id(F.col("text")), strict=True)})
+    near = named.join(found.select("t1", "t2").distinct(), ["t1", "t2"], "left_semi")
+    near = near.select("id", "t1", "t2", F.explode(shingle_words(F.col("text"), width)).alias("w"))
+    known = own.select("item", "n", "needs", F.explode("w").alias("w"))
+    shared = near.join(_bounded(known, F.octet_length("w")), "w").select("id", "t1", "t2", "item", "n", "needs", "w").distinct()
+    shared = shared.groupBy("id", "t1", "t2", "item", "n", "needs").agg(F.count("*").alias("n_shared")).where("n_shared >= needs")
+    sought = found.select("t1", "t2", F.col("item").alias("sought"))
+    exact = shared.join(sought, [shared.t1 == sought.t1, shared.t2 == sought.t2, F.col("item").eqNullSafe(F.col("sought"))], "left_semi")
     return exact.select(F.col("id").alias(id_col), F.col("item").alias(item_id), "n_shared", F.col("n").cast("long").alias("n_item"), F.round(F.col("n_shared") / F.col("n"), 6).alias("containment"), "t1", "t2")
 
 

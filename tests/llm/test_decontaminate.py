@@ -45,7 +45,7 @@ def test_random_containment(spark, monkeypatch):
     tables = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     for share in (0.5, 0.8, 1.0):
         for bound in (1_000_000, 0):  # with and without broadcast joins
-            monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", bound)
+            monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", bound)
             got = sorted((str(r[0]), str(r[1]), r[2], r[3]) for r in decontaminate.contaminated(*tables, share=share).collect())
             assert got == brute(docs, items, share)
 
