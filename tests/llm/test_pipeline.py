@@ -12,7 +12,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import corpus_pipeline as pipeline
 from rows import odd
 from test_decontaminate import brute
-from test_simhash import brute_components, brute_fingerprint
+from test_near_copies import brute_kept
 
 from corpuscle.llm import pii, queries
 
@@ -26,9 +26,9 @@ def test_stages_against_brute_force(spark, tiny):
     docs = {r["doc_id"]: r["text"] for r in good.collect()}
     assert 0 < len(docs) < read.count()
 
-    prints = [(i, brute_fingerprint(t)) for i, t in docs.items()]
-    classes = brute_components(prints)
-    docs = {i: docs[i] for i, f in prints if classes[f] == i}
+    kept = {int(i) for i in brute_kept([*docs.items()])}
+    assert len(kept) < len(docs)
+    docs = {i: t for i, t in docs.items() if i in kept}
     bad = {int(i) for i, *_ in brute([*docs.items()], items, 0.8)}
     docs = {i: t for i, t in docs.items() if i not in bad}
     docs = {i: pii.redacted(t, pii.find(t)) for i, t in docs.items()}
@@ -41,7 +41,7 @@ def test_stages_against_brute_force(spark, tiny):
 
 
 def test_odd_rows_and_columns_pass_every_stage(spark, tiny):
-    docs = odd(spark).withColumnRenamed("id", "n_chars")
+    docs = odd(spark).withColumnRenamed("id", "n_chars").withColumnRenamed("words", "Words").withColumnRenamed("fp", "__Score")
     for _, stage in pipeline.STAGES[:-1]:
         docs2 = stage(spark, docs, tiny)
         assert docs2.columns == docs.columns
