@@ -43,17 +43,23 @@ def without_known(hits: DataFrame, known: DataFrame, k: int) -> DataFrame:
     return hits.join(known, ["query_id", "pk"], "left_anti").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+#: Entries of a registry that are broadcast at most.
+MOST_ENTRIES = 10_000
+
+
 def registry_match(names: DataFrame, registry: DataFrame) -> DataFrame:
     """The registry entry that each name means: same id or name first, then one name inside the other (four characters at least).
 
-    Within a tier the earlier entry wins. The last tier has no key to join on; the registry has 40 entries at most and is
-    broadcast.
+    Within a tier the earlier entry wins. The last tier has no key to join on: a session's registry is small (its window
+    keeps 40 entries), and it is broadcast once it has been counted.
     """
     own = names.withColumn("n", text.plain_name(F.col("name")))
     reg = registry.withColumn("r", text.plain_name(F.col("doc_name")))
     same = (F.col("name") == F.col("doc_id")) | (F.col("n") == F.col("r"))
     part = (F.length("n") >= 4) & (F.length("r") >= 4) & (F.contains("n", F.col("r")) | F.contains("r", F.col("n")))
-    found = own.where("n != ''").join(F.broadcast(reg.limit(40)), same | part).withColumn("tier", F.when(same, 1).otherwise(2))
+    if reg.count() > MOST_ENTRIES:
+        raise ValueError(f"a registry has {MOST_ENTRIES} entries at most")
+    found = own.where("n != ''").join(F.broadcast(reg), same | part).withColumn("tier", F.when(same, 1).otherwise(2))
     order = Window.partitionBy("name").orderBy("tier", "pos")
     return found.withColumn("k", F.row_number().over(order)).where("k = 1").select("name", "doc_id", "tier")
 

@@ -10,20 +10,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscle.functions import text
+from corpuscle.sources.shared import stored
 from corpuscle.functions.words import DENSE_WEIGHT, LEAST_WEIGHT, MOST_WEIGHT
 
 #: BM25 constants, the constant of rank fusion, and digits to which scores are rounded before they are ranked.
 K1, B, RRF_K, DIGITS = 1.5, 0.75, 60, 5
-#: Query vectors that one pass over the vectors compares: a bound of what is sent to each task.
+#: Query vectors that are sent to every task at most; more of them meet the vectors in blocks dealt out by shuffle.
 QUERY_BLOCK = 4096
-#: Query vectors whose scores are held at a time.
-QUERY_COLUMNS = 256
+#: Vectors in such a block, and query vectors whose scores are held at a time.
+VECTOR_BLOCK, QUERY_COLUMNS = 16_384, 256
+#: Asked terms that are broadcast at most, once they are counted.
+BROADCAST_TERMS = 200_000
 
 
-def top_k(hits: DataFrame, k: int, by: Sequence[str] = ("query_id",), score: str = "score", tie: str = "pk") -> DataFrame:
-    """The k best of each group with their rank; ties go to the smaller key. Spark limits each group before the shuffle."""
+def top_k(hits: DataFrame, k: int | None, by: Sequence[str] = ("query_id",), score: str = "score", tie: str = "pk") -> DataFrame:
+    """The k best of each group (all, if None) with their rank; ties go to the smaller key. Spark limits each group before the shuffle."""
     order = Window.partitionBy(*by).orderBy(F.desc(score), F.asc(tie))
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = hits.withColumn("rank", F.row_number().over(order))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
 def postings(chunks: DataFrame, key: str = "pk", value: str = "content") -> DataFrame:
@@ -38,54 +42,67 @@ def corpus_stats(chunks: DataFrame, value: str = "content") -> DataFrame:
     return chunks.agg(F.count("*").alias("n_docs"), F.avg(size).alias("avgdl"))
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int, key: str = "pk", value: str = "content", index: DataFrame | None = None) -> DataFrame:
-    """``(query_id, key, score, rank)`` of the k best chunks of each query ``(query_id, q)``.
+def bm25(queries: DataFrame, chunks: DataFrame, k: int | None, key: str = "pk", value: str = "content") -> DataFrame:
+    """``(query_id, key, score, rank)`` of the k chunks (all, if None) that fit each query (query_id, q) best.
 
-    Only tokens that some query has are counted: the postings are joined to the query tokens first, a broadcast where
-    Spark finds these small and a shuffle by token else. A token that a query repeats counts as often.
+    The chunks are tokenized once: of their tokens only those go on that some query has, and an empty one for each chunk
+    that carries its length to the statistics. A token that a query repeats counts as often.
     """
-    asked = queries.select("query_id", F.explode(text.tokens(F.col("q"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    own = (postings(chunks, key, value) if index is None else index).join(asked.select("term").distinct(), "term", "left_semi")
-    df = own.groupBy("term").agg(F.count("*").alias("df"))
-    stats = F.broadcast(corpus_stats(chunks, value))  # one row
-    weighed = df.join(stats).withColumn("idf", F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0))
+    asked = stored(queries.select("query_id", F.explode(text.tokens(F.col("q"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf")), "asked-terms")
+    small = (lambda t: F.broadcast(t)) if asked.count() <= BROADCAST_TERMS else (lambda t: t)
+    terms = small(asked.select("term").distinct().union(chunks.sparkSession.createDataFrame([("",)], "term string")))
+    own = chunks.select(key, text.tokens(F.col(value)).alias("t")).select(key, F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term"))
+    own = stored(own.join(terms, "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")), "postings")
+    stats = own.where("term = ''").agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("tf") * F.col("dl")) / F.sum("tf")).alias("avgdl"))  # one row
+    found = own.where("term != ''")
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    weighed = df.join(F.broadcast(stats)).withColumn("idf", F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0))
     part = F.col("qtf") * F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = own.join(weighed, "term").join(asked, "term").groupBy("query_id", key).agg(F.round(F.sum(part), DIGITS).alias("score"))
+    scored = found.join(small(weighed), "term").join(small(asked), "term").groupBy("query_id", key).agg(F.round(F.sum(part), DIGITS).alias("score"))
     return top_k(scored, k, tie=key)
 
 
-def bm25_sql(k: int, queries: str, source: str = "chunks", key: str = "pk") -> str:
+def bm25_sql(k: int | None, queries: str, source: str = "chunks", key: str = "pk") -> str:
     """CTEs of the same for DuckDB, ending in ``bm25``; ``queries`` names a relation (query_id, q)."""
     tok = text.TOKENS_SQL.format
     return f"""bt AS (SELECT {key}, {tok('content')} t FROM {source}), be AS (SELECT {key}, len(t) dl, unnest(t) term FROM bt),
 bp AS (SELECT {key}, term, count(*) tf, any_value(dl) dl FROM be GROUP BY {key}, term), bd AS (SELECT term, count(*) df FROM bp GROUP BY term),
 bs AS (SELECT count(*) n_docs, avg(len(t)) avgdl FROM bt), bq AS (SELECT query_id, term, count(*) qtf FROM (SELECT query_id, unnest({tok('q')}) term FROM {queries}) x GROUP BY ALL),
 bsc AS (SELECT query_id, {key}, round(sum(qtf * ln((n_docs - df + 0.5) / (df + 0.5) + 1.0) * (tf * {K1 + 1}) / (tf + {K1} * ({1 - B} + {B} * dl / avgdl))), {DIGITS}) score FROM bq JOIN bp USING (term) JOIN bd USING (term) CROSS JOIN bs GROUP BY query_id, {key}),
-bm25 AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {key}) AS INTEGER) AS rank FROM bsc) r WHERE rank <= {k})"""
+bm25 AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {key}) AS INTEGER) AS rank FROM bsc) r WHERE rank <= {k if k is not None else 'rank'})"""
 
 
 def dense(queries: DataFrame, vectors: DataFrame, k: int, key: str = "pk", vector: str = "embedding") -> DataFrame:
     """``(query_id, key, score, rank)`` of the k largest inner products of each query ``(query_id, q_vec)``.
 
-    Exact, ties of rounded scores included: blocks of query vectors are sent to the tasks, each task keeps the best of its
-    own rows by matrix product, and a window merges them. A block has QUERY_BLOCK vectors at most; more queries mean more passes, not larger blocks.
+    Exact, ties of rounded scores included: each task keeps the best of its own rows by matrix product, and a window
+    merges them. Up to QUERY_BLOCK query vectors are sent to every task; more of them stay a table, and each block of
+    queries meets each block of vectors in a task of its own.
     """
-    kind = vectors.schema[key].dataType
-    asked = queries.select("query_id", "q_vec").where("q_vec IS NOT NULL")
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    dealt = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    out = None
-    for block in range(blocks):
-        rows = dealt.where(F.col("block") == block).select("query_id", "q_vec").collect()
-        if not rows:
-            continue
-        ids = [r["query_id"] for r in rows]
-        matrix = np.array([r["q_vec"] for r in rows], np.float64)
-        found = vectors.select(key, vector).where(F.col(vector).isNotNull()).mapInPandas(lambda f, ids=ids, m=matrix: _best(f, ids, m, k, key), f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {kind.simpleString()}, score double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {kind.simpleString()}, score double, rank int")
-    return top_k(out, k, tie=key)
+    types = [queries.schema["query_id"].dataType.simpleString(), vectors.schema[key].dataType.simpleString()]
+    schema = f"query_id {types[0]}, {key} {types[1]}, score double"
+    asked, own = queries.select("query_id", "q_vec").where("q_vec IS NOT NULL"), vectors.select(key, vector).where(F.col(vector).isNotNull())
+    rows = asked.limit(QUERY_BLOCK + 1).collect()
+    if not rows:
+        return vectors.sparkSession.createDataFrame([], f"{schema}, rank int")
+    if len(rows) <= QUERY_BLOCK:
+        ids, matrix = [r["query_id"] for r in rows], np.array([r["q_vec"] for r in rows], np.float64)
+        return top_k(own.mapInPandas(lambda f: _best(f, ids, matrix, k, key), schema), k, tie=key)
+
+    def block(table: DataFrame, column: str, of: str, size: int) -> tuple[DataFrame, int]:
+        parts = max(1, -(-table.count() // size))
+        return table.withColumn(column, F.pmod(F.xxhash64(of), F.lit(parts)).cast("int")), parts
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": left["query_id"][:0], key: right[key][:0], "score": np.array([], np.float64)})
+        found = _best(iter([right[[key, vector]]]), left["query_id"].tolist(), np.stack(left["q_vec"].to_numpy()).astype(np.float64), k, key)
+        return pd.concat(found, ignore_index=True)
+
+    (asked, n_asked), (own, n_own) = block(asked, "qb", "query_id", QUERY_BLOCK), block(own, "vb", key, VECTOR_BLOCK)
+    asked = asked.withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(n_own - 1))))
+    own = own.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))))
+    return top_k(asked.groupBy("qb", "vb").cogroup(own.groupBy("qb", "vb")).applyInPandas(run, schema), k, tie=key)
 
 
 def _best(frames: Iterator[pd.DataFrame], ids: list, matrix: np.ndarray, k: int, key: str) -> Iterator[pd.DataFrame]:
@@ -168,6 +185,42 @@ def merged_rankings(first: DataFrame, second: DataFrame, weight: float, k: int)
     return top_k(both.groupBy("query_id", "doc_id").agg(F.round(F.max("score"), DIGITS).alias("score")), k, tie="doc_id")
 
 
+def anchored(hits: DataFrame, grades: Column, content: str = "content") -> DataFrame:
+    """Hits of each question in a new order: first those whose text names one of its ``grades``, by rank within both parts."""
+    named = F.coalesce(F.exists(grades, lambda g: F.contains(F.lower(content), F.lower(g))), F.lit(False))
+    order = Window.partitionBy("query_id").orderBy((~named).cast("int"), "rank", "pk")
+    return hits.withColumn("place", F.row_number().over(order))
+
+
+def signal(documents: DataFrame) -> DataFrame:
+    """How strong the first level's documents (query_id, n_docs, best, n_paths) are: strong, moderate, weak or empty."""
+    strong = (F.col("best") >= 0.7) & (F.col("n_paths") == 2)
+    value = F.when(F.col("n_docs") == 0, "empty").when(strong, "strong").when((F.col("best") >= 0.5) | (F.col("n_docs") >= 3), "moderate").otherwise("weak")
+    return documents.select("query_id", value.alias("signal"))
+
+
+def structural(chunks: DataFrame, kinds: Sequence[str], most: int) -> DataFrame:
+    """All chunks of the kinds in reading order, the first ``most`` of each document, all with a score of 1."""
+    order = Window.partitionBy("doc_id").orderBy("page_start", "paragraph_index", "pk")
+    own = chunks.where(F.col("type").isin(*kinds)).withColumn("place", F.row_number().over(order))
+    return own.where(F.col("place") <= most).select("doc_id", "pk", F.lit(1.0).alias("score"))
+
+
+def label_scores(rows: DataFrame, figures: Sequence[str], tables: Sequence[str]) -> DataFrame:
+    """``(pk, score)`` of chunks that name a figure or table: 5 for each in a chunk of that kind, else 2."""
+    label = lambda n: rf"(?:^|[^A-Za-z0-9_])fig(?:ure|\.)?[ ]*{n}(?:[^0-9A-Za-z]|$)|图[ ]*{n}(?:[^0-9A-Za-z]|$)|(?:^|[^A-Za-z0-9_])fig\.?[ ]*s{n}(?:[^0-9A-Za-z]|$)"
+    named = [("image", f"(?i){label(n)}") for n in figures] + [("table", rf"(?i)(?:^|[^A-Za-z0-9_])table[ ]*{n}(?:[^0-9A-Za-z]|$)|表[ ]*{n}(?:[^0-9A-Za-z]|$)") for n in tables]
+    points = [F.when(F.col("content").rlike(p), F.when(F.col("type") == kind, 5).otherwise(2)).otherwise(0) for kind, p in named]
+    score = sum(points[1:], points[0]) if points else F.lit(0)
+    return rows.select("pk", score.cast("double").alias("score")).where("score > 0")
+
+
+def relaxed(questions: DataFrame, filtered: DataFrame, free: DataFrame) -> DataFrame:
+    """Hits under a time filter; questions that have none there get those without the filter, and say so."""
+    empty = questions.select("query_id").distinct().join(filtered.select("query_id").distinct(), "query_id", "left_anti")
+    return filtered.withColumn("relaxed", F.lit(False)).unionByName(free.join(empty, "query_id", "left_semi").withColumn("relaxed", F.lit(True)))
+
+
 def confidence(lexical: DataFrame, vector: DataFrame, least: float) -> DataFrame:
     """Whether the best hits of a question are sure: both paths have some, and the dense best alone (where the lexical is over 1), else their mean, reaches ``least``."""
     best = lambda hits, name: hits.groupBy("query_id").agg(F.max("score").alias(name))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,11 +19,11 @@ DOC_NAMES = Fixture("query_id int, q string", (1, "nt onor the of it"), (2, "The
 
 
 def benchmark_queries(spark, d) -> DataFrame:
-    """The first eight words of each benchmark item as a question."""
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", "[ \n]+"), 1, 8), " ").alias("q"))
+    """The benchmark items as questions, whole."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
 
 
-BQ = "bench AS (SELECT item_id AS query_id, array_to_string(list_slice(regexp_split_to_array(text, '[ \\n]+'), 1, 8), ' ') AS q FROM benchmark)"
+BQ = "bench AS (SELECT item_id AS query_id, text AS q FROM benchmark)"
 #: Documents as chunks of one text each: the coarse corpus of the flagship query.
 DOCS = "docs AS (SELECT doc_id AS pk, text AS content FROM documents)"
 
@@ -50,16 +52,16 @@ def bm25_document_frequency(spark, d):
     return r.postings(chunks(spark, d)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where("df >= 50")
 
 
-@query("bm25_max_queries", f"WITH {DOCS}, sub AS (SELECT * FROM {DOC_NAMES.sql}), {r.bm25_sql(1000000, 'sub', 'docs')} SELECT pk, max(score) AS score FROM bm25 GROUP BY pk")
+@query("bm25_max_queries", f"WITH {DOCS}, sub AS (SELECT * FROM {DOC_NAMES.sql}), {r.bm25_sql(None, 'sub', 'docs')} SELECT pk, max(score) AS score FROM bm25 GROUP BY pk")
 def bm25_max_queries(spark, d):
-    return r.bm25(DOC_NAMES.df(spark), document_rows(spark, d), 1000000).groupBy("pk").agg(F.max("score").alias("score"))
+    return r.bm25(DOC_NAMES.df(spark), document_rows(spark, d), None).groupBy("pk").agg(F.max("score").alias("score"))
 
 
 def query_vectors(spark, d) -> DataFrame:
-    return table(spark, d, "embeddings").where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_vec"))
+    return table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_vec"))
 
 
-QV = "qv AS (SELECT vec_id AS query_id, embedding AS q_vec FROM embeddings WHERE vec_id % 10 = 0)"
+QV = "qv AS (SELECT vec_id AS query_id, embedding AS q_vec FROM embeddings WHERE vec_id % 100 = 0)"
 
 
 @query("vector_topk", f"WITH {QV}, {r.dense_sql(10, 'qv', 'embeddings', 'vec_id')} SELECT query_id, vec_id, score, rank FROM dense")
@@ -72,20 +74,19 @@ def vector_topk_filtered(spark, d):
     return r.dense(query_vectors(spark, d), table(spark, d, "embeddings").where("label < 5"), 3, "vec_id").select("query_id", "vec_id", "score", "rank")
 
 
-#: Chunks with vectors: the first lines of documents, which take the vectors in turn.
-VC = f"{C}, vchunks AS (SELECT c.*, e.embedding FROM chunks c JOIN embeddings e ON CAST(c.doc_id AS BIGINT) = e.vec_id WHERE paragraph_index <= 6 AND (CAST(c.doc_id AS BIGINT) + paragraph_index) % 2 = 0)"
-VQ = "vq AS (SELECT query_id, q, embedding AS q_vec FROM bench JOIN embeddings ON query_id * 7 = vec_id)"
+#: All chunks with vectors, and all questions: the vectors there are in turn, by ordinals.
+VC = f"{C}, vchunks AS (SELECT c.*, e.embedding FROM chunks c JOIN embeddings e ON (CAST(c.doc_id AS BIGINT) * 31 + paragraph_index) % (SELECT count(*) FROM embeddings) = e.vec_id)"
+VQ = "vq AS (SELECT query_id, q, embedding AS q_vec FROM bench JOIN embeddings ON query_id * 7 % (SELECT count(*) FROM embeddings) = vec_id)"
 
 
 def vector_chunks(spark, d) -> DataFrame:
-    own = chunks(spark, d).where("paragraph_index <= 6 AND (cast(doc_id AS bigint) + paragraph_index) % 2 = 0")
-    vectors = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("doc_id"), "embedding")
-    return own.join(vectors, "doc_id")
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return chunks(spark, d).withColumn("vec_id", (F.col("doc_id").cast("long") * 31 + F.col("paragraph_index")) % vectors.count()).join(vectors, "vec_id").drop("vec_id")
 
 
 def both_queries(spark, d) -> DataFrame:
     vectors = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("q_vec"))
-    return benchmark_queries(spark, d).join(vectors, F.col("query_id") * 7 == F.col("vec_id")).drop("vec_id")
+    return benchmark_queries(spark, d).withColumn("vec_id", F.col("query_id") * 7 % vectors.count()).join(vectors, "vec_id").drop("vec_id")
 
 
 def rrf_sql(k: int) -> str:
@@ -138,11 +139,20 @@ def pooled(spark, d, name: str, k: int) -> DataFrame:
     return r.union_max([("vector", r.dense(q, own, k)), ("bm25", r.bm25(q, own, k))])
 
 
+def _tagged(tag: str, body: str) -> str:
+    """The CTEs with names of their own, so that a statement can have them more than once."""
+    for n in ("dsc", "dense", "bt", "be", "bp", "bd", "bsc", "bs", "bq", "bm25"):
+        body = re.sub(rf"(?<![A-Za-z_0-9.]){n}(?![A-Za-z_0-9])", f"{tag}_{n}", body)
+    return body
+
+
+def _bm25_of(tag: str, queries: str, source: str, k: int) -> str:
+    return _tagged(tag, r.bm25_sql(k, queries, source))
+
+
 def _pool_sql(tag: str, where: str, k: int) -> str:
     body = f"{tag}_c AS (SELECT * FROM vchunks WHERE {where}), {r.dense_sql(k, 'vq', tag + '_c', 'pk')}, {r.bm25_sql(k, 'vq', tag + '_c')}"
-    for n in ("dsc", "dense", "bt", "be", "bp", "bd", "bsc", "bs", "bq", "bm25"):
-        body = __import__("re").sub(rf"(?<![A-Za-z_0-9.]){n}(?![A-Za-z_0-9])", f"{tag}_{n}", body)
-    return f"{body}, {tag} AS (SELECT query_id, pk, max(score) AS score, string_agg(path, ',' ORDER BY path) AS sources FROM (SELECT query_id, pk, score, 'vector' path FROM {tag}_dense UNION ALL SELECT query_id, pk, score, 'bm25' FROM {tag}_bm25) u GROUP BY query_id, pk)"
+    return f"{_tagged(tag, body)}, {tag} AS (SELECT query_id, pk, max(score) AS score, string_agg(path, ',' ORDER BY path) AS sources FROM (SELECT query_id, pk, score, 'vector' path FROM {tag}_dense UNION ALL SELECT query_id, pk, score, 'bm25' FROM {tag}_bm25) u GROUP BY query_id, pk)"
 
 
 @query("summary_retrieve", f"WITH {VC}, {BQ}, {VQ}, {_pool_sql('sm', 'type = ' + chr(39) + 'summary' + chr(39), 5)}, {_pool_sql('ti', 'type = ' + chr(39) + 'title' + chr(39), 5)} SELECT query_id, pk, score, CAST(rank AS INTEGER) rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pk) AS rank FROM (SELECT query_id, pk, max(score) score FROM (SELECT * FROM sm UNION ALL SELECT * FROM ti) u GROUP BY ALL) v) w WHERE rank <= 5")
@@ -167,7 +177,7 @@ def merge_pools(spark, d):
 def progressive_l1(spark, d):
     q, own = both_queries(spark, d), vector_chunks(spark, d).where(filters.pool("overview"))
     docs = own.select("pk", "doc_id", "doc_name")
-    ranked = [r.documents_by_score(hits.join(docs, "pk"), 1_000_000) for hits in (r.dense(q, own, 5), r.bm25(q, own, 5))]
+    ranked = [r.documents_by_score(hits.join(docs, "pk"), None) for hits in (r.dense(q, own, 5), r.bm25(q, own, 5))]
     return r.merged_rankings(*ranked, 1.0, 10).select("query_id", "doc_id", "score", "rank")
 
 
@@ -187,10 +197,11 @@ def merge_doc_rankings(spark, d):
     return r.merged_rankings(first, OTHER.df(spark), 0.85, 3)
 
 
-@query("grade_anchor", f"WITH {C} SELECT pk, CAST(row_number() OVER (ORDER BY CAST(NOT contains(content, 'heed') AS INTEGER), length(content) DESC, pk) AS INTEGER) AS rank FROM chunks WHERE type = 'summary'")
+@query("grade_anchor", f"WITH {C}, {BQ}, su AS (SELECT * FROM chunks WHERE type = 'summary'), {r.bm25_sql(20, 'bench', 'su')} SELECT query_id, pk, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CAST(NOT contains(lower(content), 'heed') AS INTEGER), rank, pk) AS INTEGER) AS place FROM bm25 JOIN su USING (pk)")
 def grade_anchor(spark, d):
-    order = Window.orderBy((~F.contains("content", F.lit("heed"))).cast("int"), F.desc(F.length("content")), "pk")
-    return chunks(spark, d).where("type = 'summary'").select("pk", F.row_number().over(order).alias("rank"))
+    own = chunks(spark, d).where("type = 'summary'")
+    hits = r.bm25(benchmark_queries(spark, d), own, 20).join(own.select("pk", "content"), "pk")
+    return r.anchored(hits, F.array(F.lit("heed"))).select("query_id", "pk", "place")
 
 
 @query("l2_confidence", f"WITH {VC}, {BQ}, {VQ}, pr AS (SELECT * FROM vchunks WHERE type IN ('text', 'equation')), {r.dense_sql(1, 'vq', 'pr', 'pk')}, {r.bm25_sql(1, 'vq', 'pr')} SELECT query_id, coalesce(b.score IS NOT NULL AND v.score IS NOT NULL AND CASE WHEN b.score > 1 THEN v.score ELSE (b.score + v.score) / 2 END >= 0.35, false) AS sure FROM dense v FULL JOIN bm25 b USING (query_id)")
@@ -212,16 +223,14 @@ def split_pool(spark, d):
 
 @query("structural_recall", f"WITH {C} SELECT doc_id, pk, CAST(1 AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_start, paragraph_index, pk) r FROM chunks WHERE type IN ('references', 'image', 'table')) WHERE r <= 500")
 def structural_recall(spark, d):
-    order = Window.partitionBy("doc_id").orderBy("page_start", "paragraph_index", "pk")
-    own = chunks(spark, d).where(F.col("type").isin(*filters.STRUCTURAL))
-    return own.withColumn("r", F.row_number().over(order)).where("r <= 500").select("doc_id", "pk", F.lit(1.0).alias("score"))
+    return r.structural(chunks(spark, d), filters.STRUCTURAL, 500)
 
 
 @query("structural_first", f"WITH {VC}, {BQ}, {VQ}, ty AS (SELECT * FROM vchunks WHERE type = 'summary'), {r.dense_sql(20, 'vq', 'ty', 'pk')} SELECT query_id, split_part(pk, '::', 1) doc_id, round(max(score * 0.75), 7) score FROM dense GROUP BY ALL")
 def structural_first(spark, d):
     own = vector_chunks(spark, d).where("type = 'summary'")
     hits = r.dense(both_queries(spark, d), own, 20).join(own.select("pk", "doc_id", "doc_name"), "pk")
-    return r.documents_by_score(hits, 1_000_000, 0.75).select("query_id", "doc_id", "score")
+    return r.documents_by_score(hits, None, 0.75).select("query_id", "doc_id", "score")
 
 
 SIGNALS = Fixture("query_id int, n_docs int, best double, n_paths int", (1, 5, 0.9, 2), (2, 1, 0.4, 1), (3, 0, None, 0), (4, 3, 0.6, 2), (5, 2, 0.2, 2))
@@ -229,8 +238,7 @@ SIGNALS = Fixture("query_id int, n_docs int, best double, n_paths int", (1, 5, 0
 
 @query("l1_signal", f"SELECT query_id, CASE WHEN n_docs = 0 THEN 'empty' WHEN best >= 0.7 AND n_paths = 2 THEN 'strong' WHEN best >= 0.5 OR n_docs >= 3 THEN 'moderate' ELSE 'weak' END AS signal FROM {SIGNALS.sql}")
 def l1_signal(spark, d):
-    signal = F.when(F.col("n_docs") == 0, "empty").when((F.col("best") >= 0.7) & (F.col("n_paths") == 2), "strong").when((F.col("best") >= 0.5) | (F.col("n_docs") >= 3), "moderate").otherwise("weak")
-    return SIGNALS.df(spark).select("query_id", signal.alias("signal"))
+    return r.signal(SIGNALS.df(spark))
 
 
 _FIG3 = "regexp_matches(content, '(?i)(?:^|[^A-Za-z0-9_])fig(?:ure|\\.)?[ ]*3(?:[^0-9A-Za-z]|$)|图[ ]*3(?:[^0-9A-Za-z]|$)|(?:^|[^A-Za-z0-9_])fig\\.?[ ]*s3(?:[^0-9A-Za-z]|$)')"
@@ -239,11 +247,7 @@ _TAB2 = "regexp_matches(content, '(?i)(?:^|[^A-Za-z0-9_])table[ ]*2(?:[^0-9A-Za-
 
 @query("metadata_refs", f"SELECT pk, score FROM (SELECT pk, CAST(CASE WHEN {_FIG3} THEN CASE WHEN type = 'image' THEN 5 ELSE 2 END ELSE 0 END + CASE WHEN {_TAB2} THEN CASE WHEN type = 'table' THEN 5 ELSE 2 END ELSE 0 END AS DOUBLE) AS score FROM {FIGURES.sql}) s WHERE score > 0")
 def metadata_refs(spark, d):
-    fig = r"(?i)(?:^|[^A-Za-z0-9_])fig(?:ure|\.)?[ ]*3(?:[^0-9A-Za-z]|$)|图[ ]*3(?:[^0-9A-Za-z]|$)|(?:^|[^A-Za-z0-9_])fig\.?[ ]*s3(?:[^0-9A-Za-z]|$)"
-    tab = r"(?i)(?:^|[^A-Za-z0-9_])table[ ]*2(?:[^0-9A-Za-z]|$)|表[ ]*2(?:[^0-9A-Za-z]|$)"
-    points = lambda hit, kind: F.when(hit, F.when(F.col("type") == kind, 5).otherwise(2)).otherwise(0)
-    score = (points(F.col("content").rlike(fig), "image") + points(F.col("content").rlike(tab), "table")).cast("double")
-    return FIGURES.df(spark).select("pk", score.alias("score")).where("score > 0")
+    return r.label_scores(FIGURES.df(spark), ["3"], ["2"])
 
 
 @query("metadata_keywords", f"WITH {C}, kq AS (SELECT 1 AS query_id, 'heed the nt' AS q), {r.bm25_sql(10, 'kq')} SELECT query_id, pk, score, rank FROM bm25")
@@ -258,15 +262,16 @@ def nth_asset(spark, d):
     return chunks(spark, d).where("type = 'image'").withColumn("n", F.row_number().over(order)).where("n = 2").select("doc_id", "pk")
 
 
-@query("time_relax", f"WITH {C}, {BQ}, f AS (SELECT * FROM chunks WHERE publication_year = 2003 AND type = 'summary'), {r.bm25_sql(5, 'bench', 'f')}, x AS (SELECT DISTINCT query_id FROM bm25), g AS (SELECT CAST(query_id AS BIGINT) query_id, count(*) n FROM bm25 GROUP BY ALL) SELECT b.query_id, coalesce(n, 0)::BIGINT AS n, n IS NULL AS relaxed FROM bench b LEFT JOIN g USING (query_id)")
+@query("time_relax", f"WITH {C}, {BQ}, f AS (SELECT * FROM chunks WHERE publication_year = 2003 AND type = 'image'), a AS (SELECT * FROM chunks WHERE type = 'image'), {_bm25_of('fi', 'bench', 'f', 5)}, {_bm25_of('al', 'bench', 'a', 5)} SELECT query_id, pk, score, rank, false AS relaxed FROM fi_bm25 UNION ALL SELECT query_id, pk, score, rank, true FROM al_bm25 WHERE query_id NOT IN (SELECT query_id FROM fi_bm25)")
 def time_relax(spark, d):
-    q = benchmark_queries(spark, d)
-    hits = r.bm25(q, chunks(spark, d).where("publication_year = 2003 AND type = 'summary'"), 5)
-    counted = q.select("query_id").join(hits.groupBy("query_id").agg(F.count("*").alias("c")), "query_id", "left")
-    return counted.select("query_id", F.coalesce("c", F.lit(0)).cast("long").alias("n"), F.col("c").isNull().alias("relaxed"))
+    q, own = benchmark_queries(spark, d), chunks(spark, d).where("type = 'image'")
+    return r.relaxed(q, r.bm25(q, own.where("publication_year = 2003"), 5), r.bm25(q, own, 5)).select("query_id", "pk", "score", "rank", "relaxed")
+
+
+_RRF5 = rrf_sql(5)
 
 
-@query("simple_modes")
+@query("simple_modes", f"WITH {VC}, {BQ}, {VQ}, {r.dense_sql(5, 'vq', 'vchunks', 'pk')}, {r.bm25_sql(5, 'vq', 'vchunks')}, {_RRF5} SELECT 'vector' AS mode, query_id, pk, score, rank FROM dense UNION ALL SELECT 'bm25', query_id, pk, score, rank FROM bm25 UNION ALL SELECT 'hybrid', query_id, pk, score, rank FROM rrf")
 def simple_modes(spark, d):
     q, own = both_queries(spark, d), vector_chunks(spark, d)
     paths = {"vector": r.dense(q, own, 5), "bm25": r.bm25(q, own, 5)}

@@ -197,9 +197,9 @@ def route_chunk_type(spark, d):
     return ROUTES.df(spark).withColumn("effective", filters.route_type(F.col("route"), F.col("chunk_type"), F.col("handled")))
 
 
-@query("sample_chunks")
+@query("sample_chunks", f"WITH {C} SELECT pk, doc_id FROM chunks WHERE length(content) >= 100 ORDER BY md5(pk), pk LIMIT 50")
 def sample_chunks(spark, d):
-    return chunks(spark, d).where(F.length("content") >= 100).orderBy(F.xxhash64("pk"), "pk").limit(50).select("pk", "doc_id")
+    return chunks(spark, d).where(F.length("content") >= 100).orderBy(F.md5("pk"), "pk").limit(50).select("pk", "doc_id")
 
 
 EVAL = Fixture("question string, query_type string, eval_kind string, in_corpus boolean", ("q1", "fact", "fact_retrieval", True), ("q2", "summary", "generation", True), ("q3", "fact", "fact_retrieval", False), ("q4", "table", "doc_scoped_retrieval", None))
@@ -243,7 +243,7 @@ def year_vote(spark, d):
     return catalog.year_by_vote(DOC_TEXT.df(spark))
 
 
-@query("rebuild")
+@query("rebuild", f"WITH {C} SELECT pk, doc_id, doc_name, chunk_id, type, section, page_start, paragraph_index, publication_year, content FROM chunks")
 def rebuild(spark, d):
     return store.checked(chunks(spark, d)).select(store.SCHEMA.fieldNames())
 
