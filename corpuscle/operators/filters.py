@@ -21,7 +21,10 @@ STRUCTURAL = ("image", "table", "references")
 #: Types of layout blocks that carry no text of the document.
 NOISE = ("noise", "header", "footer", "page_number")
 #: Starts of lines that name a journal, dates of handling or a licence and are no content.
-METADATA_LINE = r"(?i)^(?:journal|vol\.|volume|received|accepted|published|available online|doi|issn|copyright|©|https?:)"
+METADATA_LINE = (  # fixed values: what lines of a journal's data start with
+    r"(?i)^[ \t]*(?:中\s*图\s*分\s*类\s*号|文\s*献\s*标\s*[识志]\s*码|文\s*章\s*编\s*号|DOI(?:\s*号)?|收\s*稿\s*日\s*期|修\s*回\s*日\s*期|基\s*金\s*项\s*目|作\s*者\s*简\s*介|通\s*[讯信]\s*作\s*者|作\s*者\s*单\s*位"
+    r"|CLC\s*number|document\s*code|article\s*id)\s*[:：]"
+)
 #: Fixed parts of figure and table references in texts.
 FIGURE_WORDS, TABLE_WORDS = ("Fig.", "Fig", "Figure", "figure", "图"), ("Table", "table", "TABLE", "表")
 MOST_VARIANTS = 12

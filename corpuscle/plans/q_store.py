@@ -158,7 +158,7 @@ def drop_nav(spark, d):
     return NAV.df(spark).where(~filters.navigation()).select("pk")
 
 
-BLOCKS = Fixture("pk string, type string, hidden boolean, conf double, text string", ("a", "paragraph", False, 0.9, "good text"), ("b", "noise", False, 0.9, "x"), ("c", "paragraph", True, 0.9, "y"), ("d", "paragraph", False, 0.1, "z"), ("e", "paragraph", None, None, "�#@!~^*&"), ("f", "paragraph", False, 0.8, "Journal of Steel, Vol. 3"), ("g", "paragraph", False, 0.8, "Received 3 May 2020"))
+BLOCKS = Fixture("pk string, type string, hidden boolean, conf double, text string", ("a", "paragraph", False, 0.9, "good text"), ("b", "noise", False, 0.9, "x"), ("c", "paragraph", True, 0.9, "y"), ("d", "paragraph", False, 0.1, "z"), ("e", "paragraph", None, None, "�#@!~^*&"), ("f", "paragraph", False, 0.8, "Journal of Steel, Vol. 3"), ("g", "paragraph", False, 0.8, "Received 3 May 2020"), ("h", "paragraph", False, 0.8, "DOI: 10.1016/j.x"), ("i", "paragraph", False, 0.8, " 收 稿 日 期：2020-01-02"), ("j", "paragraph", False, 0.8, "CLC number: TG172"))
 
 
 @query("block_filter", f"SELECT pk FROM {BLOCKS.sql} WHERE type NOT IN ('noise', 'header', 'footer', 'page_number') AND NOT coalesce(hidden, false) AND coalesce(conf, 1.0) >= 0.3")
