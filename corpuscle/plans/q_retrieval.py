@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.functions import text
 from corpuscle.functions.words import DENSE_WEIGHT
-from corpuscle.operators import filters, retrieval as r
+from corpuscle.operators import filters, retrieval as r, routing
 from corpuscle.sources.chunks import CHUNKS_SQL as C
 
 from .q_store import FIGURES, chunks
@@ -281,3 +281,76 @@ def simple_modes(spark, d):
         part = hits.select(F.lit(mode).alias("mode"), "query_id", "pk", "score", "rank")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+_SCOPE = f"""ov AS (SELECT * FROM vchunks WHERE type IN ('summary', 'title')), {_tagged('o', r.dense_sql(5, 'vq', 'ov', 'pk'))}, {_tagged('o', r.bm25_sql(5, 'vq', 'ov'))},
+ od AS (SELECT query_id, split_part(pk, '::', 1) doc_id, max(score) score FROM (SELECT query_id, pk, score FROM o_dense UNION ALL SELECT query_id, pk, score FROM o_bm25) u GROUP BY ALL),
+ scope AS (SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 5) DESC, doc_id) r FROM od) WHERE r <= 10)"""
+
+
+def _second_level_sql(tag: str, types: str, k: int, most: int) -> str:
+    """A pool's hits by both paths, in the documents of the scope where that is sure, else everywhere."""
+    scored = f"{tag}_c AS (SELECT * FROM vchunks WHERE type IN ({types})), {_tagged(tag, r.dense_sql(1, 'vq', tag + '_c', 'pk'))}, {_tagged(tag, r.bm25_sql(1, 'vq', tag + '_c'))}"
+    part = lambda path, kind: f"SELECT query_id, pk, score, '{path}' path, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pk) r FROM {tag}_{kind} JOIN sure USING (query_id) WHERE NOT sure OR (query_id, split_part(pk, '::', 1)) IN (SELECT (query_id, doc_id) FROM scope)"
+    return f"""{scored}, {tag}_h AS (SELECT query_id, pk, max(score) score, string_agg(path, ',' ORDER BY path) sources FROM ({part('vector', 'dsc')} UNION ALL {part('bm25', 'bsc')}) u WHERE r <= {k} GROUP BY ALL),
+ {tag}_top AS (SELECT query_id, pk, score, sources, if(sure, 'l2', 'l2_global') AS stage FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pk) r FROM {tag}_h) JOIN sure USING (query_id) WHERE r <= {most})"""
+
+
+_BEST = "SELECT query_id, max(score) s FROM {0} WHERE (query_id, split_part(pk, '::', 1)) IN (SELECT (query_id, doc_id) FROM scope) GROUP BY ALL"
+_PROSE_SCORES = f"pp AS (SELECT * FROM vchunks WHERE type IN ('text', 'equation')), {_tagged('q', r.dense_sql(1, 'vq', 'pp', 'pk'))}, {_tagged('q', r.bm25_sql(1, 'vq', 'pp'))}"
+_SURE = f"sure AS (SELECT query_id, coalesce(CASE WHEN l.s > 1 THEN v.s ELSE (l.s + v.s) / 2 END >= 0.35, false) AS sure FROM vq LEFT JOIN ({_BEST.format('q_bsc')}) l USING (query_id) LEFT JOIN ({_BEST.format('q_dsc')}) v USING (query_id))"
+
+
+@query("progressive_full", f"WITH {VC}, {BQ}, {VQ}, {_SCOPE}, {_PROSE_SCORES}, {_SURE}, {_second_level_sql('a', chr(39) + 'text' + chr(39) + ', ' + chr(39) + 'equation' + chr(39), 5, 8)}, {_second_level_sql('z', chr(39) + 'image' + chr(39) + ', ' + chr(39) + 'table' + chr(39), 5, 2)} SELECT * FROM a_top UNION ALL SELECT * FROM z_top")
+def progressive_full(spark, d):
+    q, own = both_queries(spark, d), vector_chunks(spark, d)
+    pools = [(F.col("type").isin("text", "equation"), 8), (F.col("type").isin("image", "table"), 2)]
+    return r.progressive(q, own, filters.pool("overview"), pools)
+
+
+#: Each question names documents by id: those whose number it divides by 40 with the rest that its own number is.
+def _named(spark, d) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "doc_id").toDF("doc_id", "n")
+    return benchmark_queries(spark, d).select("query_id").withColumn("m", F.col("query_id") % 40).join(docs.withColumn("m", F.col("n") % 40), "m").select("query_id", "doc_id")
+
+
+_NAMED = "scope AS (SELECT query_id, CAST(doc_id AS VARCHAR) doc_id FROM bench JOIN documents ON doc_id % 40 = query_id % 40)"
+
+
+@query("local_direct", f"WITH {VC}, {BQ}, {VQ}, {_NAMED}, sure AS (SELECT query_id, true AS sure FROM vq), {_second_level_sql('a', chr(39) + 'text' + chr(39) + ', ' + chr(39) + 'equation' + chr(39), 8, 8)} SELECT query_id, pk, score, sources FROM a_top")
+def local_direct(spark, d):
+    return r.direct(both_queries(spark, d), vector_chunks(spark, d).where(F.col("type").isin("text", "equation")), _named(spark, d), 8)
+
+
+@query("l1_fallback", f"WITH {C}, {BQ}, su AS (SELECT * FROM chunks WHERE type = 'summary'), {r.bm25_sql(20, 'bench', 'su')} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) rank FROM (SELECT query_id, split_part(pk, '::', 1) doc_id, round(max(score * 0.9), 7) score FROM bm25 GROUP BY ALL)) WHERE rank <= 6")
+def l1_fallback(spark, d):
+    own = chunks(spark, d).where("type = 'summary'")
+    hits = r.bm25(benchmark_queries(spark, d), own, 20).join(own.select("pk", "doc_id", "doc_name"), "pk")
+    return r.documents_by_score(hits, 6, 0.9).drop("doc_name")
+
+
+def _plans(spark, d) -> DataFrame:
+    """Every question as two sub-questions on routes of their own, and on the metadata route."""
+    q = both_queries(spark, d)
+    first = q.withColumn("sub", F.lit("sub1")).withColumn("route", F.lit("progressive"))
+    second = q.withColumn("sub", F.lit("sub2")).withColumn("route", F.lit("summary"))
+    return first.unionByName(second).unionByName(second.withColumn("route", F.lit("metadata")))
+
+
+_ROUTES_SQL = f"WITH {VC}, {BQ}, {VQ}, su AS (SELECT * FROM vchunks WHERE type = 'summary'), im AS (SELECT * FROM vchunks WHERE type = 'image'), {_tagged('a', r.dense_sql(4, 'vq', 'vchunks', 'pk'))}, {_bm25_of('b', 'vq', 'su', 3)}, {_bm25_of('c', 'vq', 'im', 2)} SELECT query_id, 'sub1' AS sub, 'progressive' AS route, pk, score, rank FROM a_dense UNION ALL SELECT query_id, 'sub2', 'summary', pk, score, rank FROM b_bm25 UNION ALL SELECT query_id, 'sub2', 'metadata', pk, score, rank FROM c_bm25"
+
+
+def _dispatch(spark, d) -> DataFrame:
+    own = vector_chunks(spark, d)
+    handlers = {"progressive": lambda q: r.dense(q, own, 4), "summary": lambda q: r.bm25(q, own.where("type = 'summary'"), 3), "metadata": lambda q: r.bm25(q, own.where("type = 'image'"), 2)}
+    return routing.dispatched(_plans(spark, d), handlers)
+
+
+@query("multi_route", _ROUTES_SQL)
+def multi_route(spark, d):
+    return _dispatch(spark, d)
+
+
+@query("compound", f"SELECT query_id, sub || ':' || route AS key, count(*)::BIGINT AS hits, max(score) AS best FROM ({_ROUTES_SQL}) GROUP BY ALL")
+def compound(spark, d):
+    return _dispatch(spark, d).groupBy("query_id", F.concat_ws(":", "sub", "route").alias("key")).agg(F.count("*").alias("hits"), F.max("score").alias("best"))
