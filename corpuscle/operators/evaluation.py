@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import retrieval
+
 #: Longest gold text and answer looked for as a whole; of longer ones windows of WINDOW characters, each half a window on.
 WINDOW, WHOLE_ANSWER = 20, 30
 
@@ -62,3 +64,45 @@ def report(results: DataFrame, by: str = "eval_kind") -> DataFrame:
         F.round(F.avg("exact"), 4).alias("exact"), F.round(F.avg(F.when(ok, F.col("latency"))), 3).alias("latency"), F.grouping(by).alias("__all"),
     )
     return out.withColumn(by, F.when(F.col("__all") == 1, "ALL").otherwise(F.col(by))).drop("__all")
+
+
+#: What a question's type stands for, where its kind isn't given (fixed values).
+KINDS = ("fact_retrieval", "doc_scoped_retrieval", "generation", "skip_auto")
+KIND_OF_TYPE = {"progressive": "fact_retrieval", "local": "doc_scoped_retrieval", "metadata_fig": "doc_scoped_retrieval", "metadata_page": "doc_scoped_retrieval", "metadata_entity": "doc_scoped_retrieval", "references": "doc_scoped_retrieval", "summary": "generation", "multi": "skip_auto"}
+
+
+def eval_kind(kind: Column, query_type: Column) -> Column:
+    """The kind of a question: the given one if it is known, else that of its type."""
+    given = F.lower(F.trim(F.coalesce(kind, F.lit(""))))
+    by_type = F.element_at(F.create_map(*(F.lit(x) for pair in KIND_OF_TYPE.items() for x in pair)), F.when(query_type.isin(*KIND_OF_TYPE), query_type).otherwise("progressive"))
+    return F.when(given.isin(*KINDS), given).otherwise(by_type)
+
+
+def contexts(hits: DataFrame) -> DataFrame:
+    """``(query_id, at, text)``: texts of hits (query_id, route_pos, rank, type, content, context), each once, in order.
+
+    The context of figures and tables counts as a text of its own.
+    """
+    both = F.array(F.col("content"), F.when(F.col("type").isin("image", "table"), F.col("context")))
+    each = hits.select("query_id", "route_pos", "rank", F.posexplode(both).alias("part", "text")).select("query_id", F.struct("route_pos", "rank", "part").alias("place"), F.trim("text").alias("text")).where("text != ''")
+    first = each.groupBy("query_id", "text").agg(F.min("place").alias("place"))
+    return first.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy("place"))).select("query_id", "at", "text")
+
+
+def retrieve_only(queries: DataFrame, chunks: DataFrame, scope: DataFrame, k: int) -> DataFrame:
+    """``(query_id, pk, score, rank)``: the k best hits of each question (query_id, q, q_vec, kind), as an evaluation asks for them.
+
+    Both paths are fused with the weights that the question's words call for; each brings three times as many hits, 40 at
+    least. Questions about one document search in it alone: scope is (query_id, doc_id).
+    """
+    wide, inside = max(40, 3 * k), F.col("kind") == "doc_scoped_retrieval"
+    dense, lexical = retrieval.weights(retrieval.bias(F.col("q")), F.lit("simple"))
+    weighed = queries.select("query_id", dense.alias("w_dense"), lexical.alias("w_bm25"))
+    narrow, free = queries.where(inside), queries.where(~inside)
+    paths = []
+    for name, found in (
+        ("w_dense", retrieval.dense(free, chunks, wide).unionByName(retrieval.scoped_dense(narrow, chunks, scope, wide))),
+        ("w_bm25", retrieval.bm25(free, chunks, wide).unionByName(retrieval.scoped_bm25(narrow, chunks, scope, wide))),
+    ):
+        paths.append((found.join(weighed, "query_id"), name))
+    return retrieval.fused(paths, k).select("query_id", "pk", "score", "rank")
