@@ -22,29 +22,36 @@ SAMPLE_ROWS = 20_000
 TREES, DEPTH, LASSO = 12, 3, 0.002
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a text by name; all are 0 for null and empty texts."""
+def statistics(text: Column, words: Column) -> dict[str, Column]:
+    """Statistics of a text by name; all are 0 for null and empty texts. words: see :func:`word_count`."""
     text = F.coalesce(text, F.lit(""))
     size = F.greatest(F.length(text), F.lit(1)).cast("double")
-    words = F.greatest(F.regexp_count(text, F.lit(r"\S++")), F.lit(1)).cast("double")
-    share = lambda pattern, of: F.coalesce(F.regexp_count(text, F.lit(pattern)).cast("double"), F.lit(0.0)) / of
+    count = lambda pattern: F.coalesce(F.regexp_count(text, F.lit(pattern)).cast("double"), F.lit(0.0))
+    # single characters by what is left without the others, or by how much shorter the text is without them
+    left = lambda others: F.length(F.regexp_replace(text, others, "")).cast("double")
+    gone = lambda chars: (F.length(text) - F.length(F.translate(text, chars, ""))).cast("double")
     return {
         "log_chars": F.log1p(F.length(text).cast("double")),
         "word_chars": F.length(text).cast("double") / words,
-        "upper": share(r"\p{Lu}", size),
-        "digits": share(r"[0-9]", size),
-        "symbols": share(r"[^\p{L}\p{N}\s.,;:!?'\"()-]", size),
-        "stops": share(r"[.,;:]", words),
-        "bangs": share(r"!", words),
-        "bars": share(r"(?<!\S)[|](?!\S)", words),
-        "long_words": share(r"\S{20,}+", words),
-        "repeats": share(r"(?<!\S)(\S++)(?=\s\1(?!\S))", words),
-        "lines": share(r"\n", words),
-        "capitals": share(r"(?<!\S)\p{Lu}{2}", words),
+        "upper": left(r"[^\p{Lu}]++") / size,
+        "digits": gone("0123456789") / size,
+        "symbols": left(r"[\p{L}\p{N}\s.,;:!?'\"()-]++") / size,
+        "stops": gone(".,;:") / words,
+        "bangs": gone("!") / words,
+        "bars": count(r"(?<!\S)[|](?!\S)") / words,
+        "long_words": count(r"\S{20,}+") / words,
+        "repeats": count(r"(?<!\S)(\S++)(?=\s\1(?!\S))") / words,
+        "lines": gone("\n") / words,
+        "capitals": count(r"(?<!\S)\p{Lu}{2}") / words,
         "words": F.log1p(words),
     }
 
 
+def word_count(text: Column) -> Column:
+    """Number of words, 1 at least."""
+    return F.greatest(F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S++")), F.lit(1)).cast("double")
+
+
 NAMES = tuple(["log_chars", "word_chars", "upper", "digits", "symbols", "stops", "bangs", "bars", "long_words", "repeats", "lines", "capitals", "words"])
 
 
@@ -54,11 +61,11 @@ class Rule(NamedTuple):
     terms: tuple[tuple[str, bool, float], ...]
     weight: float
 
-    def holds(self, stats: str = "") -> Column:
-        """Whether the rule holds for statistics that are columns, or fields of the column ``stats``."""
+    def holds(self, prefix: str = "") -> Column:
+        """Whether the rule holds for statistics that are columns with this before their names."""
         out = F.lit(True)
         for name, below, cut in self.terms:
-            value = F.col(f"{stats}.{name}" if stats else name)
+            value = F.col(prefix + name)
             out = out & ((value <= cut) if below else (value > cut))
         return out
 
@@ -69,10 +76,10 @@ class Ensemble(NamedTuple):
     intercept: float
     rules: tuple[Rule, ...]
 
-    def score(self, stats: str = "") -> Column:
+    def score(self, prefix: str = "") -> Column:
         total = F.lit(self.intercept)
         for rule in self.rules:
-            total = total + F.when(rule.holds(stats), rule.weight).otherwise(0.0)
+            total = total + F.when(rule.holds(prefix), rule.weight).otherwise(0.0)
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
@@ -104,10 +111,11 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, id_col: str, sample_
 
     One class alone gives a constant score near it. Ids only choose the sample; they and other columns are no inputs.
     """
-    own = labelled.where(F.col(label_col).isin(0, 1))
-    order = [F.xxhash64(F.col(id_col)).alias("by"), F.xxhash64(F.col(text_col)).alias("then")]
+    usable = labelled.where(F.col(label_col).isin(0, 1))
     # the statistics first, where the texts are: the rows that are put in order are narrow
-    own = own.select(*order, F.col(label_col).cast("double").alias("label"), *(c.alias(n) for n, c in statistics(F.col(text_col)).items()))
+    wide, prefix = _with_statistics(usable, text_col)
+    order = [F.xxhash64(F.col(id_col)).alias("by"), F.xxhash64(F.col(text_col)).alias("then")]
+    own = wide.select(*order, F.col(label_col).cast("double").alias("label"), *(F.col(prefix + n).alias(n) for n in NAMES))
     own = materialize(own, "quality-statistics").orderBy("by", "then", "label").limit(sample_rows).drop("by", "then")
     own = materialize(own, "quality-sample")
     sizes = {r["label"]: r["count"] for r in own.groupBy("label").count().collect()}
@@ -129,19 +137,15 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, id_col: str, sample_
     return Ensemble(float(model.intercept), tuple(Rule(r.terms, float(w)) for r, w in zip(rules, weights, strict=True) if abs(w) > 1e-6))
 
 
-def _free_name(docs: DataFrame, name: str) -> str:
-    """The name, with as many underscores as set it apart from the columns, whose case does not count."""
-    taken = {c.lower() for c in docs.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def _with_statistics(docs: DataFrame, text_col: str) -> tuple[DataFrame, str]:
-    # an explode of a one-element array: the statistics are computed once, however many rules read them
-    name = _free_name(docs, "__statistics")
-    own = F.struct(*(c.alias(n) for n, c in statistics(F.col(text_col)).items()))
-    return docs.select("*", F.explode(F.array(own)).alias(name)), name
+    """``docs`` with the statistics of their texts, and what stands before their names: no column starts so, in any case."""
+    prefix = "__stat_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    # columns of one-element arrays: words are counted once for a text, and so is what rules read more than once
+    counted = docs.select("*", F.explode(F.array(word_count(F.col(text_col)))).alias(prefix))
+    own = F.struct(*(c.alias(n) for n, c in statistics(F.col(text_col), F.col(prefix)).items()))
+    return counted.select("*", F.inline(F.array(own)).alias(*(prefix + n for n in NAMES))).drop(prefix), prefix
 
 
 def scored(docs: DataFrame, ensemble: Ensemble, text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -149,15 +153,15 @@ def scored(docs: DataFrame, ensemble: Ensemble, text_col: str = "text", score_co
 
     A column that has the score's name already, in any case, gives way to it.
     """
-    wide, name = _with_statistics(docs, text_col)
+    wide, prefix = _with_statistics(docs, text_col)
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() != score_col.lower()]
-    return wide.select(*kept, ensemble.score(name).alias(score_col))
+    return wide.select(*kept, ensemble.score(prefix).alias(score_col))
 
 
 def keep(docs: DataFrame, ensemble: Ensemble, least: float, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score ``least`` or more, all columns as they were."""
-    wide, name = _with_statistics(docs, text_col)
-    return wide.where(ensemble.score(name) >= least).drop(name)
+    wide, prefix = _with_statistics(docs, text_col)
+    return wide.where(ensemble.score(prefix) >= least).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def learn(docs: DataFrame, labels: DataFrame, held_out_of: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Ensemble:

@@ -99,7 +99,7 @@ def test_whole_query_against_the_rules_by_hand(spark):
 
 def test_names_that_differ_in_case_alone(spark):
     rules = quality.Ensemble(0.0, (quality.Rule((("words", False, 1.0),), 1.0),))
-    docs = spark.createDataFrame([(1, "one two three four", "w", "s", 3)], "doc_id long, text string, Words string, `__Score` string, `__statistics` long")
+    docs = spark.createDataFrame([(1, "one two three four", "w", "s", 3)], "doc_id long, text string, Words string, `__Score` string, `__STAT_words` long")
     assert quality.scored(docs, rules).columns == [*docs.columns, "score"]
     assert [tuple(r) for r in quality.keep(docs, rules, 0.3).collect()] == [tuple(r) for r in docs.collect()]
 
