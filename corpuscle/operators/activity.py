@@ -40,6 +40,16 @@ def last_states(rows: DataFrame, key: str, state: str, at: str = "t", order: str
     return rows.groupBy(key).agg(F.max_by(state, F.struct(at, order)).alias(state), F.max(at).alias("last"), F.count("*").alias("n"))
 
 
+def lifecycle(rows: DataFrame, key: str, state: str, now: int, ttl_seconds: int, restarted: int | None = None, running: Sequence[str] = ("running", "pending"), at: str = "t", order: str = "event_id") -> DataFrame:
+    """Tasks as a registry shows them: the last state of each that changed within its time to live.
+
+    What was running when the process restarted is interrupted. Times are in microseconds.
+    """
+    last = last_states(rows, key, state, at, order)
+    cut = F.lit(False) if restarted is None else F.col(state).isin(*running) & (F.col("last") < restarted)
+    return last.where(F.col("last") >= now - ttl_seconds * 1_000_000).withColumn(state, F.when(cut, "interrupted").otherwise(F.col(state)))
+
+
 def tail(rows: DataFrame, key: str, most: int, at: str = "t", order: str = "event_id") -> DataFrame:
     """The last rows of each key, as a bounded log keeps them."""
     line = Window.partitionBy(key).orderBy(F.desc(at), F.desc(order))

@@ -75,6 +75,20 @@ def threshold(matrix: Mapping[tuple[str, str, str], float], default: float, rout
     return F.coalesce(*(F.try_element_at(table, F.concat_ws("|", *step)) for step in ladder), F.lit(default))
 
 
+def gated(hits: DataFrame, matrix: Mapping[tuple[str, str, str], float], default: float, quality_k: int, k: int) -> DataFrame:
+    """The k best hits of each route (query_id, route, pk, type, score) with the verdict on their query.
+
+    A route's quality is the mean of its best scores and its threshold that of its most frequent type; a query passes with
+    any of its routes.
+    """
+    kinds = dominant(hits, ["query_id", "route"], "type", "pk").select("query_id", "route", "type")
+    routes = route_quality(hits, quality_k).join(kinds, ["query_id", "route"])
+    judged = gate(routes, threshold(matrix, default, stage=F.lit("")))
+    order = Window.partitionBy("query_id", "route").orderBy(F.desc("score"), "pk")
+    best = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.join(judged, "query_id").select("query_id", "route", "pk", "rank", "quality", "passes")
+
+
 def exemption(route: str = "route", kind: str = "type", asked: str = "asked_type", structural_refs: str = "structural_refs") -> Column:
     """Whether a hit is spared the rerank gate: full, topk_only or none.
 

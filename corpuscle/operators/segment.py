@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuscle.functions import layout as y
+from corpuscle.functions import layout as y, questions
 
 from . import filters
 
@@ -204,29 +205,70 @@ def pieces(value: Column, most: int) -> Column:
     return cut(value)
 
 
-def _grouped(parts: list[str], target: int, most: int, least: int) -> list[str]:
-    own: list[list[str]] = [[]]
-    for p in parts:
-        own[-1].append(p)
-        if sum(map(len, own[-1])) >= target:
-            own.append([])
-    out: list[str] = []
-    for text in (" ".join(g) if all(ord(x[-1]) < 0x2E80 for x in g) else "".join(g) for g in own if g):
-        if out and len(text) < least and len(out[-1]) + len(text) + 1 <= most:
-            out[-1] = f"{out[-1]} {text}" if ord(out[-1][-1]) < 0x2E80 else out[-1] + text
+def _seam(a: str, b: str) -> str:
+    return a + b if "\u4e00" <= b[:1] <= "\u9fff" or not a else f"{a} {b}"
+
+
+def _grouped(parts: list[str], breaks: list[bool], target: int, most: int, least: int, overlap: int = 0) -> list[str]:
+    groups: list[list[str]] = [[]]
+    size = 0
+    for p, ends in zip(parts, breaks, strict=True):
+        groups[-1].append(p)
+        size += len(p)
+        if size >= most or (size >= target and ends):
+            groups.append([])
+            size = 0
+    text = lambda g: reduce(_seam, g, "").strip()
+    out: list[list[str]] = []
+    fits = lambda a, b: len(text(a)) + len(text(b)) <= most
+    for g in filter(None, groups):
+        if out and len(text(out[-1])) < least and fits(out[-1], g):
+            out[-1] = out[-1] + g
         else:
-            out.append(text)
-    return out
+            out.append(g)
+    if len(out) > 1 and len(text(out[-1])) < least and fits(out[-2], out[-1]):
+        out[-2:] = [out[-2] + out[-1]]
+    shown = [text(g) for g in out]
+    for k in range(len(out) - 1, 0, -1) if overlap else ():
+        tail: list[str] = []
+        for p in reversed(out[k - 1]):
+            if tail and sum(map(len, tail)) + len(p) > overlap:
+                break
+            tail.insert(0, p)
+            if sum(map(len, tail)) >= overlap:
+                break
+        if len(longer := _seam(text(tail), shown[k])) <= most:
+            shown[k] = longer
+    return shown
+
+
+def merged(parts: Column, target: int, most: int, least: int, breaks: Column | None = None, overlap: int = 0) -> Column:
+    """Sentences in groups: closed at ``target`` characters where the text breaks (``breaks``, anywhere if None), at ``most`` anyway.
+
+    Groups under ``least`` go with the next, the last with the one before, where that fits. ``overlap`` repeats whole
+    sentences of that many characters before the next group, where that fits.
+    """
 
+    @F.pandas_udf("array<string>")
+    def group(lists: pd.Series, marks: pd.Series) -> pd.Series:
+        return pd.Series([[] if x is None else _grouped(list(x), list(m), target, most, least, overlap) for x, m in zip(lists, marks, strict=True)])
 
-def merged(parts: Column, target: int, most: int, least: int) -> Column:
-    """Sentences in groups that reach ``target`` characters; groups under ``least`` go with the one before, where it fits."""
+    return group(parts, F.transform(parts, lambda _: F.lit(True)) if breaks is None else breaks)
 
-    @F.pandas_udf("array<string>")
-    def group(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda x: [] if x is None else _grouped(list(x), target, most, least))
 
-    return group(parts)
+def semantic_pieces(sentences: DataFrame, target: int, most: int, least: int, share: float = 0.85, overlap: int = 0) -> DataFrame:
+    """``(doc_id, at, piece)`` of sentences (doc_id, pos, text, embedding): groups that end where the subject changes.
+
+    A sentence ends a subject where its vector's cosine distance to the next is among the greatest of its document: at
+    the percentile ``share`` or over it.
+    """
+    line = Window.partitionBy("doc_id").orderBy("pos")
+    after = F.lead("embedding").over(line)
+    far = sentences.withColumn("d", F.when(after.isNotNull(), 1 - questions.cosine(F.col("embedding"), after)))
+    marked = far.withColumn("least", F.percentile("d", share).over(Window.partitionBy("doc_id"))).withColumn("ends", F.coalesce(F.col("d") >= F.col("least"), F.lit(False)))
+    own = marked.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text", "ends"))).alias("s"))
+    parts = own.select("doc_id", merged(F.transform("s", lambda x: x["text"]), target, most, least, F.transform("s", lambda x: x["ends"]), overlap).alias("p"))
+    return parts.select("doc_id", F.posexplode("p").alias("at", "piece"))
 
 
 def summary_sections(sections: DataFrame, asked: DataFrame, scores: DataFrame, least: float = 0.5, most: int = 2) -> DataFrame:

@@ -39,6 +39,14 @@ def task_state(spark, d):
     return activity.last_states(calls(spark, d), "user_id", "event_type")
 
 
+@query("task_lifecycle", f"WITH b AS (SELECT max(t) hi, min(t) lo FROM {_AT}) SELECT user_id, CASE WHEN event_type IN ('click', 'view') AND t < (hi + lo) // 2 + (hi - lo) // 4 THEN 'interrupted' ELSE event_type END AS event_type, t AS last, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t DESC, event_id DESC) k, count(*) OVER (PARTITION BY user_id) n FROM {_AT}), b WHERE k = 1 AND t >= hi - 10 * 86400000000")
+def task_lifecycle(spark, d):
+    own = calls(spark, d)
+    ends = own.agg(F.max("t").alias("hi"), F.min("t").alias("lo")).first()
+    restarted = (ends["hi"] + ends["lo"]) // 2 + (ends["hi"] - ends["lo"]) // 4
+    return activity.lifecycle(own, "user_id", "event_type", ends["hi"], 10 * 86_400, restarted, ("click", "view"))
+
+
 @query("log_tail", f"SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t DESC, event_id DESC) k FROM {_AT}) WHERE k <= 5")
 def log_tail(spark, d):
     return activity.tail(calls(spark, d), "user_id", 5).select("user_id", "event_id", "event_type")

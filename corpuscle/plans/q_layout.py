@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from corpuscle.functions import layout as y
+from corpuscle.functions import layout as y, text
 from corpuscle.sources.chunks import CHUNKS_SQL as C
 
 from .q_store import chunks
@@ -166,3 +166,13 @@ STEMS = Fixture("id int, name string", (1, "up/load/a:b?.pdf"), (2, "耐候钢_J
 def document_stems(spark, d):
     own = STEMS.df(spark).select("id", y.document_stem(F.col("name")).alias("stem"))
     return own.select("id", "stem", y.document_title(F.col("stem")).alias("title"))
+
+
+_PLAIN = "regexp_replace(lower(content), '[ \\t\\r\\n,，;；/\\\\.\\-_:：()（）\\[\\]【】]+', '', 'g')"
+_CJK = "length(regexp_replace(content, '[^一-鿿]', '', 'g'))"
+
+
+@query("text_forms", f"WITH {TEXTS} SELECT pk, {_PLAIN} AS plain, CAST({_CJK} + ceil((length(content) - {_CJK}) / 4.0) AS BIGINT) AS tokens, CASE WHEN length(content) > 80 THEN substr(content, 1, 60) || ' … ' || right(content, 20) ELSE content END AS snippet, CASE WHEN length(content) > 100 THEN substr(content, 1, 99) || '…' ELSE content END AS cut FROM texts")
+def text_forms(spark, d):
+    c = F.col("content")
+    return texts(spark, d).select("pk", text.plain_name(c).alias("plain"), text.estimated_tokens(c).alias("tokens"), text.snippet(c, 80).alias("snippet"), text.cut(c, 100).alias("cut"))

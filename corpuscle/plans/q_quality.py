@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpuscle.functions import questions, text
+from corpuscle.functions import questions, text, words
 from corpuscle.operators import context, evaluation, quality
 from corpuscle.sources.chunks import CHUNKS_SQL as C
 
@@ -201,7 +201,16 @@ def time_hint(spark, d):
     return QUESTIONS.df(spark).select("id", questions.years(F.col("q"), 2024).alias("years"))
 
 
-@query("parse_query")
+def _once(x: str) -> str:
+    return f"list_filter({x}, lambda w, i: list_position({x}, w) = i)"
+
+
+_WORDS = "list_concat(list_transform(regexp_extract_all(q, '[A-Za-z][A-Za-z\\-]{2,}'), lambda w: lower(w)), regexp_extract_all(q, '[一-鿿]{2,}'))"
+_STOP = ", ".join(f"'{w}'" for w in words.STOP_WORDS)
+_LABEL = "list_sort(list_distinct(list_transform(regexp_extract_all(q, '{}', 1), lambda w: upper(w))))"
+
+
+@query("parse_query", f"SELECT id, {_once('k')} AS keywords, {_LABEL.format(words.FIGURE_LABEL)} AS figures, {_LABEL.format(words.TABLE_LABEL)} AS tables FROM (SELECT id, q, list_filter({_WORDS}, lambda w: w NOT IN ({_STOP})) k FROM {QUESTIONS.sql})")
 def parse_query(spark, d):
     q = F.col("q")
     return QUESTIONS.df(spark).select("id", text.keywords(q).alias("keywords"), text.figure_labels(q).alias("figures"), text.table_labels(q).alias("tables"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.functions import questions as qs
 from corpuscle.functions.words import FIGURE_LABEL, TABLE_LABEL
-from corpuscle.operators import routing as o
+from corpuscle.operators import quality, routing as o
 from corpuscle.sources.chunks import CHUNKS_SQL as C
 
 from .q_layout import _q
@@ -278,3 +278,14 @@ GUARDS = Fixture("run_id string, guards array<string>, least_docs int", ("en", [
 @query("unmet_guards", f"WITH {HITS} SELECT run_id, concat_ws(',', CASE WHEN list_contains(guards, 'min_docs') AND least_docs > coalesce(docs, 0) THEN 'min_docs' END, CASE WHEN list_contains(guards, 'need_quantitative') AND NOT coalesce(m, false) THEN 'need_quantitative' END) AS missing FROM {GUARDS.sql} LEFT JOIN (SELECT query_id AS run_id, count(DISTINCT doc_id) docs, bool_or(regexp_matches(content, {_q(o.QUANTITY)})) m FROM hits GROUP BY ALL) USING (run_id)")
 def unmet_guards(spark, d):
     return o.unmet(GUARDS.df(spark), hits(spark, d).withColumnRenamed("query_id", "run_id"))
+
+
+GATE = {("progressive", "", "text"): 0.97, ("local", "", ""): 0.9, ("local", "", "image"): 0.2}
+
+
+@query("gate_node", f"""WITH {HITS}, t AS (SELECT query_id, route, type FROM (SELECT query_id, route, type, row_number() OVER (PARTITION BY query_id, route ORDER BY count(*) DESC, min(pk)) k FROM hits GROUP BY query_id, route, type) WHERE k = 1),
+ r AS (SELECT query_id, route, avg(score) q FROM (SELECT *, row_number() OVER (PARTITION BY query_id, route ORDER BY score DESC) k FROM hits) WHERE k <= 30 GROUP BY ALL),
+ g AS (SELECT query_id, CASE WHEN count(*) = 1 THEN max(q) ELSE 0.7 * max(q) + 0.3 * avg(q) END AS quality, bool_or(q >= CASE WHEN route = 'progressive' AND type = 'text' THEN 0.97 WHEN route = 'local' AND type = 'image' THEN 0.2 WHEN route = 'local' THEN 0.9 ELSE 0.5 END) AS passes FROM r JOIN t USING (query_id, route) GROUP BY query_id)
+ SELECT query_id, route, pk, CAST(k AS INTEGER) AS rank, round(quality, 6) AS quality, passes FROM (SELECT *, row_number() OVER (PARTITION BY query_id, route ORDER BY score DESC, pk) k FROM hits) JOIN g USING (query_id) WHERE k <= 8""")
+def gate_node(spark, d):
+    return quality.gated(hits(spark, d), GATE, 0.5, 30, 8).withColumn("quality", F.round("quality", 6))

@@ -92,6 +92,14 @@ def merged_sentences(spark, d):
     return own.select("doc_id", F.posexplode("p").alias("at", "piece"))
 
 
+@query("semantic_pieces")
+def semantic_pieces(spark, d):
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    own = chunks(spark, d).select("doc_id", F.col("paragraph_index").alias("pos"), F.col("content").alias("text"))
+    own = own.withColumn("vec_id", (F.col("doc_id").cast("long") * 31 + F.col("pos")) % vectors.count()).join(vectors, "vec_id")
+    return segment.semantic_pieces(own, 600, 1500, 200, overlap=100)
+
+
 SECTIONS = Fixture("doc_id string, pos int, section string", ("a", 1, "Abstract"), ("a", 2, "1 Introduction"), ("b", 1, "Preface"), ("b", 2, "An executive view of abstracted work"), ("c", 1, "概 要"), ("c", 2, "Overview"), ("c", 3, "Summary"), ("d", 1, "Abstracts in summaryform abstract1"), ("e", 1, "Results"))
 ASKED = Fixture("query_id int, q string", (1, "executive abstract"), (2, "view of work"))
 

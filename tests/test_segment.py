@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 import pytest
@@ -142,3 +143,37 @@ def test_vectors_must_fit_chunks(spark):
     with pytest.raises(Exception, match="vectors of b: 2"):
         segment.with_vectors(chunks, vectors).collect()
     assert q_segment.PAPERS
+
+
+def test_groups_end_where_the_subject_changes(spark):
+    vectors = [[1.0, 0.0], [1.0, 0.01], [0.0, 1.0], [0.01, 1.0], [1.0, 1.0]]
+    texts = ["aaaa", "bbbb", "cccc", "dddd", "e"]
+    rows = spark.createDataFrame([("d", i, t, v) for i, (t, v) in enumerate(zip(texts, vectors, strict=True))], "doc_id string, pos int, text string, embedding array<double>")
+    of = lambda **k: [r["piece"] for r in segment.semantic_pieces(rows, 6, 40, 0, **k).orderBy("at").collect()]
+    assert of(share=0.99) == ["aaaa bbbb", "cccc dddd e"]
+    assert of(share=0.99, overlap=4) == ["aaaa bbbb", "bbbb cccc dddd e"]
+    assert of(share=0.5) == ["aaaa bbbb", "cccc dddd", "e"]
+
+
+def test_short_groups_join_their_neighbours():
+    every = [True] * 4
+    assert segment._grouped(["aaaa", "bb", "cccc", "d"], every, 4, 8, 3) == ["aaaa", "bb cccc", "d"]
+    assert segment._grouped(["aaaa", "bb", "cccc", "d"], every, 1, 8, 3) == ["aaaa", "bb cccc", "d"]
+    assert segment._grouped(["aaaa", "d"], [True] * 2, 1, 8, 3) == ["aaaa d"]
+    assert segment._grouped([], [], 1, 8, 3) == []
+
+
+def test_vectors_are_loaded_with_their_files_and_checked(spark, tmp_path):
+    from corpuscle.sources import chunks as store
+
+    row = {"pk": "a::1", "doc_id": "a", "doc_name": "A", "chunk_id": "1", "type": "text", "section": "s", "page_start": 0, "paragraph_index": 1, "publication_year": 2000, "content": "c", "embedding": [1.0, 2.0]}
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "a_vec.json").write_text(json.dumps([row, {**row, "pk": "a::2", "embedding": [1.0]}]))
+    (tmp_path / "a_meta.json").write_text("{}")
+    rows = store.load_vectors(spark, str(tmp_path))
+    assert sorted(r["pk"] for r in rows.collect()) == ["a::1", "a::2"] and rows.first()["file"].endswith("deep/a_vec.json")
+    assert store.checked(rows.where("pk = 'a::1'"), 2).count() == 1
+    with pytest.raises(Exception, match="vector size is not 2"):
+        store.checked(rows, 2).collect()
+    with pytest.raises(ValueError, match="rebuild needed"):
+        store.checked(rows.drop("section"))
