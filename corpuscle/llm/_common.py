@@ -66,6 +66,13 @@ def text_id(data: Column) -> list[Column]:
     return [F.xxhash64(data).alias("t1"), F.xxhash64(F.lit(1), data).alias("t2")]
 
 
+def free_prefix(df: DataFrame, prefix: str) -> str:
+    """The prefix, with as many underscores that no column of ``df`` starts so, in any case."""
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = "_" + prefix
+    return prefix
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

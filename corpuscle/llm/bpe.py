@@ -226,13 +226,20 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", text_col: str =
     return encoded.select(*rest).mapInArrow(run, schema)
 
 
+@lru_cache(maxsize=4)
+def proved(path: str) -> tuple[str, ...]:
+    """The vocabulary's strings that encode alone as one token, in order: proved once for a tokenizer and process."""
+    return tuple(sorted(load(path).whole_tokens()))
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(<id_col>, n_bytes, n_tokens, over_limit)``, a row for each row of ``docs``.
 
-    The whole tokens are proved once, on the driver, and broadcast: their number is at most the vocabulary's. A null or
-    empty text has no tokens; repeated rows and null ids pass as they are; other columns play no part.
+    The whole tokens are proved offline, before any text is read (see :func:`proved`), and broadcast: their number is at
+    most the vocabulary's. A null or empty text has no tokens; repeated rows and null ids pass as they are; other columns
+    play no part.
     """
-    whole = docs.sparkSession.sparkContext.broadcast(sorted(load(path).whole_tokens()))
+    whole = docs.sparkSession.sparkContext.broadcast(proved(path))
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

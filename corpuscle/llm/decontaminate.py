@@ -11,6 +11,8 @@ their shingles as words, not as hashes. All of it is DataFrame functions.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,27 +27,30 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _each(text: Column, width: int, shown, none: str) -> Column:
-    """``shown`` of each run of ``width`` words of a text; fewer words make one run, none make none.
+def _each(text: Column, width: int, shorter: Sequence[int], shown, none: str) -> Column:
+    """``shown`` of each run of ``width`` words of a text, and of each run of as many as ``shorter`` says.
 
-    The words are bound to a lambda variable, so that they are split once for a text and not once for each run.
+    Fewer words than the width make one run, none make none. The words are bound to a lambda variable, so that they are
+    split once for a text and not once for each run.
     """
 
     def of(own: Column) -> Column:
         places = F.sequence(F.lit(0), F.greatest(F.size(own) - width, F.lit(0)))
-        return F.when(F.size(own) > 0, F.transform(places, lambda i: shown(own, i))).otherwise(F.array().cast(none))
+        runs = [F.transform(places, lambda i: shown(own, i, width))]
+        runs += [F.when(F.size(own) >= n, F.transform(F.sequence(F.lit(0), F.size(own) - n), lambda i, n=n: shown(own, i, n))).otherwise(F.array().cast(none)) for n in shorter]
+        return F.when(F.size(own) > 0, F.concat(*runs)).otherwise(F.array().cast(none))
 
     return F.get(F.transform(F.array(words(text)), of), F.lit(0))
 
 
-def shingles(text: Column, width: int) -> Column:
+def shingles(text: Column, width: int, shorter: Sequence[int] = ()) -> Column:
     """Hashes of a text's word shingles."""
-    return _each(text, width, lambda own, i: F.xxhash64(*(F.get(own, i + k) for k in range(width))), "array<bigint>")
+    return _each(text, width, shorter, lambda own, i, n: F.xxhash64(*(F.get(own, i + k) for k in range(n))), "array<bigint>")
 
 
-def shingle_words(text: Column, width: int) -> Column:
+def shingle_words(text: Column, width: int, shorter: Sequence[int] = ()) -> Column:
     """A text's word shingles themselves, words joined by spaces."""
-    return _each(text, width, lambda own, i: F.array_join(F.slice(own, i + 1, width), " "), "array<string>")
+    return _each(text, width, shorter, lambda own, i, n: F.array_join(F.slice(own, i + 1, n), " "), "array<string>")
 
 
 def _bounded(table: DataFrame, size: Column) -> DataFrame:
@@ -61,10 +66,13 @@ def _least(share: float, n: Column) -> Column:
 def contained(docs: DataFrame, items: DataFrame, share: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``(<id_col>, <item_id>, n_shared, n_item, containment)`` for every document with ``share`` of an item's shingles.
 
-    Texts are compared as sets of shingles of ``width`` words. An item or a document with fewer words is one shingle of
-    all its words; null, empty and wordless texts match nothing. Rows that share an id are judged by themselves and give
+    Texts are compared as sets of shingles of ``width`` words. An item with fewer words is one shingle of all its words,
+    sought among the shingles of as many words of every document; null, empty and wordless texts match nothing. Rows that share an id are judged by themselves and give
     a row for each text that matches; repeated rows give one. Null ids match like any other. Other columns play no part.
     """
+    # hashes of a text of n < width words are those of its n words: xxhash64 of a null word leaves the hash as it is
+    size = F.size(words(F.col(item_text)))
+    shorter = sorted(r[0] for r in items.select(size.alias("n")).where(F.col("n").between(1, width - 1)).distinct().collect())  # width - 1 at most
     texts_of = F.array_distinct(shingle_words(F.col(item_text), width))
     own = items.select(F.col(item_id).alias("item"), F.array_distinct(shingles(F.col(item_text), width)).alias("s"), texts_of.alias("w"))
     own = materialize(own.where(F.size("s") > 0).withColumn("n", F.size("w")).withColumn("needs", _least(share, F.col("n"))).distinct(), "items")
@@ -78,7 +86,7 @@ def contained(docs: DataFrame, items: DataFrame, share: float = 0.8, width: int
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     bound = F.greatest(F.lit(-(1 << 63)), *(F.when(F.size("s") >= r["needs"], F.lit(r["bound"])) for r in parts)) if parts else F.lit(-(1 << 63))
     # bound to a generated column, so that the shingles are made once and not again for each use
-    hashed = texts.select(*text_id(F.col("text")), F.explode(F.array(shingles(F.col("text"), width))).alias("s"))
+    hashed = texts.select(*text_id(F.col("text")), F.explode(F.array(shingles(F.col("text"), width, shorter))).alias("s"))
     under = F.filter(F.transform("s", lambda h: F.struct(F.xxhash64(h).alias("o"), h.alias("h"))), lambda x: x["o"] <= F.col("top"))
     seen = hashed.withColumn("size", F.size("s")).withColumn("top", bound).select("t1", "t2", "size", F.inline(under))
     small = _bounded(sketch.select("item", "needs", "h"), F.lit(0))
@@ -86,7 +94,7 @@ def contained(docs: DataFrame, items: DataFrame, share: float = 0.8, width: int
 
     named = texts.withColumns({c: e for c, e in zip(("t1", "t2"), text_id(F.col("text")), strict=True)})
     near = named.join(found.select("t1", "t2").distinct(), ["t1", "t2"], "left_semi")
-    near = near.select("id", "t1", "t2", F.explode(shingle_words(F.col("text"), width)).alias("w"))
+    near = near.select("id", "t1", "t2", F.explode(shingle_words(F.col("text"), width, shorter)).alias("w"))
     known = own.select("item", "n", "needs", F.explode("w").alias("w"))
     shared = near.join(_bounded(known, F.octet_length("w")), "w").select("id", "t1", "t2", "item", "n", "needs", "w").distinct()
     shared = shared.groupBy("id", "t1", "t2", "item", "n", "needs").agg(F.count("*").alias("n_shared")).where("n_shared >= needs")
@@ -110,7 +118,8 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
 SQL = r"""
 WITH d AS (SELECT doc_id, text, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') w FROM (SELECT DISTINCT doc_id, text FROM documents) t),
 i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') w FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, text, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda k: array_to_string(w[k:k + 4], ' '))) s FROM d WHERE len(w) > 0),
+ds AS (SELECT DISTINCT doc_id, text, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda k: array_to_string(w[k:k + 4], ' '))) s FROM d WHERE len(w) > 0
+ UNION SELECT doc_id, text, unnest(list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k:k + n - 1], ' '))) FROM d JOIN (SELECT DISTINCT len(w) n FROM i WHERE len(w) BETWEEN 1 AND 4) short ON len(w) >= n),
 iw AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda k: array_to_string(w[k:k + 4], ' '))) s FROM i WHERE len(w) > 0),
 n AS (SELECT item_id, count(*) n_item FROM iw GROUP BY item_id),
 m AS (SELECT doc_id, text, item_id, count(*) n_shared FROM ds JOIN iw USING (s) GROUP BY ALL)

@@ -15,7 +15,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import free_prefix, materialize
 
 #: Labelled rows to fit on at most; the rows with the smallest hashes of their ids are taken.
 SAMPLE_ROWS = 20_000
@@ -139,9 +139,7 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, id_col: str, sample_
 
 def _with_statistics(docs: DataFrame, text_col: str) -> tuple[DataFrame, str]:
     """``docs`` with the statistics of their texts, and what stands before their names: no column starts so, in any case."""
-    prefix = "__stat_"
-    while any(c.lower().startswith(prefix) for c in docs.columns):
-        prefix = "_" + prefix
+    prefix = free_prefix(docs, "__stat_")
     # columns of one-element arrays: words are counted once for a text, and so is what rules read more than once
     counted = docs.select("*", F.explode(F.array(word_count(F.col(text_col)))).alias(prefix))
     own = F.struct(*(c.alias(n) for n, c in statistics(F.col(text_col), F.col(prefix)).items()))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import join_uneven, materialize, text_bytes, text_id, without_uneven
+from ._common import free_prefix, join_uneven, materialize, text_bytes, text_id, without_uneven
 from .components import connected_components
 
 #: Fingerprints in a shard, about; shards of over SPLIT times as many are dealt out again by the bits they don't share.
@@ -230,10 +230,13 @@ def one_of_each(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str)
     """
     named = docs.where(F.col(id_col).isNotNull())
     hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
-    keyed = named.select("*", *(c.alias(n) for c, n in zip(text_id(text_bytes(text_col)), ("__t1", "__t2"), strict=True)), F.xxhash64(*hashed).alias("__r1"), F.xxhash64(F.lit(1), *hashed).alias("__r2"))
-    best = F.struct(F.col(id_col).alias("id"), "__r1", "__r2").alias("best")
-    of_text = keyed.select("__t1", "__t2", best).toDF("t1", "t2", "best").groupBy("t1", "t2").agg(F.min("best").alias("best"))
-    won = of_text.join(classes, ["t1", "t2"]).groupBy("root").agg(F.min("best").alias("best")).select("best.__r1", "best.__r2").distinct()
+    t1, t2, r1, r2 = own = [free_prefix(docs, "__one_") + k for k in ("t1", "t2", "r1", "r2")]
+    values = [*text_id(text_bytes(text_col)), F.xxhash64(*hashed), F.xxhash64(F.lit(1), *hashed)]
+    keyed = named.select("*", *(v.alias(n) for v, n in zip(values, own, strict=True)))
+    best = F.struct(F.col(id_col).alias("id"), F.col(r1).alias("r1"), F.col(r2).alias("r2")).alias("best")
+    of_text = keyed.select(F.col(t1).alias("t1"), F.col(t2).alias("t2"), best).groupBy("t1", "t2").agg(F.min("best").alias("best"))
+    won = of_text.join(classes, ["t1", "t2"]).groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.r1").alias(r1), F.col("best.r2").alias(r2)).distinct()
     # joined by sort, so that the rows are where their repeats are
-    kept = keyed.join(won.hint("merge"), ["__r1", "__r2"]).dropDuplicates(["__r1", "__r2"])
-    return kept.select(docs.columns).union(docs.where(F.col(id_col).isNull()))
+    kept = keyed.join(won.hint("merge"), [r1, r2]).dropDuplicates([r1, r2])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return kept.select(*columns).union(docs.where(F.col(id_col).isNull()))

@@ -19,8 +19,9 @@ def shingles(text: str | None, width: int = 5) -> set[tuple[str, ...]]:
 
 def brute(docs, items, share: float) -> list[tuple]:
     out = set()
+    short = {len(next(iter(shingles(item)))) for _, item in items if len(shingles(item)) == 1} & {1, 2, 3, 4}
     for i, text in docs:
-        own = shingles(text)
+        own = shingles(text).union(*(shingles(text, n) for n in short))
         for k, item in items:
             want = shingles(item)
             if want and len(own & want) >= math.ceil(share * len(want) - 1e-9):
@@ -58,3 +59,11 @@ def test_odd_rows_stay(spark):
     assert decontaminate.contaminated(none(spark), items).count() == 0
     assert decontaminate.contaminated(docs, items.where("false")).count() == 0
     assert decontaminate.drop_contaminated(docs, items.where("false")).count() == docs.count()
+
+
+def test_short_items_are_found_inside_documents(spark):
+    items = spark.createDataFrame([(1, "red rust"), (2, "Salt"), (3, "one two three four five six")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "all about Red, rust and more of it here"), (2, "salt"), (3, "rust red"), (4, "one two three four five"), (5, None), (6, "red rust salt")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, items).collect())
+    assert got == [(1, 1), (2, 2), (6, 1), (6, 2)]
+    assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(docs, items).collect()) == [3, 4, 5]
