@@ -223,7 +223,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", text_col: str =
             texts = [decode_ids(path, x.as_py() or b"") for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
 
-    return encoded.select(*rest).mapInArrow(run, schema)
+    return encoded.select(*(F.col(f"`{c}`") for c in rest)).toDF(*(f"c{k}" for k in range(len(rest)))).mapInArrow(run, schema)  # plain names on the way
 
 
 @lru_cache(maxsize=4)

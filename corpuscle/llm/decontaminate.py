@@ -35,9 +35,11 @@ def _each(text: Column, width: int, shorter: Sequence[int], shown, none: str) ->
     """
 
     def of(own: Column) -> Column:
-        places = F.sequence(F.lit(0), F.greatest(F.size(own) - width, F.lit(0)))
-        runs = [F.transform(places, lambda i: shown(own, i, width))]
-        runs += [F.when(F.size(own) >= n, F.transform(F.sequence(F.lit(0), F.size(own) - n), lambda i, n=n: shown(own, i, n))).otherwise(F.array().cast(none)) for n in shorter]
+        def runs_of(n: int, last: Column) -> Column:
+            return F.transform(F.sequence(F.lit(0), last), lambda i: shown(own, i, n))
+
+        runs = [runs_of(width, F.greatest(F.size(own) - width, F.lit(0)))]
+        runs += [F.when(F.size(own) >= n, runs_of(n, F.size(own) - n)).otherwise(F.array().cast(none)) for n in shorter]
         return F.when(F.size(own) > 0, F.concat(*runs)).otherwise(F.array().cast(none))
 
     return F.get(F.transform(F.array(words(text)), of), F.lit(0))

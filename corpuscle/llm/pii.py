@@ -171,4 +171,4 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             texts = [None if (t := x.as_py()) is None else redacted(t, find(t)) for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, pa.string()), *batch.columns[at + 1 :]], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.toDF(*(f"c{k}" for k in range(len(docs.columns)))).mapInArrow(run, schema)  # plain names on the way
