@@ -23,7 +23,7 @@ CAPTION = r"(?m)^\[Caption\][ \t]*(.*)$"
 SUMMARY_HEADS = (r"(?i)\babstract\b\s*[:：\-]?", r"(?i)\bsummary\b\s*[:：\-]?", r"(?i)\bexecutive\s+summary\b\s*[:：\-]?", r"摘\s*要\s*[:：\-]?", r"概\s*要\s*[:：\-]?")
 SUMMARY_STOPS = (r"(?i)\bkeywords?\b\s*[:：]", r"关\s*键\s*词\s*[:：]", r"(?i)\b[0-9]+(?:\.[0-9]+)*\s+(?:introduction|background)\b", r"^\s*(?:引言|前言)\s*$")
 TERMINATORS = "。！？!?…．."
-TRAILING_NOISE = r"(?:\s|[\]\)\}”’」』〕\"'])+$"
+TRAILING_NOISE = r"[\s\]\)\}”’」』〕\"']+$"
 TRAILING_CITATION = r"\[[0-9,\s\-–—a-zA-Z]+\]\s*$"
 LEADING_WORD = r"(?i)^(?:and|or|but|nor|yet|so|that|which|while|where|when|because|though|although|however|therefore|thus|then|moreover|furthermore|whereas)\b|^(?:且|并|而|但|而且|因此|因而|所以|于是|然而|然后|此外|其中|与)(?![一-鿿A-Za-z0-9_])"
 NUMBERED = r"^[0-9]+(?:\.[0-9]+)*\s+\S"
@@ -32,7 +32,7 @@ KEYWORD_LINE = r"(?i)^(?:关键词|Key\s*words?|关键字)\s*[:：]?"
 REFERENCES_TITLE = r"(?i)^\s*(?:[0-9]+[\.、]?\s*)?(?:参\s*考\s*文\s*献|参\s*考\s*资\s*料|引用\s*文献|references?|bibliograph(?:y|ies)|literature\s+cited|cited\s+references?|works?\s+cited)(?:\s*[:：])?\s*(?:[（(]\s*略\s*[）)])?\s*$"
 REFERENCES_TITLE_START = r"^\s*(?:[0-9]+[\.、]?\s*)?参\s*考\s*文\s*献"
 ENTRY_START = r"^[\[［]|^[0-9]+[\.\)、]\s"
-AUTHOR_START = r"^[A-Z][A-Za-z\-]+(?:[\s\-][A-Za-z\-]+)*,\s+[A-Z][A-Za-z\-]"
+AUTHOR_START = r"^[A-Z][A-Za-z\-\s]*[A-Za-z\-],\s+[A-Z][A-Za-z\-]"  # no loop over a group: Java's would go as deep as the text is long
 LIST_NUMBER = r"^[\[［]\s*[0-9]+\s*[\]］]|^[\[［]\s*[\]］]|^[0-9]+[\.\)、]\s"
 CONCLUSION_START = r"^[0-9]+[）\)]\s*"
 JOURNAL = r"(?i)\[J\]|\[M\]|\[D\]|\[C\]|\[EB/OL\]|Journal|Proceedings|et al\.|等\."
