@@ -157,8 +157,8 @@ def test_groups_end_where_the_subject_changes(spark):
 
 def test_short_groups_join_their_neighbours():
     every = [True] * 4
-    assert segment._grouped(["aaaa", "bb", "cccc", "d"], every, 4, 8, 3) == ["aaaa", "bb cccc", "d"]
-    assert segment._grouped(["aaaa", "bb", "cccc", "d"], every, 1, 8, 3) == ["aaaa", "bb cccc", "d"]
+    assert segment._grouped(["aaaa", "bb", "cccc", "d"], every, 4, 8, 3) == ["aaaa", "bb cccc d"]
+    assert segment._grouped(["aaaa", "bb", "cccc", "d"], every, 1, 8, 3) == ["aaaa", "bb cccc d"]
     assert segment._grouped(["aaaa", "d"], [True] * 2, 1, 8, 3) == ["aaaa d"]
     assert segment._grouped([], [], 1, 8, 3) == []
 
