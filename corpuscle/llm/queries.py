@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hnsw, pii, quality, simhash, suffix_dedup, url_filter, warc
+from . import bpe, decontaminate, hnsw, periodic_runs, pii, quality, simhash, suffix_dedup, url_filter, warc
 from ._common import read
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -68,5 +70,27 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs.select("doc_id", "text"), ensemble).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_warc_derivatives, op3_suffix_dedup, op4_bpe, op5_hnsw, op6_url_filter, op7_token_counts, op8_pii, op9_decontamination, op10_quality)}
+def repeated(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of a document, of which every tenth (by the crc32 of its id) goes on with a period from some word on."""
+    n, h = len(words), 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a, p = g % n, 1 + (n - g % n) // (3 + g % 8)
+    return [*words[:a], *(words[a + k % p] for k in range(n - a))]
+
+
+def periodic_digests(docs: DataFrame) -> DataFrame:
+    """Number of runs, the strongest run, digests of all runs and of the collapsed text."""
+    out = periodic_runs.collapse(docs, rewrite=repeated)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    exponent = F.expr("best.length * 1000 div best.period").alias("exponent_milli")
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", exponent, F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_digests(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_warc_derivatives, op3_suffix_dedup, op4_bpe, op5_hnsw, op6_url_filter, op7_token_counts, op8_pii, op9_decontamination, op10_quality, op13_periodic_runs)}
 SQL = {"op2_warc_derivatives": warc.SQL, "op9_decontamination": decontaminate.SQL}
