@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hnsw, periodic_runs, pii, quality, simhash, suffix_dedup, url_filter, warc
+from . import bpe, decontaminate, hnsw, periodic_runs, pii, quality, simhash, suffix_dedup, url_filter, vector_codes, warc
 from ._common import read
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -70,6 +70,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs.select("doc_id", "text"), ensemble).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def code_digests(vectors: DataFrame) -> DataFrame:
+    """Codes and errors, with a digest of the codebooks."""
+    return vector_codes.codes(vectors).withColumn("codebooks_sha256", F.sha2(F.col("codebooks").cast("binary"), 256)).drop("codebooks")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_digests(read(spark, sf_dir, "embeddings"))
+
+
 def repeated(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """The words of a document, of which every tenth (by the crc32 of its id) goes on with a period from some word on."""
     n, h = len(words), 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
@@ -92,5 +101,5 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_digests(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_warc_derivatives, op3_suffix_dedup, op4_bpe, op5_hnsw, op6_url_filter, op7_token_counts, op8_pii, op9_decontamination, op10_quality, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_warc_derivatives, op3_suffix_dedup, op4_bpe, op5_hnsw, op6_url_filter, op7_token_counts, op8_pii, op9_decontamination, op10_quality, op12_vector_codes, op13_periodic_runs)}
 SQL = {"op2_warc_derivatives": warc.SQL, "op9_decontamination": decontaminate.SQL}
