@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hnsw, periodic_runs, pii, quality, simhash, suffix_dedup, url_filter, vector_codes, warc
+from . import bloom_lm, bpe, decontaminate, hnsw, periodic_runs, pii, quality, simhash, suffix_dedup, url_filter, vector_codes, warc
 from ._common import read
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -70,6 +70,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs.select("doc_id", "text"), ensemble).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def language_scores(docs: DataFrame, bits: int = bloom_lm.BITS) -> DataFrame:
+    """Scores of all rows by a model of those whose crc32(doc_id as text) mod 10 isn't 0; a null id is never held out."""
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
+    model = bloom_lm.learn(docs.where(~held), bits=bits)
+    out = bloom_lm.score(docs, model, mark=held)
+    return out.select("doc_id", F.col("mark").alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def op11_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(read(spark, sf_dir, "documents"))
+
+
 def code_digests(vectors: DataFrame) -> DataFrame:
     """Codes and errors, with a digest of the codebooks."""
     return vector_codes.codes(vectors).withColumn("codebooks_sha256", F.sha2(F.col("codebooks").cast("binary"), 256)).drop("codebooks")
@@ -101,5 +113,5 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_digests(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_warc_derivatives, op3_suffix_dedup, op4_bpe, op5_hnsw, op6_url_filter, op7_token_counts, op8_pii, op9_decontamination, op10_quality, op12_vector_codes, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_warc_derivatives, op3_suffix_dedup, op4_bpe, op5_hnsw, op6_url_filter, op7_token_counts, op8_pii, op9_decontamination, op10_quality, op11_bloom_lm, op12_vector_codes, op13_periodic_runs)}
 SQL = {"op2_warc_derivatives": warc.SQL, "op9_decontamination": decontaminate.SQL}
