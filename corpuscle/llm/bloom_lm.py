@@ -12,7 +12,7 @@ by shuffle. Both ways give the same scores.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +28,7 @@ from ._common import materialize, text_bytes
 #: Longest n-grams, weight of the shorter history (in counts), and what is added to the count of each word.
 ORDER, PRIOR, ADDED = 2, 4.0, 0.1
 #: Bits of the filter for each pair that it holds, and of these the bits that a pair sets, all in one 64-bit word.
-BITS, SET = 12, 5
+BITS, SET = 11, 5
 #: Text for each cell of the filter.
 CELL_BYTES = 1 << 24
 #: Filter and word counts that are broadcast at most.
@@ -61,7 +61,7 @@ class Grams:
     at: list[np.ndarray]
     prefix: list[np.ndarray]
     inside: list[np.ndarray]
-    checks: np.ndarray  # 64 more bits of each distinct symbol
+    checks: np.ndarray  # 32 more bits of each distinct symbol
 
 
 def grams(texts: list[bytes], order: int) -> Grams:
@@ -78,7 +78,7 @@ def grams(texts: list[bytes], order: int) -> Grams:
     starts = np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64) if sizes else np.zeros(0, np.int64)
     since = np.arange(len(at)) - np.repeat(starts, sizes) if sizes else np.zeros(0, np.int64)
     halves = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w) for w in ids), "<u8").reshape(-1, 2)
-    out = Grams(starts, [halves[:, 0]], [at], [np.zeros(len(ids), np.int64)], [since >= 0], halves[:, 1])
+    out = Grams(starts, [halves[:, 0]], [at], [np.zeros(len(ids), np.int64)], [since >= 0], halves[:, 1].astype(np.uint32))
     for k in range(1, order):
         before, inside = out.at[-1], since >= k
         place = np.flatnonzero(inside)
@@ -125,7 +125,8 @@ def cell_filter(keys: np.ndarray, counts: np.ndarray, bits: int = BITS) -> np.nd
 
 
 def cell_of(keys: np.ndarray, cells: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) % np.uint64(cells)).astype(np.int64)
+    """The cells of hashes; larger hashes are never in an earlier cell."""
+    return ((keys >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32)).astype(np.int64)
 
 
 class Filter:
@@ -150,43 +151,52 @@ class Filter:
         return out
 
 
+#: A word by 96 bits of it, with its count.
+WORD = np.dtype([("key", "<u8"), ("check", "<u4"), ("n", "<u8")])
+
+
 class Counts:
-    """Exact counts of words, by 128 bits of each."""
+    """Exact counts of words, by 96 bits of each."""
 
-    def __init__(self, table: np.ndarray):
-        """Rows (64 bits, 64 more, count) as unsigned integers."""
-        self.table = np.ascontiguousarray(table[np.lexsort((table[:, 1], table[:, 0]))])
-        same = self.table[1:, 0] == self.table[:-1, 0]
-        self.most, run = 1, 1  # words that share their first 64 bits
-        for s in np.flatnonzero(same):
-            run = run + 1 if s and same[s - 1] else 2
-            self.most = max(self.most, run)
+    def __init__(self, keys: np.ndarray, checks: np.ndarray, numbers: np.ndarray):
+        """Three arrays in the order of the keys."""
+        self.keys, self.checks, self.numbers = keys, checks, numbers
+        ends = np.flatnonzero(np.r_[keys[1:] != keys[:-1], True])
+        self.most = int(np.diff(ends, prepend=-1).max(initial=1))  # words that share a key
 
     def of(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), np.int64)
-        if len(self.table):
-            at = np.searchsorted(self.table[:, 0], keys)
+        if len(self.keys):
+            at = np.searchsorted(self.keys, keys)
             for step in range(self.most):
-                row = self.table[np.minimum(at + step, len(self.table) - 1)]
-                out = np.where((row[:, 0] == keys) & (row[:, 1] == checks), row[:, 2].astype(np.int64), out)
+                row = np.minimum(at + step, len(self.keys) - 1)
+                out = np.where((self.keys[row] == keys) & (self.checks[row] == checks), self.numbers[row].astype(np.int64), out)
         return out
 
 
+def _table(keys: np.ndarray, checks: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Rows of WORD, one for each word, by key."""
+    order = np.lexsort((checks, keys))
+    keys, checks, numbers = keys[order], checks[order], numbers[order].astype(np.int64)
+    first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])][: len(keys)])
+    out = np.empty(len(first), WORD)
+    out["key"], out["check"], out["n"] = keys[first], checks[first], np.add.reduceat(numbers, first) if len(first) else numbers
+    return out
+
+
 def _counted(found: Grams, cells: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
     """(cell, word hashes with their counts, n-gram hashes, their counts) of documents."""
     keys, counts = list(found.keys), []
     for k in range(len(keys)):
         counts.append(np.bincount(found.at[k][found.inside[k]], minlength=len(keys[k])))
-    words = np.stack([keys[0], found.checks, counts[0].astype(np.uint64)], axis=1)[1:]  # BEGIN is no token
-    words = words[words[:, 2] > 0]
+    words = _table(keys[0][1:], found.checks[1:], counts[0][1:])  # BEGIN is no token
+    words = words[words["n"] > 0]
     every, number = np.concatenate(keys), np.concatenate(counts)
     every, number = every[number > 0], number[number > 0]
     order = np.argsort(cell_of(every, cells), kind="stable")
     every, number = every[order], number[order].astype("<u4")
     ends = np.searchsorted(cell_of(every, cells), np.arange(cells + 1))
-    word_cell = cell_of(words[:, 0], cells)
-    words = words[np.argsort(word_cell, kind="stable")]
-    word_ends = np.searchsorted(np.sort(word_cell), np.arange(cells + 1))
+    word_ends = np.searchsorted(cell_of(words["key"], cells), np.arange(cells + 1))
     for c in np.flatnonzero(np.diff(ends)):
         part = slice(ends[c], ends[c + 1])
         yield int(c), words[word_ends[c] : word_ends[c + 1]].tobytes(), every[part].tobytes(), number[part].tobytes()
@@ -199,18 +209,18 @@ def _added_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return own, out
 
 
-def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+def _joined(column: pa.ChunkedArray, kind: str | np.dtype) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for x in column), kind)
 
 
-def _blocks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, list[bytes]]]:
-    """(first row, end, texts) of parts of a batch with about BLOCK_BYTES of text."""
+def _blocks(batch: pa.RecordBatch, column: int, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(first row, end, texts) of parts of a batch with about so much text."""
     texts: list[bytes] = []
     size = first = 0
     for n, x in enumerate(batch.column(column)):
         texts.append(x.as_py())
         size += len(texts[-1])
-        if size >= BLOCK_BYTES:
+        if size >= most:
             yield first, n + 1, texts
             texts, size, first = [], 0, n + 1
     if texts:
@@ -243,27 +253,31 @@ def learn(docs: DataFrame, text_col: str = "text", order: int = ORDER, bits: int
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["cell", "words", "grams", "counts"])
 
     def build(table: pa.Table) -> pa.Table:
-        words = _joined(table.column("words"), "<u8").reshape(-1, 3)
-        named, which = np.unique(words[:, :2], axis=0, return_inverse=True)
-        total = np.zeros(len(named), np.int64)
-        np.add.at(total, which.ravel(), words[:, 2].astype(np.int64))
+        words = _joined(table.column("words"), WORD)
+        exact = _table(words["key"], words["check"], words["n"])
         keys, counts = _added_up(_joined(table.column("grams"), "<u8"), _joined(table.column("counts"), "<u4"))
         data = cell_filter(keys, counts, bits).astype("<u8").tobytes()
-        exact = np.concatenate([named, total.astype(np.uint64)[:, None]], axis=1).astype("<u8").tobytes()
-        return pa.table({"cell": [table.column("cell")[0].as_py()], "filter": pa.array([data], pa.binary()), "words": pa.array([exact], pa.binary()), "n_tokens": pa.array([int(total.sum())], pa.int64())})
+        return pa.table({"cell": [table.column("cell")[0].as_py()], "filter": pa.array([data], pa.binary()), "words": pa.array([exact.tobytes()], pa.binary()), "n_tokens": pa.array([int(exact["n"].sum())], pa.int64())})
 
     parts = texts.mapInArrow(run, "cell long, words binary, grams binary, counts binary")
     own = materialize(parts.groupBy("cell").applyInArrow(build, "cell long, filter binary, words binary, n_tokens long"), "language-model")
-    told = own.agg(F.sum(F.octet_length("filter") + F.octet_length("words")).alias("size"), F.sum("n_tokens").alias("n"), F.sum(F.octet_length("words") / 24).cast("long").alias("v")).first()
+    told = own.agg(F.sum(F.octet_length("filter") + F.octet_length("words")).alias("size"), F.sum("n_tokens").alias("n"), F.sum(F.octet_length("words") / WORD.itemsize).cast("long").alias("v")).first()
     return Model(own.select("cell", "filter", "words"), cells, int(told["size"] or 0), int(told["n"] or 0), int(told["v"] or 0), order)
 
 
-def _loaded(cells: list[tuple[int, bytes, bytes]], n_cells: int) -> tuple[Filter, Counts]:
-    """Cells that aren't there hold nothing: one word without bits."""
-    own = {c: (f, w) for c, f, w in cells}
-    filters = [np.frombuffer(own[c][0], "<u8") if c in own else np.zeros(1, np.uint64) for c in range(n_cells)]
-    words = np.frombuffer(b"".join(w for _, _, w in cells), "<u8").reshape(-1, 3)
-    return Filter(np.concatenate(filters), np.array([len(f) for f in filters])), Counts(words)
+def _loaded(cells: Iterable[tuple[int, bytes, bytes]], sizes: dict[int, tuple[int, int]], n_cells: int) -> tuple[Filter, Counts]:
+    """Cells in any order, of whose filters and words the sizes in bytes are known. Those that aren't there hold nothing: one word without bits."""
+    words = np.array([max(1, sizes.get(c, (0, 0))[0] // 8) for c in range(n_cells)], np.int64)
+    rows = np.array([sizes.get(c, (0, 0))[1] // WORD.itemsize for c in range(n_cells)], np.int64)
+    first, at = np.cumsum(words) - words, np.cumsum(rows) - rows
+    bits, total = np.zeros(words.sum(), np.uint64), rows.sum()
+    keys, checks, numbers = np.empty(total, np.uint64), np.empty(total, np.uint32), np.empty(total, np.uint64)
+    for c, own, exact in cells:
+        bits[first[c] : first[c] + words[c]] = np.frombuffer(own, "<u8")
+        part, table = slice(at[c], at[c] + rows[c]), np.frombuffer(exact, WORD)
+        keys[part], checks[part], numbers[part] = table["key"], table["check"], table["n"]
+    small = numbers.max(initial=0) < 1 << 32
+    return Filter(bits, words), Counts(keys, checks, numbers.astype(np.uint32) if small else numbers)
 
 
 def log_scores(found: Grams, word_counts: np.ndarray, held: list[np.ndarray], n_tokens: int, n_words: int) -> pd.DataFrame:
@@ -318,14 +332,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def _scored_here(rows: DataFrame, model: Model, schema: T.StructType) -> DataFrame:
     """With the cells broadcast: their size has been checked."""
-    cells = [(r["cell"], bytes(r["filter"]), bytes(r["words"])) for r in model.cells.toLocalIterator()]
-    sent = rows.sparkSession.sparkContext.broadcast(_loaded(cells, model.n_cells))
+    sizes = {r["cell"]: (r["f"], r["w"]) for r in model.cells.select("cell", F.octet_length("filter").alias("f"), F.octet_length("words").alias("w")).collect()}
+    cells = ((r["cell"], r["filter"], r["words"]) for r in model.cells.toLocalIterator())
+    sent = rows.sparkSession.sparkContext.broadcast(_loaded(cells, sizes, model.n_cells))
     order, n_tokens, n_words = model.order, model.n_tokens, model.n_words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, counts = sent.value
         for batch in batches:
-            for first, end, texts in _blocks(batch, 2):
+            for first, end, texts in _blocks(batch, 2, BLOCK_BYTES // 4):
                 found = grams(texts, order)
                 scores = log_scores(found, counts.of(found.keys[0], found.checks), _held(found, own.level), n_tokens, n_words)
                 part = batch.slice(first, end - first)
@@ -344,20 +359,20 @@ def _scored_by_shuffle(rows: DataFrame, model: Model, schema: T.StructType) -> D
         found = grams([x.as_py() for x in table.column("text")], order)
         keys = np.unique(np.concatenate(found.keys))
         cell = cell_of(keys, n_cells)
-        word_cell = cell_of(found.keys[0], n_cells)
-        words = np.stack([found.keys[0], found.checks], axis=1)
+        words = _table(found.keys[0], found.checks, np.zeros(len(found.checks)))
+        word_cell = cell_of(words["key"], n_cells)
         own = np.unique(cell)
         return pa.table({"block": pa.array([table.column("block")[0].as_py()] * len(own), pa.int64()), "cell": pa.array(own, pa.int64()), "keys": pa.array([keys[cell == c].tobytes() for c in own], pa.binary()), "names": pa.array([words[word_cell == c].tobytes() for c in own], pa.binary())})
 
     def answered(key: tuple, asking: pa.Table, cells: pa.Table) -> pa.Table:
-        own = [(0, r["filter"], r["words"]) for r in cells.to_pylist()] or []
-        levels_of, counts = _loaded(own, 1)
+        own = [(0, r["filter"], r["words"]) for r in cells.to_pylist()]
+        levels_of, counts = _loaded(own, {c: (len(f), len(w)) for c, f, w in own}, 1)
         rows = asking.to_pylist()
-        keys, names = [np.frombuffer(r["keys"], "<u8") for r in rows], [np.frombuffer(r["names"], "<u8").reshape(-1, 2) for r in rows]
+        keys, names = [np.frombuffer(r["keys"], "<u8") for r in rows], [np.frombuffer(r["names"], WORD) for r in rows]
         held = [levels_of.level(k) for k in keys]
-        known = [counts.of(x[:, 0], x[:, 1]) for x in names]
-        out = [(r["block"], r["keys"], h.astype("<u1").tobytes(), r["names"], c.astype("<i8").tobytes()) for r, h, c in zip(rows, held, known, strict=True)]
-        kinds = {"block": pa.int64(), "keys": pa.binary(), "held": pa.binary(), "names": pa.binary(), "counts": pa.binary()}
+        known = [_table(x["key"], x["check"], counts.of(x["key"], x["check"])) for x in names]
+        out = [(r["block"], r["keys"], h.astype("<u1").tobytes(), x.tobytes()) for r, h, x in zip(rows, held, known, strict=True)]
+        kinds = {"block": pa.int64(), "keys": pa.binary(), "held": pa.binary(), "words": pa.binary()}
         return pa.table({n: pa.array([o[k] for o in out], t) for k, (n, t) in enumerate(kinds.items())})
 
     def put(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
@@ -365,11 +380,12 @@ def _scored_by_shuffle(rows: DataFrame, model: Model, schema: T.StructType) -> D
         keys, held = _joined(told.column("keys"), "<u8"), _joined(told.column("held"), "<u1").astype(np.int64)
         by = np.argsort(keys)
         keys, held = keys[by], held[by]
-        names = _joined(told.column("names"), "<u8").reshape(-1, 2)
-        counts = Counts(np.concatenate([names, _joined(told.column("counts"), "<i8").astype(np.uint64)[:, None]], axis=1))
+        words = _joined(told.column("words"), WORD)
+        words = _table(words["key"], words["check"], words["n"])
+        counts = Counts(words["key"], words["check"], words["n"])
         scores = log_scores(found, counts.of(found.keys[0], found.checks), _held(found, lambda k: held[np.searchsorted(keys, k)]), n_tokens, n_words)
         return pa.table({"id": docs.column("id"), "mark": docs.column("mark"), **{n: pa.array(scores[n]) for n in NAMES}})
 
     asking = blocks.groupBy("block").applyInArrow(asked, "block long, cell long, keys binary, names binary")
-    told = asking.groupBy("cell").cogroup(model.cells.groupBy("cell")).applyInArrow(answered, "block long, keys binary, held binary, names binary, counts binary")
+    told = asking.groupBy("cell").cogroup(model.cells.groupBy("cell")).applyInArrow(answered, "block long, keys binary, held binary, words binary")
     return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(put, schema)

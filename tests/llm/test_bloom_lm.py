@@ -113,13 +113,11 @@ def test_longer_histories(spark):
         assert scores[0] < scores[1] < scores[2] < 0
 
 
-def test_blocks_of_a_batch_have_all_rows(monkeypatch):
-    monkeypatch.setattr(bloom_lm, "BLOCK_BYTES", 10)
+def test_blocks_of_a_batch_have_all_rows():
     batch = pa.RecordBatch.from_arrays([pa.array([b"", b"12345678901", b"1234", b"123456", b"", b"1"], pa.binary())], names=["t"])
-    assert [(a, b, len(t)) for a, b, t in bloom_lm._blocks(batch, 0)] == [(0, 2, 2), (2, 4, 2), (4, 6, 2)]
+    assert [(a, b, len(t)) for a, b, t in bloom_lm._blocks(batch, 0, 10)] == [(0, 2, 2), (2, 4, 2), (4, 6, 2)]
 
 
 def test_words_that_share_half_of_their_name():
-    table = np.array([[5, 1, 10], [5, 2, 20], [7, 1, 30], [5, 3, 40]], np.uint64)
-    own = bloom_lm.Counts(table)
-    assert own.of(np.array([5, 5, 5, 5, 7, 8], np.uint64), np.array([1, 2, 3, 4, 1, 1], np.uint64)).tolist() == [10, 20, 40, 0, 30, 0]
+    own = bloom_lm.Counts(np.array([5, 5, 5, 7], np.uint64), np.array([1, 2, 3, 1], np.uint32), np.array([10, 20, 40, 30]))
+    assert own.of(np.array([5, 5, 5, 5, 7, 8], np.uint64), np.array([1, 2, 3, 4, 1, 1], np.uint32)).tolist() == [10, 20, 40, 0, 30, 0]
