@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import retrieval
+from . import lexical_index, retrieval
+from .lexical_index import LexicalIndex
 
 #: Longest gold text and answer looked for as a whole; of longer ones windows of WINDOW characters, each half a window on.
 WINDOW, WHOLE_ANSWER = 20, 30
@@ -89,11 +90,11 @@ def contexts(hits: DataFrame) -> DataFrame:
     return first.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy("place"))).select("query_id", "at", "text")
 
 
-def retrieve_only(queries: DataFrame, chunks: DataFrame, scope: DataFrame, k: int) -> DataFrame:
+def retrieve_only(queries: DataFrame, chunks: DataFrame, index: LexicalIndex, scope: DataFrame, k: int) -> DataFrame:
     """``(query_id, pk, score, rank)``: the k best hits of each question (query_id, q, q_vec, kind), as an evaluation asks for them.
 
     Both paths are fused with the weights that the question's words call for; each brings three times as many hits, 40 at
-    least. Questions about one document search in it alone: scope is (query_id, doc_id).
+    least. Questions about one document search in it alone: scope is (query_id, doc_id). ``index`` holds the chunks' words.
     """
     wide, inside = max(40, 3 * k), F.col("kind") == "doc_scoped_retrieval"
     dense, lexical = retrieval.weights(retrieval.bias(F.col("q")), F.lit("simple"))
@@ -102,7 +103,7 @@ def retrieve_only(queries: DataFrame, chunks: DataFrame, scope: DataFrame, k: in
     paths = []
     for name, found in (
         ("w_dense", retrieval.dense(free, chunks, wide).unionByName(retrieval.scoped_dense(narrow, chunks, scope, wide))),
-        ("w_bm25", retrieval.bm25(free, chunks, wide).unionByName(retrieval.scoped_bm25(narrow, chunks, scope, wide))),
+        ("w_bm25", lexical_index.search(free, index, wide).unionByName(lexical_index.scoped_search(narrow, index, scope, wide))),
     ):
         paths.append((found.join(weighed, "query_id"), name))
     return retrieval.fused(paths, k).select("query_id", "pk", "score", "rank")

@@ -228,45 +228,6 @@ def scoped_dense(queries: DataFrame, vectors: DataFrame, scope: DataFrame, k: in
     return top_k(pairs.select("query_id", "pk", F.round(dot, DIGITS).alias("score")), k)
 
 
-def scoped_bm25(queries: DataFrame, chunks: DataFrame, scope: DataFrame, k: int) -> DataFrame:
-    """The k best of each query among the chunks of its own documents; the statistics are those of all chunks."""
-    every = bm25(queries, chunks, None).drop("rank").join(chunks.select("pk", "doc_id"), "pk")
-    return top_k(every.join(scope.distinct(), ["query_id", "doc_id"], "left_semi").drop("doc_id"), k)
-
-
-def first_level(queries: DataFrame, overview: DataFrame, k: int = 5, docs: int = 10) -> DataFrame:
-    """``(query_id, doc_id, score, rank)``: documents by their best title or summary on either path."""
-    names = overview.select("pk", "doc_id", "doc_name")
-    paths = [documents_by_score(hits.join(names, "pk"), None) for hits in (dense(queries, overview, k), bm25(queries, overview, k))]
-    return merged_rankings(*paths, 1.0, docs)
-
-
-def progressive(queries: DataFrame, chunks: DataFrame, overview: Column, pools: Sequence[tuple[Column, int]], k: int = 5, least: float = 0.35) -> DataFrame:
-    """``(query_id, pk, score, sources, stage)``: documents first, then passages.
-
-    The first level finds documents by titles and summaries. Where the best passages in these are sure enough, the second
-    level stays in them (stage l2), else it searches everywhere (l2_global). Each pool of types is searched by both paths,
-    and cut to a number of its own.
-    """
-    scope = stored(first_level(queries, chunks.where(overview)).select("query_id", "doc_id"), "first-level")
-    prose = chunks.where(pools[0][0])
-    sure = stored(queries.select("query_id").join(confidence(scoped_bm25(queries, prose, scope, 1), scoped_dense(queries, prose, scope, 1), least), "query_id", "left").select("query_id", F.coalesce("sure", F.lit(False)).alias("sure")), "confidence")
-    inside, outside = (queries.join(sure.where(c).select("query_id"), "query_id", "left_semi") for c in (F.col("sure"), ~F.col("sure")))
-    out = None
-    for types, most in pools:
-        part = chunks.where(types)
-        paths = {"l2": [("vector", scoped_dense(inside, part, scope, k)), ("bm25", scoped_bm25(inside, part, scope, k))], "l2_global": [("vector", dense(outside, part, k)), ("bm25", bm25(outside, part, k))]}
-        for stage, found in paths.items():
-            hits = top_k(union_max(found), most).select("query_id", "pk", "score", "sources", F.lit(stage).alias("stage"))
-            out = hits if out is None else out.unionByName(hits)
-    return out
-
-
-def direct(queries: DataFrame, chunks: DataFrame, scope: DataFrame, k: int = 8) -> DataFrame:
-    """``(query_id, pk, score, sources)``: the k best passages of each query within the documents it names."""
-    return top_k(union_max([("vector", scoped_dense(queries, chunks, scope, k)), ("bm25", scoped_bm25(queries, chunks, scope, k))]), k).drop("rank")
-
-
 def confidence(lexical: DataFrame, vector: DataFrame, least: float) -> DataFrame:
     """Whether the best hits of a question are sure: both paths have some, and the dense best alone (where the lexical is over 1), else their mean, reaches ``least``."""
     best = lambda hits, name: hits.groupBy("query_id").agg(F.max("score").alias(name))

@@ -10,7 +10,7 @@ from corpuscle.operators import context, evaluation, retrieval as r
 from corpuscle.sources import sinks
 from corpuscle.sources.chunks import CHUNKS_SQL as C
 
-from .q_retrieval import BQ, VC, VQ, WEIGHTS, _bias_sql, both_queries, vector_chunks
+from .q_retrieval import BQ, VC, VQ, WEIGHTS, _bias_sql, both_queries, lexical, vector_chunks
 from .q_store import chunks
 from .registry import Fixture, query, table
 
@@ -50,7 +50,7 @@ _RANKED = "SELECT query_id, pk, row_number() OVER (PARTITION BY query_id ORDER B
  SELECT query_id, pk, score, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pk) k FROM (SELECT query_id, pk, round(sum(part), 6) score FROM u GROUP BY ALL)) WHERE k <= 10""")
 def retrieve_only(spark, d):
     q = both_queries(spark, d).withColumn("kind", F.when(F.col("query_id") % 2 == 0, "fact_retrieval").otherwise("doc_scoped_retrieval"))
-    return evaluation.retrieve_only(q, vector_chunks(spark, d), _scope(spark, d), 10)
+    return evaluation.retrieve_only(q, vector_chunks(spark, d), lexical(spark, d), _scope(spark, d), 10)
 
 
 @query("paper_discovery", f"WITH {C} SELECT doc_id, count(*)::BIGINT AS n_chunks FROM chunks JOIN labels l ON CAST(l.doc_id AS VARCHAR) = chunks.doc_id WHERE source <> 'src1' GROUP BY doc_id".replace("SELECT doc_id, count", "SELECT chunks.doc_id, count").replace("GROUP BY doc_id", "GROUP BY chunks.doc_id"))

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from corpuscle.functions import text
 from corpuscle.functions.words import DENSE_WEIGHT
-from corpuscle.operators import filters, retrieval as r, routing
+from corpuscle.operators import filters, levels, lexical_index, retrieval as r, routing, vector_index
 from corpuscle.sources.chunks import CHUNKS_SQL as C
 
 from .q_store import FIGURES, chunks
-from .registry import Fixture, query, table
+from .registry import SQL, Fixture, query, table
 
 DOC_NAMES = Fixture("query_id int, q string", (1, "nt onor the of it"), (2, "The and attion to thanedble"), (3, ""), (4, "ciónrami esargaos 钢 é"))
 
@@ -37,9 +37,25 @@ def bm25_topk(spark, d):
     return r.bm25(benchmark_queries(spark, d), document_rows(spark, d), 5).select("query_id", "pk", "score", "rank")
 
 
+_INDEXES: dict[tuple[str, str, str], object] = {}
+
+
+def once(spark, d, name: str, build):
+    """What ``build`` makes of the tables in ``d``, made once for a Spark application."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _INDEXES:
+        _INDEXES[key] = build()
+    return _INDEXES[key]
+
+
+def lexical(spark, d) -> lexical_index.LexicalIndex:
+    """The stored index of all chunks, which all queries of an application read."""
+    return once(spark, d, "lexical", lambda: lexical_index.build(chunks(spark, d)))
+
+
 @query("bm25_chunks", f"WITH {C}, {BQ}, {r.bm25_sql(10, 'bench')} SELECT query_id, pk, score, rank FROM bm25")
 def bm25_chunks(spark, d):
-    return r.bm25(benchmark_queries(spark, d), chunks(spark, d), 10).select("query_id", "pk", "score", "rank")
+    return lexical_index.search(benchmark_queries(spark, d), lexical(spark, d), 10).select("query_id", "pk", "score", "rank")
 
 
 @query("bm25_corpus_stats", f"WITH {C}, t AS (SELECT type, {text.TOKENS_SQL.format('content')} t FROM chunks) SELECT count(*)::BIGINT AS n_docs, round(avg(len(t)), 6) AS avgdl FROM t")
@@ -74,6 +90,31 @@ def vector_topk_filtered(spark, d):
     return r.dense(query_vectors(spark, d), table(spark, d, "embeddings").where("label < 5"), 3, "vec_id").select("query_id", "vec_id", "score", "rank")
 
 
+#: The columns that filters of a dense search may ask for go into the index with the vectors.
+def vectors_index(spark, d) -> vector_index.VectorIndex:
+    return once(spark, d, "vectors", lambda: vector_index.build(table(spark, d, "embeddings"), "vec_id"))
+
+
+@query("dense_indexed")
+def dense_indexed(spark, d):
+    return vector_index.search(query_vectors(spark, d), vectors_index(spark, d), 10).select("query_id", "vec_id", "score", "rank")
+
+
+@query("dense_indexed_filtered")
+def dense_indexed_filtered(spark, d):
+    return vector_index.search(query_vectors(spark, d), vectors_index(spark, d), 3, F.col("label") < 5).select("query_id", "vec_id", "score", "rank")
+
+
+@query("dense_indexed_exact", SQL["vector_topk"])
+def dense_indexed_exact(spark, d):
+    return vector_index.search(query_vectors(spark, d), vectors_index(spark, d), 10, exact=True).select("query_id", "vec_id", "score", "rank")
+
+
+@query("dense_indexed_filtered_exact", SQL["vector_topk_filtered"])
+def dense_indexed_filtered_exact(spark, d):
+    return vector_index.search(query_vectors(spark, d), vectors_index(spark, d), 3, F.col("label") < 5, exact=True).select("query_id", "vec_id", "score", "rank")
+
+
 #: All chunks with vectors, and all questions: the vectors there are in turn, by ordinals.
 VC = f"{C}, vchunks AS (SELECT c.*, e.embedding FROM chunks c JOIN embeddings e ON (CAST(c.doc_id AS BIGINT) * 31 + paragraph_index) % (SELECT count(*) FROM embeddings) = e.vec_id)"
 VQ = "vq AS (SELECT query_id, q, embedding AS q_vec FROM bench JOIN embeddings ON query_id * 7 % (SELECT count(*) FROM embeddings) = vec_id)"
@@ -221,6 +262,13 @@ def split_pool(spark, d):
     return out
 
 
+@query("dense_chunks_indexed", f"WITH {VC}, {BQ}, {VQ}, pr AS (SELECT * FROM vchunks WHERE type IN ('text', 'equation')), {r.dense_sql(10, 'vq', 'pr', 'pk')} SELECT query_id, pk, score, rank FROM dense")
+def dense_chunks_indexed(spark, d):
+    """Every chunk in an index, asked under a filter of types; exact."""
+    index = once(spark, d, "chunk-vectors", lambda: vector_index.build(vector_chunks(spark, d).select("pk", "doc_id", "type", "publication_year", "embedding")))
+    return vector_index.search(both_queries(spark, d), index, 10, filters.pool("prose"), exact=True).select("query_id", "pk", "score", "rank")
+
+
 @query("structural_recall", f"WITH {C} SELECT doc_id, pk, CAST(1 AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_start, paragraph_index, pk) r FROM chunks WHERE type IN ('references', 'image', 'table')) WHERE r <= 500")
 def structural_recall(spark, d):
     return r.structural(chunks(spark, d), filters.STRUCTURAL, 500)
@@ -304,8 +352,7 @@ _SURE = f"sure AS (SELECT query_id, coalesce(CASE WHEN l.s > 1 THEN v.s ELSE (l.
 @query("progressive_full", f"WITH {VC}, {BQ}, {VQ}, {_SCOPE}, {_PROSE_SCORES}, {_SURE}, {_second_level_sql('a', chr(39) + 'text' + chr(39) + ', ' + chr(39) + 'equation' + chr(39), 5, 8)}, {_second_level_sql('z', chr(39) + 'image' + chr(39) + ', ' + chr(39) + 'table' + chr(39), 5, 2)} SELECT * FROM a_top UNION ALL SELECT * FROM z_top")
 def progressive_full(spark, d):
     q, own = both_queries(spark, d), vector_chunks(spark, d)
-    pools = [(F.col("type").isin("text", "equation"), 8), (F.col("type").isin("image", "table"), 2)]
-    return r.progressive(q, own, filters.pool("overview"), pools)
+    return levels.progressive(q, own, lexical(spark, d), ("summary", "title"), [(("text", "equation"), 8), (("image", "table"), 2)])
 
 
 #: Each question names documents by id: those whose number it divides by 40 with the rest that its own number is.
@@ -317,9 +364,19 @@ def _named(spark, d) -> DataFrame:
 _NAMED = "scope AS (SELECT query_id, CAST(doc_id AS VARCHAR) doc_id FROM bench JOIN documents ON doc_id % 40 = query_id % 40)"
 
 
-@query("local_direct", f"WITH {VC}, {BQ}, {VQ}, {_NAMED}, sure AS (SELECT query_id, true AS sure FROM vq), {_second_level_sql('a', chr(39) + 'text' + chr(39) + ', ' + chr(39) + 'equation' + chr(39), 8, 8)} SELECT query_id, pk, score, sources FROM a_top")
+#: The scope first: only chunks of the named documents are scored, by the statistics of all of their types.
+_DIRECT_SQL = f"""WITH {VC}, {BQ}, {VQ}, {_NAMED}, pc AS (SELECT * FROM vchunks WHERE type IN ('text', 'equation')), bt AS (SELECT pk, doc_id, {text.TOKENS_SQL.format('content')} t FROM pc),
+ be AS (SELECT pk, doc_id, len(t) dl, unnest(t) term FROM bt), bp AS (SELECT pk, doc_id, term, count(*) tf, any_value(dl) dl FROM be GROUP BY ALL), bd AS (SELECT term, count(*) df FROM bp GROUP BY term), bs AS (SELECT count(*) n_docs, avg(len(t)) avgdl FROM bt),
+ bq AS (SELECT query_id, term, count(*) qtf FROM (SELECT query_id, unnest({text.TOKENS_SQL.format('q')}) term FROM vq) x GROUP BY ALL), sp AS MATERIALIZED (SELECT query_id, pk, term, tf, dl FROM scope JOIN bp USING (doc_id)),
+ l AS (SELECT query_id, pk, round(sum(qtf * ln((n_docs - df + 0.5) / (df + 0.5) + 1.0) * (tf * {r.K1 + 1}) / (tf + {r.K1} * ({1 - r.B} + {r.B} * dl / avgdl))), {r.DIGITS}) score FROM sp JOIN bq USING (query_id, term) JOIN bd USING (term) CROSS JOIN bs GROUP BY query_id, pk),
+ v AS (SELECT query_id, pk, round(list_inner_product(CAST(q_vec AS DOUBLE[]), CAST(embedding AS DOUBLE[])), {r.DIGITS}) score FROM scope JOIN pc USING (doc_id) JOIN vq USING (query_id)),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, path ORDER BY score DESC, pk) r FROM (SELECT *, 'vector' path FROM v UNION ALL SELECT *, 'bm25' FROM l)), h AS (SELECT query_id, pk, max(score) score, string_agg(path, ',' ORDER BY path) sources FROM ranked WHERE r <= 8 GROUP BY query_id, pk)
+ SELECT query_id, pk, score, sources FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pk) r FROM h) WHERE r <= 8"""
+
+
+@query("local_direct", _DIRECT_SQL)
 def local_direct(spark, d):
-    return r.direct(both_queries(spark, d), vector_chunks(spark, d).where(F.col("type").isin("text", "equation")), _named(spark, d), 8)
+    return levels.direct(both_queries(spark, d), vector_chunks(spark, d), lexical(spark, d), _named(spark, d), ("text", "equation"), 8)
 
 
 @query("l1_fallback", f"WITH {C}, {BQ}, su AS (SELECT * FROM chunks WHERE type = 'summary'), {r.bm25_sql(20, 'bench', 'su')} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) rank FROM (SELECT query_id, split_part(pk, '::', 1) doc_id, round(max(score * 0.9), 7) score FROM bm25 GROUP BY ALL)) WHERE rank <= 6")
