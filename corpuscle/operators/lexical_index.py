@@ -5,9 +5,10 @@ BLOCK_ROWS, those with the greatest parts of a score first; a block carries the
 which the greatest part that any of its postings can add follows for every corpus statistic. A long list is cut into shards
 by a hash of the key first, so that no task has to order one whole.
 
-Search: the first blocks of a question's terms give a score that its k-th hit reaches at least. Terms whose greatest parts
-together stay below it can't bring a chunk in by themselves; of the other terms those blocks are read that can still reach
-it together with all other terms. Of what these blocks hold, the chunks that can still reach it are scored in full from ``texts``.
+Search: the best chunks of the first blocks of a question's terms are scored in full, which gives a score that its k-th hit
+reaches at least. The terms whose greatest parts together stay below a share of it can't bring a chunk in by themselves; of
+the other terms those blocks are read that can still reach it together with all other terms. Their parts are added up, and
+the chunks that can still reach the k-th best sum together with the terms left out are scored in full from ``texts``.
 """
 
 from __future__ import annotations
@@ -25,6 +26,12 @@ from . import retrieval as r
 
 #: Postings of a block, and of a shard of a long list.
 BLOCK_ROWS, SHARD_ROWS = 128, 1 << 16
+#: First blocks that are opened for a bound, those of the greatest parts, for each query.
+OPENED = 24
+#: Chunks of first blocks that are scored in full for a bound, for each of the k that are sought.
+TRIED = 8
+#: Terms are left out at first as long as they can bring less than this share of the k-th score together: the fewer, the fewer chunks are close.
+HELD_BACK = 0.4
 #: What sums of parts may be off by, in another order of addition and by rounding to DIGITS.
 SLACK = 10.0**-r.DIGITS
 
@@ -101,19 +108,25 @@ def candidates(index: LexicalIndex, asked: DataFrame, k: int, types: Sequence[st
     bounds = stored(bounds, "block-bounds")
     postings = _of(index.blocks, types).select("term", "type", "shard", "block", "postings")
     at = ["term", "type", "shard", "block"]
-    opened = bounds.where("block = 0").join(postings.where("block = 0"), at).join(_small(asked), ["query_id", "term"]).select("query_id", "qtf", "idf", "avgdl", F.explode("postings").alias("p"))
+    front = r.top_k(bounds.where("block = 0").withColumn("place", F.concat_ws("/", *at)), OPENED, score="bound", tie="place").drop("place", "rank", "bound")
+    opened = _small(front).join(postings.where("block = 0"), at).join(_small(asked), ["query_id", "term"]).select("query_id", "qtf", "idf", "avgdl", F.explode("postings").alias("p"))
     value = F.col("qtf") * F.col("idf") * part(F.col("p.tf"), F.col("p.dl"), F.col("avgdl"))
     partial = opened.select("query_id", F.col("p.pk").alias("pk"), value.alias("v")).groupBy("query_id", "pk").agg(F.sum("v").alias("score"))
-    least = r.top_k(partial, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
-    best = bounds.groupBy("query_id", "term").agg(F.max("bound").alias("best")).join(least, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0)) - SLACK)
+    first = scored(r.top_k(partial, TRIED * k).select("query_id", "pk"), index, asked)
+    least = r.top_k(first, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+    best = bounds.groupBy("query_id", "term").agg(F.max("bound").alias("best")).join(least, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0)) - 2 * SLACK)
     together = Window.partitionBy("query_id")
     best = best.withColumn("below", F.sum("best").over(together.orderBy("best", "term"))).withColumn("all", F.sum("best").over(together))  # a query's terms
-    rest = F.coalesce(F.max(F.when(F.col("below") < F.col("least"), F.col("below"))).over(together), F.lit(0.0))  # what the other terms can add together
-    needed = stored(best.withColumn("rest", rest).where(F.col("below") >= F.col("least")).select("query_id", "term", (F.col("all") - F.col("best")).alias("others"), "rest", "least"), "needed-terms")
+    needs = F.col("below") >= F.greatest(F.lit(0.0), HELD_BACK * F.col("least"))
+    rest = F.coalesce(F.max(F.when(~needs, F.col("below"))).over(together), F.lit(0.0))  # what the other terms can add together
+    needed = stored(best.withColumn("rest", rest).where(needs).select("query_id", "term", (F.col("all") - F.col("best")).alias("others"), "rest", "least"), "needed-terms")
     read = bounds.join(_small(needed), ["query_id", "term"]).where(F.col("bound") + F.col("others") >= F.col("least")).select("query_id", *at, "rest", "least")
     found = read.join(postings, at).select("query_id", "term", "rest", "least", F.explode("postings").alias("p")).join(_small(asked), ["query_id", "term"])
     summed = found.select("query_id", "rest", "least", F.col("p.pk").alias("pk"), value.alias("v")).groupBy("query_id", "pk", "rest", "least").agg(F.sum("v").alias("v"))
-    return summed.where(F.col("v") + F.col("rest") >= F.col("least")).select("query_id", "pk")
+    summed = stored(summed.where(F.col("v") + F.col("rest") >= F.col("least")), "partial-scores")
+    reached = r.top_k(summed, k, score="v").where(F.col("rank") == k).select("query_id", F.col("v").alias("reached"))
+    close = F.col("v") + F.col("rest") >= F.coalesce("reached", F.lit(0.0)) - 2 * SLACK
+    return summed.join(_small(reached), "query_id", "left").where(close).select("query_id", "pk")
 
 
 def search(queries: DataFrame, index: LexicalIndex, k: int, types: Sequence[str] | None = None) -> DataFrame:
