@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from corpuscle.functions import questions as qs
 from corpuscle.functions.words import FIGURE_LABEL, TABLE_LABEL
-from corpuscle.operators import quality, routing as o
+from corpuscle.operators import quality, research, routing as o
 from corpuscle.sources.chunks import CHUNKS_SQL as C
 
 from .q_layout import _q
+from .q_retrieval import benchmark_queries, lexical
 from .q_store import chunks
 from .registry import Fixture, query, table
 
@@ -231,6 +232,12 @@ def research_stops(spark, d):
     return o.stops(RESEARCH.df(spark), 4)
 
 
+@query("research_loop")
+def research_loop(spark, d):
+    """All benchmark items as runs over all chunks, until each has ended."""
+    return research.research(benchmark_queries(spark, d), lexical(spark, d), 5, 8.0).runs
+
+
 _SIGN = "array_to_string(list_sort(list_distinct(list_transform(list_filter(string_split(trim(regexp_replace(lower({0}), '[^a-z0-9一-鿿]+', ' ', 'g')), ' '), lambda w: w <> ''), lambda w: CASE WHEN length(w) > 3 AND w LIKE '%s' THEN left(w, length(w) - 1) ELSE w END))), ' ')"
 
 
