@@ -2,64 +2,72 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpuscle.functions import questions, text, words
-from corpuscle.operators import context, evaluation, quality
+from corpuscle.operators import context, evaluation, lexical_index, quality, retrieval as r
 from corpuscle.sources.chunks import CHUNKS_SQL as C
 
+from .q_retrieval import BQ, benchmark_queries, lexical
 from .q_store import chunks
 from .registry import Fixture, query
 
-SCORED = Fixture(
-    "query_id int, grp string, route string, stage string, type string, pos int, score double",
-    (1, "a", "local", None, "text", 1, 0.9), (1, "a", "local", None, "image", 2, 0.5), (1, "b", "progressive", "l1", "image", 3, 0.25), (1, "b", "progressive", "l2", "text", 4, None), (1, "b", "progressive", "l2", "text", 5, 0.75),
-    (2, "a", "summary", None, "table", 1, 1.5), (2, "a", "summary", None, "text", 2, -0.5), (3, "a", "metadata", "", "references", 1, 0.2), (3, "b", "metadata", None, "text", 2, 0.2), (3, "b", "local", None, "text", 3, 0.2),
-)
+#: The twelve best chunks for each benchmark item, with a route by their type, a stage by their document, and scores scaled to about 0 to 1.
+HITS = f"""{C}, {BQ}, {r.bm25_sql(12, 'bench')}, hits AS (SELECT query_id, CAST(CAST(doc_id AS BIGINT) % 2 AS VARCHAR) AS grp, CASE WHEN type IN ('text', 'equation') THEN 'progressive' WHEN type = 'summary' THEN 'summary' WHEN type = 'title' THEN 'local' ELSE 'metadata' END AS route,
+ CASE WHEN type IN ('text', 'equation') THEN CASE WHEN CAST(doc_id AS BIGINT) % 3 = 0 THEN 'l1' ELSE 'l2' END END AS stage, type, rank AS pos, score / 37.0::DOUBLE AS score, pk, doc_id, doc_name, content FROM bm25 JOIN chunks USING (pk))"""
+
+
+def hits(spark, d):
+    found = lexical_index.search(benchmark_queries(spark, d), lexical(spark, d), 12).join(chunks(spark, d).select("pk", "doc_id", "doc_name", "type", "content"), "pk")
+    n, prose = F.col("doc_id").cast("long"), F.col("type").isin("text", "equation")
+    route = F.when(prose, "progressive").when(F.col("type") == "summary", "summary").when(F.col("type") == "title", "local").otherwise("metadata")
+    stage = F.when(prose, F.when(n % 3 == 0, "l1").otherwise("l2"))
+    return found.select("query_id", (n % 2).cast("string").alias("grp"), route.alias("route"), stage.alias("stage"), "type", F.col("rank").alias("pos"), (F.col("score") / 37.0).alias("score"), "pk", "doc_id", "doc_name", "content")
 
 
-@query("rerank_top", f"SELECT query_id, pos, held AS score, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY held DESC, pos) k FROM (SELECT *, greatest(0, least(1, score)) held FROM {SCORED.sql} WHERE score IS NOT NULL)) WHERE k <= 2")
+@query("rerank_top", f"WITH {HITS} SELECT query_id, pos, held AS score, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY held DESC, pos) k FROM (SELECT *, greatest(0, least(1, score)) held FROM hits WHERE score IS NOT NULL)) WHERE k <= 2")
 def rerank_top(spark, d):
-    return quality.clamped(SCORED.df(spark), 2).select("query_id", "pos", "score", "rank")
+    return quality.clamped(hits(spark, d), 2).select("query_id", "pos", "score", "rank")
 
 
-@query("dominant_type", f"SELECT query_id, type, n FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, o) k FROM (SELECT query_id, type, count(*) n, min(pos) o FROM {SCORED.sql} GROUP BY ALL)) WHERE k = 1")
+@query("dominant_type", f"WITH {HITS} SELECT query_id, type, n FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, o) k FROM (SELECT query_id, type, count(*) n, min(pos) o FROM hits GROUP BY ALL)) WHERE k = 1")
 def dominant_type(spark, d):
-    return quality.dominant(SCORED.df(spark), ["query_id"], "type", "pos")
+    return quality.dominant(hits(spark, d), ["query_id"], "type", "pos")
 
 
-@query("score_stats", f"SELECT query_id, route, type, CASE WHEN grouping(route) = 0 THEN 'route' WHEN grouping(type) = 0 THEN 'type' ELSE 'all' END AS level, round(avg(score), 6) AS mean, max(score) AS best, count(*) AS n FROM {SCORED.sql} GROUP BY GROUPING SETS ((query_id, route), (query_id, type), (query_id))")
+@query("score_stats", f"WITH {HITS} SELECT query_id, route, type, CASE WHEN grouping(route) = 0 THEN 'route' WHEN grouping(type) = 0 THEN 'type' ELSE 'all' END AS level, round(avg(score), 6) AS mean, max(score) AS best, count(*) AS n FROM hits GROUP BY GROUPING SETS ((query_id, route), (query_id, type), (query_id))")
 def score_stats(spark, d):
-    return quality.score_stats(SCORED.df(spark))
+    return quality.score_stats(hits(spark, d))
 
 
-@query("group_zscore", f"SELECT query_id, pos, round(CASE WHEN g > 1 AND n >= 2 THEN (score - m) / (CASE WHEN s > 0 THEN s ELSE 0.001 END) ELSE score END, 6) AS z FROM (SELECT *, avg(score) OVER w m, stddev_pop(score) OVER w s, count(score) OVER w n, count(DISTINCT grp) OVER (PARTITION BY query_id) g FROM {SCORED.sql} WINDOW w AS (PARTITION BY query_id, grp))")
+@query("group_zscore", f"WITH {HITS} SELECT query_id, pos, round(CASE WHEN g > 1 AND n >= 2 THEN (score - m) / (CASE WHEN s > 0 THEN s ELSE 0.001 END) ELSE score END, 6) AS z FROM (SELECT *, avg(score) OVER w m, stddev_pop(score) OVER w s, count(score) OVER w n, count(DISTINCT grp) OVER (PARTITION BY query_id) g FROM hits WINDOW w AS (PARTITION BY query_id, grp))")
 def group_zscore(spark, d):
-    return quality.group_zscore(SCORED.df(spark)).select("query_id", "pos", F.round("z", 6).alias("z"))
+    return quality.group_zscore(hits(spark, d)).select("query_id", "pos", F.round("z", 6).alias("z"))
 
 
-_ROUTES = f"(SELECT query_id, route, avg(score) AS quality FROM (SELECT *, row_number() OVER (PARTITION BY query_id, route ORDER BY score DESC) k FROM {SCORED.sql} WHERE score IS NOT NULL) WHERE k <= 2 GROUP BY ALL)"
+_ROUTES = f"(SELECT query_id, route, avg(score) AS quality FROM (SELECT *, row_number() OVER (PARTITION BY query_id, route ORDER BY score DESC) k FROM hits WHERE score IS NOT NULL) WHERE k <= 2 GROUP BY ALL)"
 
 
-@query("route_quality", f"SELECT query_id, route, round(quality, 6) AS quality FROM {_ROUTES}")
+@query("route_quality", f"WITH {HITS} SELECT query_id, route, round(quality, 6) AS quality FROM {_ROUTES}")
 def route_quality(spark, d):
-    return quality.route_quality(SCORED.df(spark), 2).select("query_id", "route", F.round("quality", 6).alias("quality"))
+    return quality.route_quality(hits(spark, d), 2).select("query_id", "route", F.round("quality", 6).alias("quality"))
 
 
-@query("blended_quality", f"SELECT query_id, round(CASE WHEN count(*) = 1 THEN max(quality) ELSE 0.7 * max(quality) + 0.3 * avg(quality) END, 6) AS quality FROM {_ROUTES} GROUP BY query_id")
+@query("blended_quality", f"WITH {HITS} SELECT query_id, round(CASE WHEN count(*) = 1 THEN max(quality) ELSE 0.7 * max(quality) + 0.3 * avg(quality) END, 6) AS quality FROM {_ROUTES} GROUP BY query_id")
 def blended_quality(spark, d):
-    return quality.gate(quality.route_quality(SCORED.df(spark), 2), F.lit(0.5)).select("query_id", F.round("quality", 6).alias("quality"))
+    return quality.gate(quality.route_quality(hits(spark, d), 2), F.lit(0.5)).select("query_id", F.round("quality", 6).alias("quality"))
 
 
-@query("quality_gate", f"SELECT query_id, bool_or(quality >= CASE route WHEN 'local' THEN 0.8 WHEN 'summary' THEN 0.35 ELSE 0.25 END) AS passes FROM {_ROUTES} GROUP BY query_id")
+@query("quality_gate", f"WITH {HITS} SELECT query_id, bool_or(quality >= CASE route WHEN 'local' THEN 0.8 WHEN 'summary' THEN 0.35 ELSE 0.25 END) AS passes FROM {_ROUTES} GROUP BY query_id")
 def quality_gate(spark, d):
     limit = quality.threshold({("local", "", ""): 0.8, ("summary", "", ""): 0.35}, 0.25, stage=F.lit(""), kind=F.lit(""))
-    return quality.gate(quality.route_quality(SCORED.df(spark), 2), limit).select("query_id", "passes")
+    return quality.gate(quality.route_quality(hits(spark, d), 2), limit).select("query_id", "passes")
 
 
-@query("hit_counts", f"SELECT query_id, coalesce(route, 'ALL') AS route, count(*) AS n FROM {SCORED.sql} GROUP BY GROUPING SETS ((query_id, route), (query_id))")
+@query("hit_counts", f"WITH {HITS} SELECT query_id, coalesce(route, 'ALL') AS route, count(*) AS n FROM hits GROUP BY GROUPING SETS ((query_id, route), (query_id))")
 def hit_counts(spark, d):
-    own = SCORED.df(spark).groupingSets([["query_id", "route"], ["query_id"]], "query_id", "route").agg(F.count("*").alias("n"))
+    own = hits(spark, d).groupingSets([["query_id", "route"], ["query_id"]], "query_id", "route").agg(F.count("*").alias("n"))
     return own.withColumn("route", F.coalesce("route", F.lit("ALL")))
 
 
@@ -68,17 +76,20 @@ ENTRIES = Fixture("route string, stage string, type string, value double", *((*k
 _STEP = f"(SELECT value FROM {ENTRIES.sql} m WHERE m.route = {{}} AND m.stage = {{}} AND m.type = {{}})"
 
 
-@query("threshold_ladder", f"SELECT query_id, pos, coalesce({_STEP.format('h.route', 'h.st', 'h.type')}, {_STEP.format('h.route', 'h.st', chr(39) * 2)}, {_STEP.format('h.route', chr(39) * 2, 'h.type')}, {_STEP.format('h.route', chr(39) * 2, chr(39) * 2)}, {_STEP.format(chr(39) * 2, chr(39) * 2, 'h.type')}, 0.25) AS threshold FROM (SELECT *, coalesce(stage, '') st FROM {SCORED.sql}) h")
+@query("threshold_ladder", f"WITH {HITS} SELECT query_id, pos, coalesce({_STEP.format('h.route', 'h.st', 'h.type')}, {_STEP.format('h.route', 'h.st', chr(39) * 2)}, {_STEP.format('h.route', chr(39) * 2, 'h.type')}, {_STEP.format('h.route', chr(39) * 2, chr(39) * 2)}, {_STEP.format(chr(39) * 2, chr(39) * 2, 'h.type')}, 0.25) AS threshold FROM (SELECT *, coalesce(stage, '') st FROM hits) h")
 def threshold_ladder(spark, d):
-    return SCORED.df(spark).select("query_id", "pos", quality.threshold(MATRIX, 0.25).alias("threshold"))
+    return hits(spark, d).select("query_id", "pos", quality.threshold(MATRIX, 0.25).alias("threshold"))
 
 
-ASKED = Fixture("id int, route string, type string, asked_type string, structural_refs boolean", (1, "metadata", "text", None, True), (2, "metadata", "image", "image", False), (3, "local", "image", "Image ", False), (4, "local", "table", "image", True), (5, "progressive", "text", "text", False), (6, "summary", "references", None, False))
+#: What a question asked for: every third one for images, every third for what its hit is, the others for nothing; every second names a label.
+_ASKED = "(SELECT query_id, pos, route, type, CASE query_id % 3 WHEN 0 THEN 'Image ' WHEN 1 THEN type END AS asked_type, query_id % 2 = 0 AS structural_refs FROM hits)"
 
 
-@query("exempt_levels", f"SELECT id, CASE WHEN route = 'metadata' AND structural_refs THEN 'full' WHEN route = 'metadata' THEN 'topk_only' WHEN type IN ('image', 'table', 'references') AND type = lower(trim(asked_type)) THEN 'full' ELSE 'none' END AS level FROM {ASKED.sql}")
+@query("exempt_levels", f"WITH {HITS} SELECT query_id, pos, CASE WHEN route = 'metadata' AND structural_refs THEN 'full' WHEN route = 'metadata' THEN 'topk_only' WHEN type IN ('image', 'table', 'references') AND type = lower(trim(asked_type)) THEN 'full' ELSE 'none' END AS level FROM {_ASKED}")
 def exempt_levels(spark, d):
-    return ASKED.df(spark).select("id", quality.exemption().alias("level"))
+    asked = F.when(F.col("query_id") % 3 == 0, "Image ").when(F.col("query_id") % 3 == 1, F.col("type"))
+    own = hits(spark, d).withColumn("asked_type", asked).withColumn("structural_refs", F.col("query_id") % 2 == 0)
+    return own.select("query_id", "pos", quality.exemption().alias("level"))
 
 
 FIGURES = Fixture(
@@ -100,37 +111,58 @@ def diagnosis(spark, d):
     return quality.diagnosed(FIGURES.df(spark)).withColumn("confidence", F.round("confidence", 6))
 
 
-GOLD = Fixture("question_id int, text string", (1, "Rate 3 × 4 mm"), (1, "this gold text is longer than one window of text"), (1, " "), (2, "never found anywhere in here at all"), (3, "no hits"))
-ANSWERS = Fixture("question_id int, text string", (1, "3x4 MM"), (2, "an answer that is longer than thirty characters is cut"), (3, "none"), (4, ""))
-FOUND = Fixture("question_id int, rank int, text string", (1, 2, "a window of text, rate 3x4"), (1, 3, "mm; Longer THAN one window of te"), (2, 1, "We say: an answer that is longer than it was"))
 _NORM = "regexp_replace(translate(lower(coalesce({}, '')), '×∼－', 'x~-'), '\\s+', '', 'g')"
-_HAY = f"(SELECT question_id, {_NORM.format(chr(34) + 'all' + chr(34))} h FROM (SELECT question_id, string_agg(text, ' ' ORDER BY rank) AS \"all\" FROM {FOUND.sql} GROUP BY question_id))"
+#: Benchmark items as gold texts, their heads as answers (every fourth has none), and what was retrieved for them.
+_EVAL = f"{HITS}, gold AS (SELECT item_id AS question_id, text FROM benchmark), answers AS (SELECT item_id AS question_id, CASE WHEN item_id % 4 > 0 THEN left(text, CAST(12 + item_id % 30 AS INTEGER)) ELSE '' END AS text FROM benchmark), found AS (SELECT query_id AS question_id, pos AS rank, content AS text FROM hits), hay AS (SELECT question_id, {_NORM.format(chr(34) + 'all' + chr(34))} h FROM (SELECT question_id, string_agg(text, ' ' ORDER BY rank) AS \"all\" FROM found GROUP BY question_id))"
+
+
+def _evaluated(spark, d):
+    """(gold, answers, found)"""
+    items = benchmark_queries(spark, d).withColumnRenamed("query_id", "question_id")
+    head = F.when(F.col("question_id") % 4 > 0, F.substring("q", F.lit(1), (F.col("question_id") % 30 + 12).cast("int"))).otherwise("")
+    found = hits(spark, d).select(F.col("query_id").alias("question_id"), F.col("pos").alias("rank"), F.col("content").alias("text"))
+    return items.select("question_id", F.col("q").alias("text")), items.select("question_id", head.alias("text")), found
 
 
-@query("gold_recall", f"SELECT question_id, avg(CASE WHEN length(g) <= 20 THEN contains(h, g) ELSE len(list_filter(range(1, length(g) - 18, 10), lambda i: contains(h, substr(g, i, 20)))) > 0 END::INTEGER)::DOUBLE AS recall FROM (SELECT question_id, g, coalesce(h, '') h FROM (SELECT question_id, {_NORM.format('text')} g FROM {GOLD.sql}) LEFT JOIN {_HAY} USING (question_id) WHERE g <> '') GROUP BY question_id")
+_GOLD_SQL = f"SELECT question_id, avg(CASE WHEN length(g) <= 20 THEN contains(h, g) ELSE len(list_filter(range(1, length(g) - 18, 10), lambda i: contains(h, substr(g, i, 20)))) > 0 END::INTEGER)::DOUBLE AS recall FROM (SELECT question_id, g, coalesce(h, '') h FROM (SELECT question_id, {_NORM.format('text')} g FROM gold) LEFT JOIN hay USING (question_id) WHERE g <> '') GROUP BY question_id"
+
+
+@query("gold_recall", f"WITH {_EVAL} {_GOLD_SQL}")
 def gold_recall(spark, d):
-    return evaluation.gold_recall(GOLD.df(spark), FOUND.df(spark))
+    gold, _, found = _evaluated(spark, d)
+    return evaluation.gold_recall(gold, found)
+
+
+_EXACT_SQL = f"SELECT question_id, CASE WHEN a <> '' THEN contains(coalesce(h, ''), CASE WHEN length(a) <= 30 THEN a ELSE substr(a, 1, 20) END)::INTEGER::DOUBLE END AS hit FROM (SELECT question_id, {_NORM.format('text')} a FROM answers) LEFT JOIN hay USING (question_id)"
 
 
-@query("exact_hit", f"SELECT question_id, CASE WHEN a <> '' THEN contains(coalesce(h, ''), CASE WHEN length(a) <= 30 THEN a ELSE substr(a, 1, 20) END)::INTEGER::DOUBLE END AS hit FROM (SELECT question_id, {_NORM.format('text')} a FROM {ANSWERS.sql}) LEFT JOIN {_HAY} USING (question_id)")
+@query("exact_hit", f"WITH {_EVAL} {_EXACT_SQL}")
 def exact_hit(spark, d):
-    return evaluation.exact_hits(ANSWERS.df(spark), FOUND.df(spark))
+    _, answers, found = _evaluated(spark, d)
+    return evaluation.exact_hits(answers, found)
 
 
-RANKED = Fixture("question_id int, kind string, rank int, relevant boolean", (1, "table", 1, False), (1, "table", 2, True), (2, "table", 1, False), (3, "prose", 1, True), (3, "prose", 2, True), (4, "prose", 4, True))
+#: A hit is relevant if it has the item's first twenty characters; kinds are those of the best hit.
+_RANKED = "(SELECT query_id AS question_id, first_value(type) OVER (PARTITION BY query_id ORDER BY pos) AS kind, pos AS rank, contains(content, left(q, 20)) AS relevant FROM hits JOIN bench USING (query_id))"
 
 
-@query("recall_at_k", f"SELECT kind, avg(coalesce(f <= 1, false)::INTEGER)::DOUBLE AS recall_1, avg(coalesce(f <= 3, false)::INTEGER)::DOUBLE AS recall_3, avg(coalesce(f <= 5, false)::INTEGER)::DOUBLE AS recall_5, count(*) AS n FROM (SELECT kind, question_id, min(CASE WHEN relevant THEN rank END) f FROM {RANKED.sql} GROUP BY ALL) GROUP BY kind")
+@query("recall_at_k", f"WITH {HITS} SELECT kind, avg(coalesce(f <= 1, false)::INTEGER)::DOUBLE AS recall_1, avg(coalesce(f <= 3, false)::INTEGER)::DOUBLE AS recall_3, avg(coalesce(f <= 5, false)::INTEGER)::DOUBLE AS recall_5, count(*) AS n FROM (SELECT kind, question_id, min(CASE WHEN relevant THEN rank END) f FROM {_RANKED} GROUP BY ALL) GROUP BY kind")
 def recall_at_k(spark, d):
-    return evaluation.recall_at(RANKED.df(spark), [1, 3, 5])
+    own = hits(spark, d).join(benchmark_queries(spark, d), "query_id")
+    kind = F.first("type").over(Window.partitionBy("query_id").orderBy("pos"))
+    return evaluation.recall_at(own.select(F.col("query_id").alias("question_id"), kind.alias("kind"), F.col("pos").alias("rank"), F.contains("content", F.left("q", F.lit(20))).alias("relevant")), [1, 3, 5])
 
 
-RESULTS = Fixture("id int, eval_kind string, error string, recall double, exact double, latency double", (1, "fact", None, 1.0, 1.0, 0.25), (2, "fact", "timeout", None, None, 9.0), (3, "fact", None, 0.5, 0.0, 0.5), (4, "generation", None, None, 1.0, 2.0))
+#: Runs by the route of their best hit: those that found no answer failed, and a run takes a quarter of a second for each hit.
+_RESULTS = f"(SELECT question_id AS id, eval_kind, CASE WHEN hit = 0 THEN 'not found' END AS error, recall, hit AS exact, n / 4.0::DOUBLE AS latency FROM (SELECT query_id AS question_id, arg_min(route, pos) AS eval_kind, count(*) AS n FROM hits GROUP BY query_id) JOIN ({{recall}}) USING (question_id) JOIN ({{exact}}) USING (question_id))"
 
 
-@query("eval_rollup", f"SELECT CASE WHEN grouping(eval_kind) = 1 THEN 'ALL' ELSE eval_kind END AS eval_kind, count(*) AS n, count(*) FILTER (WHERE error IS NULL) AS success, round(avg(recall), 4) AS recall, round(avg(exact), 4) AS exact, round(avg(latency) FILTER (WHERE error IS NULL), 3) AS latency FROM {RESULTS.sql} GROUP BY ROLLUP (eval_kind)")
+@query("eval_rollup", f"WITH {_EVAL} SELECT CASE WHEN grouping(eval_kind) = 1 THEN 'ALL' ELSE eval_kind END AS eval_kind, count(*) AS n, count(*) FILTER (WHERE error IS NULL) AS success, round(avg(recall), 4) AS recall, round(avg(exact), 4) AS exact, round(avg(latency) FILTER (WHERE error IS NULL), 3) AS latency FROM {_RESULTS.format(recall=_GOLD_SQL, exact=_EXACT_SQL)} GROUP BY ROLLUP (eval_kind)")
 def eval_rollup(spark, d):
-    return evaluation.report(RESULTS.df(spark))
+    gold, answers, found = _evaluated(spark, d)
+    runs = hits(spark, d).groupBy(F.col("query_id").alias("question_id")).agg(F.min_by("route", "pos").alias("eval_kind"), (F.count("*") / 4.0).alias("latency"))
+    own = runs.join(evaluation.gold_recall(gold, found), "question_id").join(evaluation.exact_hits(answers, found), "question_id")
+    return evaluation.report(own.select("eval_kind", F.when(F.col("hit") == 0, "not found").alias("error"), "recall", F.col("hit").alias("exact"), "latency"))
 
 
 ASKS = Fixture("query_id int, question string", (1, "What rusts?"), (2, "Nothing?"))
