@@ -11,7 +11,7 @@ from corpuscle.sources.chunks import CHUNKS_SQL as C
 
 from .q_retrieval import BQ, benchmark_queries, lexical
 from .q_store import chunks
-from .registry import Fixture, query
+from .registry import Fixture, query, table
 
 #: The twelve best chunks for each benchmark item, with a route by their type, a stage by their document, and scores scaled to about 0 to 1.
 HITS = f"""{C}, {BQ}, {r.bm25_sql(12, 'bench')}, hits AS (SELECT query_id, CAST(CAST(doc_id AS BIGINT) % 2 AS VARCHAR) AS grp, CASE WHEN type IN ('text', 'equation') THEN 'progressive' WHEN type = 'summary' THEN 'summary' WHEN type = 'title' THEN 'local' ELSE 'metadata' END AS route,
@@ -202,35 +202,44 @@ QUESTIONS = Fixture(
     (1, "Show page 12 and 第十二页, p. 3, page 12"), (2, "第 二十 页 第3段 paragraph 7, since 2015"), (3, "work from 2010-2014 on 'weathering steel' and \"Q450\""), (4, "the past 5 years"), (5, "最近三年 的 进展"),
     (6, "before 1999"), (7, "in 2003 only"), (8, "Compare Figure 3 with Table II and fig. iv"), (9, "nothing"),
 )
+#: All turns of conversations as questions, and some that have what is rare there.
+_TURNS = f"(SELECT conv_id * 1000 + turn AS id, text AS q FROM conversations UNION ALL SELECT id, q FROM {QUESTIONS.sql})"
+
+
+def turns(spark, d):
+    own = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("q"))
+    return own.unionByName(QUESTIONS.df(spark).select("id", "q"))
+
+
 _CN = "(CASE WHEN regexp_matches({0}, '^[0-9]+$') THEN TRY_CAST({0} AS BIGINT) WHEN contains({0}, '十') THEN (CASE WHEN {0} LIKE '十%' THEN 1 ELSE strpos('一二三四五六七八九', split_part({0}, '十', 1)) END) * 10 + (CASE WHEN {0} LIKE '%十' THEN 0 ELSE strpos('一二三四五六七八九', split_part({0}, '十', 2)) END) WHEN {0} = '' THEN 0 ELSE strpos('一二三四五六七八九', {0}) END)"
 
 
 def _refs_sql(pattern: str) -> str:
     tokens = f"list_transform(regexp_extract_all(q, '{pattern}'), lambda m: regexp_extract(m, '{questions.NUMBER}', 0))"
-    return f"array_to_string(list_filter(n, lambda x, i: x >= 1 AND list_position(n, x) = i), ',') FROM (SELECT id, list_transform({tokens}, lambda t: {_CN.format('t')}) n FROM {QUESTIONS.sql})"
+    return f"array_to_string(list_filter(n, lambda x, i: x >= 1 AND list_position(n, x) = i), ',') FROM (SELECT id, list_transform({tokens}, lambda t: {_CN.format('t')}) n FROM {_TURNS})"
 
 
 @query("page_refs", f"SELECT id, {_refs_sql(questions.PAGE).replace(' FROM (', ' AS pages FROM (', 1)}")
 def page_refs(spark, d):
-    return QUESTIONS.df(spark).select("id", F.array_join(questions.references(F.col("q"), questions.PAGE), ",").alias("pages"))
+    return turns(spark, d).select("id", F.array_join(questions.references(F.col("q"), questions.PAGE), ",").alias("pages"))
 
 
 @query("paragraph_refs", f"SELECT id, {_refs_sql(questions.PARAGRAPH).replace(' FROM (', ' AS paragraphs FROM (', 1)}")
 def paragraph_refs(spark, d):
-    return QUESTIONS.df(spark).select("id", F.array_join(questions.references(F.col("q"), questions.PARAGRAPH), ",").alias("paragraphs"))
+    return turns(spark, d).select("id", F.array_join(questions.references(F.col("q"), questions.PARAGRAPH), ",").alias("paragraphs"))
 
 
-@query("quoted_names", f"SELECT id, array_to_string(list_transform(regexp_extract_all(q, '{questions.QUOTED_NAME.replace(chr(39), chr(39) * 2)}', 1), lambda x: trim(x)), ',') AS names FROM {QUESTIONS.sql}")
+@query("quoted_names", f"SELECT id, array_to_string(list_transform(regexp_extract_all(q, '{questions.QUOTED_NAME.replace(chr(39), chr(39) * 2)}', 1), lambda x: trim(x)), ',') AS names FROM {_TURNS}")
 def quoted_names(spark, d):
-    return QUESTIONS.df(spark).select("id", F.array_join(questions.quoted_names(F.col("q")), ",").alias("names"))
+    return turns(spark, d).select("id", F.array_join(questions.quoted_names(F.col("q")), ",").alias("names"))
 
 
 _N = _CN.format(f"regexp_extract(regexp_extract(q, '{questions.RECENT_YEARS}', 0), '{questions.NUMBER}', 0)")
 
 
-@query("time_hint", f"SELECT id, coalesce(nullif(regexp_extract(q, '{questions.YEAR_RANGE}', 1), '') || '-' || regexp_extract(q, '{questions.YEAR_RANGE}', 2), nullif(regexp_extract(q, '{questions.SINCE_YEAR}', 1), '') || '-2024', '1900-' || nullif(regexp_extract(q, '{questions.BEFORE_YEAR}', 1), ''), CASE WHEN {_N} > 0 THEN (2024 - {_N}) || '-2024' END, nullif(regexp_extract(q, '{questions.ONE_YEAR}', 1), ''), '') AS years FROM {QUESTIONS.sql}")
+@query("time_hint", f"SELECT id, coalesce(nullif(regexp_extract(q, '{questions.YEAR_RANGE}', 1), '') || '-' || regexp_extract(q, '{questions.YEAR_RANGE}', 2), nullif(regexp_extract(q, '{questions.SINCE_YEAR}', 1), '') || '-2024', '1900-' || nullif(regexp_extract(q, '{questions.BEFORE_YEAR}', 1), ''), CASE WHEN {_N} > 0 THEN (2024 - {_N}) || '-2024' END, nullif(regexp_extract(q, '{questions.ONE_YEAR}', 1), ''), '') AS years FROM {_TURNS}")
 def time_hint(spark, d):
-    return QUESTIONS.df(spark).select("id", questions.years(F.col("q"), 2024).alias("years"))
+    return turns(spark, d).select("id", questions.years(F.col("q"), 2024).alias("years"))
 
 
 def _once(x: str) -> str:
@@ -242,10 +251,10 @@ _STOP = ", ".join(f"'{w}'" for w in words.STOP_WORDS)
 _LABEL = "list_sort(list_distinct(list_transform(regexp_extract_all(q, '{}', 1), lambda w: upper(w))))"
 
 
-@query("parse_query", f"SELECT id, {_once('k')} AS keywords, {_LABEL.format(words.FIGURE_LABEL)} AS figures, {_LABEL.format(words.TABLE_LABEL)} AS tables FROM (SELECT id, q, list_filter({_WORDS}, lambda w: w NOT IN ({_STOP})) k FROM {QUESTIONS.sql})")
+@query("parse_query", f"SELECT id, {_once('k')} AS keywords, {_LABEL.format(words.FIGURE_LABEL)} AS figures, {_LABEL.format(words.TABLE_LABEL)} AS tables FROM (SELECT id, q, list_filter({_WORDS}, lambda w: w NOT IN ({_STOP})) k FROM {_TURNS})")
 def parse_query(spark, d):
     q = F.col("q")
-    return QUESTIONS.df(spark).select("id", text.keywords(q).alias("keywords"), text.figure_labels(q).alias("figures"), text.table_labels(q).alias("tables"))
+    return turns(spark, d).select("id", text.keywords(q).alias("keywords"), text.figure_labels(q).alias("figures"), text.table_labels(q).alias("tables"))
 
 
 @query("sentence_count", f"WITH {C} SELECT pk, CAST(len(list_filter(regexp_split_to_array(content, '[。！？!?；;\\n]+'), lambda s: trim(s) <> '')) AS BIGINT) AS sentences FROM chunks")
@@ -256,9 +265,10 @@ def sentence_count(spark, d):
 OUTPUT = Fixture("id int, out string", (1, "<think>a</think> answer"), (2, "cut off</think>rest"), (3, "kept <think>never closed"), (4, "<redacted_thinking x=1>b</think>one<THINK>c</think >two"), (5, "plain"))
 
 
-@query("strip_thinking", f"SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(out, '(?is)<(?:redacted_thinking|think)\\b[^>]*>.*?</think\\s*>', '', 'g'), '(?is)^.*?</think\\s*>', ''), '(?is)<(?:redacted_thinking|think)\\b[^>]*>.*$', '')) AS answer FROM {OUTPUT.sql}")
+@query("strip_thinking", f"SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(out, '(?is)<(?:redacted_thinking|think)\\b[^>]*>.*?</think\\s*>', '', 'g'), '(?is)^.*?</think\\s*>', ''), '(?is)<(?:redacted_thinking|think)\\b[^>]*>.*$', '')) AS answer FROM (SELECT conv_id * 1000 + turn AS id, text AS out FROM conversations UNION ALL SELECT id, out FROM {OUTPUT.sql})")
 def strip_thinking(spark, d):
-    return OUTPUT.df(spark).select("id", questions.without_thinking(F.col("out")).alias("answer"))
+    own = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("out"))
+    return own.unionByName(OUTPUT.df(spark)).select("id", questions.without_thinking(F.col("out")).alias("answer"))
 
 
 @query("fixed_windows", f"WITH {C} SELECT pk, i AS start, substr(content, i, 120) AS piece FROM (SELECT pk, content, unnest(range(1, length(content) + 1, 80)) i FROM chunks WHERE type = 'text')")

@@ -222,20 +222,20 @@ def progressive_l1(spark, d):
     return r.merged_rankings(*ranked, 1.0, 10).select("query_id", "doc_id", "score", "rank")
 
 
-RANKED = Fixture("query_id int, doc_id string, doc_name string, pk string, type string, score double", (1, "a", "A", "a1", "text", 0.9), (1, "a", "A2", "a2", "image", 0.95), (1, "b", "B", "b1", "text", 0.5), (1, "c", "C", "c1", "text", 0.5), (2, "b", "B", "b2", "table", 3.5), (2, "c", "C", "c2", "text", 0.1))
-OTHER = Fixture("query_id int, doc_id string, score double", (1, "b", 0.8), (1, "d", 1.0), (2, "c", 2.0), (3, "z", 0.4))
-_DMS = f"SELECT query_id, doc_id, round(max(score * 0.75), 7) score, arg_max(doc_name, score) doc_name FROM {RANKED.sql} GROUP BY query_id, doc_id"
+_DMS = "SELECT query_id, doc_id, round(max(score * 0.75), 7) score, arg_max(doc_name, score) doc_name FROM bm25 JOIN chunks USING (pk) GROUP BY query_id, doc_id"
 
 
-@query("doc_max_score", f"SELECT query_id, doc_id, score, doc_name, CAST(rank AS INTEGER) rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) rank FROM ({_DMS}) x) y WHERE rank <= 2")
+@query("doc_max_score", f"WITH {C}, {BQ}, {r.bm25_sql(20, 'bench')} SELECT query_id, doc_id, score, doc_name, CAST(rank AS INTEGER) rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) rank FROM ({_DMS}) x) y WHERE rank <= 5")
 def doc_max_score(spark, d):
-    return r.documents_by_score(RANKED.df(spark), 2, 0.75)
+    hits = lexical_index.search(benchmark_queries(spark, d), lexical(spark, d), 20).drop("rank")
+    return r.documents_by_score(hits.join(chunks(spark, d).select("pk", "doc_id", "doc_name"), "pk"), 5, 0.75)
 
 
-@query("merge_doc_rankings", f"SELECT query_id, doc_id, score, CAST(rank AS INTEGER) rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) rank FROM (SELECT query_id, doc_id, round(max(score), 5) score FROM (SELECT query_id, doc_id, max(score) score FROM {RANKED.sql} GROUP BY ALL UNION ALL SELECT query_id, doc_id, score * 0.85 FROM {OTHER.sql}) u GROUP BY ALL) v) w WHERE rank <= 3")
+@query("merge_doc_rankings", f"WITH {C}, {BQ}, su AS (SELECT * FROM chunks WHERE type = 'summary'), ti AS (SELECT * FROM chunks WHERE type = 'title'), {_bm25_of('s', 'bench', 'su', 10)}, {_bm25_of('t', 'bench', 'ti', 10)} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) rank FROM (SELECT query_id, split_part(pk, '::', 1) doc_id, round(max(score), 5) score FROM (SELECT query_id, pk, score FROM s_bm25 UNION ALL SELECT query_id, pk, score * 0.8 FROM t_bm25) u GROUP BY ALL) v) w WHERE rank <= 8")
 def merge_doc_rankings(spark, d):
-    first = RANKED.df(spark).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
-    return r.merged_rankings(first, OTHER.df(spark), 0.85, 3)
+    names = chunks(spark, d).select("pk", "doc_id", "doc_name")
+    ranked = [r.documents_by_score(lexical_index.search(benchmark_queries(spark, d), lexical(spark, d), 10, [kind]).drop("rank").join(names, "pk"), None) for kind in ("summary", "title")]
+    return r.merged_rankings(*ranked, 0.8, 8)
 
 
 @query("grade_anchor", f"WITH {C}, {BQ}, su AS (SELECT * FROM chunks WHERE type = 'summary'), {r.bm25_sql(20, 'bench', 'su')} SELECT query_id, pk, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CAST(NOT contains(lower(content), 'heed') AS INTEGER), rank, pk) AS INTEGER) AS place FROM bm25 JOIN su USING (pk)")
@@ -281,12 +281,15 @@ def structural_first(spark, d):
     return r.documents_by_score(hits, None, 0.75).select("query_id", "doc_id", "score")
 
 
-SIGNALS = Fixture("query_id int, n_docs int, best double, n_paths int", (1, 5, 0.9, 2), (2, 1, 0.4, 1), (3, 0, None, 0), (4, 3, 0.6, 2), (5, 2, 0.2, 2))
-
-
-@query("l1_signal", f"SELECT query_id, CASE WHEN n_docs = 0 THEN 'empty' WHEN best >= 0.7 AND n_paths = 2 THEN 'strong' WHEN best >= 0.5 OR n_docs >= 3 THEN 'moderate' ELSE 'weak' END AS signal FROM {SIGNALS.sql}")
+@query("l1_signal", f"WITH {VC}, {BQ}, {VQ}, ov AS (SELECT * FROM vchunks WHERE type IN ('summary', 'title')), {r.dense_sql(5, 'vq', 'ov', 'pk')}, {r.bm25_sql(5, 'vq', 'ov')}, g AS (SELECT query_id, count(DISTINCT doc_id) n_docs, max(score) FILTER (WHERE path = 'v') best, count(DISTINCT path) n_paths FROM (SELECT query_id, split_part(pk, '::', 1) doc_id, score, 'v' path FROM dense UNION ALL SELECT query_id, split_part(pk, '::', 1), score, 'b' FROM bm25) GROUP BY query_id) SELECT query_id, CASE WHEN n_docs = 0 THEN 'empty' WHEN best >= 0.7 AND n_paths = 2 THEN 'strong' WHEN best >= 0.5 OR n_docs >= 3 THEN 'moderate' ELSE 'weak' END AS signal FROM (SELECT query_id, coalesce(n_docs, 0) n_docs, best, coalesce(n_paths, 0) n_paths FROM bench LEFT JOIN g USING (query_id))")
 def l1_signal(spark, d):
-    return r.signal(SIGNALS.df(spark))
+    """The best score is that of the vectors; questions without a hit are empty."""
+    q, own = both_queries(spark, d), vector_chunks(spark, d).where(filters.pool("overview"))
+    paths = [("v", r.dense(q, own, 5)), ("b", lexical_index.search(q, lexical(spark, d), 5, ("summary", "title")))]
+    hits = [h.select("query_id", F.split_part("pk", F.lit("::"), F.lit(1)).alias("doc_id"), "score", F.lit(p).alias("path")) for p, h in paths]
+    found = hits[0].unionByName(hits[1]).groupBy("query_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.max(F.when(F.col("path") == "v", F.col("score"))).alias("best"), F.countDistinct("path").alias("n_paths"))
+    every = benchmark_queries(spark, d).select("query_id").join(found, "query_id", "left")
+    return r.signal(every.select("query_id", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "best", F.coalesce("n_paths", F.lit(0)).alias("n_paths")))
 
 
 _FIG3 = "regexp_matches(content, '(?i)(?:^|[^A-Za-z0-9_])fig(?:ure|\\.)?[ ]*3(?:[^0-9A-Za-z]|$)|图[ ]*3(?:[^0-9A-Za-z]|$)|(?:^|[^A-Za-z0-9_])fig\\.?[ ]*s3(?:[^0-9A-Za-z]|$)')"
