@@ -63,9 +63,9 @@ def bm25_corpus_stats(spark, d):
     return r.corpus_stats(chunks(spark, d)).select("n_docs", F.round("avgdl", 6).alias("avgdl"))
 
 
-@query("bm25_document_frequency", f"WITH {C}, t AS (SELECT pk, unnest({text.TOKENS_SQL.format('content')}) term FROM chunks) SELECT term, count(DISTINCT pk)::BIGINT AS df, count(*)::BIGINT AS cf FROM t GROUP BY term HAVING count(DISTINCT pk) >= 50")
+@query("bm25_document_frequency", f"WITH {C}, t AS (SELECT pk, unnest({text.TOKENS_SQL.format('content')}) term FROM chunks) SELECT term, count(DISTINCT pk)::BIGINT AS df, count(*)::BIGINT AS cf FROM t GROUP BY term")
 def bm25_document_frequency(spark, d):
-    return r.postings(chunks(spark, d)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where("df >= 50")
+    return r.postings(chunks(spark, d)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 @query("bm25_max_queries", f"WITH {DOCS}, sub AS (SELECT * FROM {DOC_NAMES.sql}), {r.bm25_sql(None, 'sub', 'docs')} SELECT pk, max(score) AS score FROM bm25 GROUP BY pk")
