@@ -43,25 +43,46 @@ def without_known(hits: DataFrame, known: DataFrame, k: int) -> DataFrame:
     return hits.join(known, ["query_id", "pk"], "left_anti").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-#: Entries of a registry that are broadcast at most.
-MOST_ENTRIES = 10_000
+#: Length of the pieces by which names are looked up inside each other; shorter names are only found whole.
+GRAM = 4
+
+
+def _grams(names: DataFrame) -> DataFrame:
+    """``(s, gram)``: the pieces of each name, each once."""
+    long = names.where(F.length("s") >= GRAM)
+    pieces = F.transform(F.sequence(F.lit(1), F.length("s") - GRAM + 1), lambda i: F.substring("s", i, F.lit(GRAM)))
+    return long.select("s", F.explode(F.array_distinct(pieces)).alias("gram"))
+
+
+def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """``(inner, outer)``: the names (s) of one table that are inside names (s) of the other, of GRAM characters and more.
+
+    A name can only be inside one that has all its pieces: the piece of it that is rarest among the outer names finds the
+    candidates by an equi-join, and they are checked. Names with a piece that no outer name has go at once.
+    """
+    where = _grams(outer.distinct())
+    often = where.groupBy("gram").agg(F.count("*").alias("n"))
+    keys = _grams(inner.distinct()).join(often, "gram", "left").groupBy("s").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.bool_and(F.col("n").isNotNull()).alias("every")).where("every")
+    pairs = keys.select(F.col("s").alias("inner"), "gram").join(where.select(F.col("s").alias("outer"), "gram"), "gram")
+    return pairs.where(F.contains("outer", F.col("inner"))).select("inner", "outer")
 
 
 def registry_match(names: DataFrame, registry: DataFrame) -> DataFrame:
     """The registry entry that each name means: same id or name first, then one name inside the other (four characters at least).
 
-    Within a tier the earlier entry wins. The last tier has no key to join on: a session's registry is small (its window
-    keeps 40 entries), and it is broadcast once it has been counted.
+    Within a tier the earlier entry wins. All steps are equi-joins, of names and registries of any size.
     """
-    own = names.withColumn("n", text.plain_name(F.col("name")))
-    reg = registry.withColumn("r", text.plain_name(F.col("doc_name")))
-    same = (F.col("name") == F.col("doc_id")) | (F.col("n") == F.col("r"))
-    part = (F.length("n") >= 4) & (F.length("r") >= 4) & (F.contains("n", F.col("r")) | F.contains("r", F.col("n")))
-    if reg.count() > MOST_ENTRIES:
-        raise ValueError(f"a registry has {MOST_ENTRIES} entries at most")
-    found = own.where("n != ''").join(F.broadcast(reg), same | part).withColumn("tier", F.when(same, 1).otherwise(2))
-    order = Window.partitionBy("name").orderBy("tier", "pos")
-    return found.withColumn("k", F.row_number().over(order)).where("k = 1").select("name", "doc_id", "tier")
+    own = names.select("name", text.plain_name(F.col("name")).alias("n")).where("n != ''").distinct()
+    reg = registry.select("pos", "doc_id", text.plain_name(F.col("doc_name")).alias("r"))
+    by_id = own.join(reg, F.col("name") == F.col("doc_id")).select("name", "pos", "doc_id", F.lit(1).alias("tier"))
+    by_name = own.join(reg, F.col("n") == F.col("r")).select("name", "pos", "doc_id", F.lit(1).alias("tier"))
+    asked, known = own.select(F.col("n").alias("s")), reg.select(F.col("r").alias("s"))
+    inside = contained(known, asked).select(F.col("inner").alias("r"), F.col("outer").alias("n")).unionByName(contained(asked, known).select(F.col("outer").alias("r"), F.col("inner").alias("n")))
+    first = reg.groupBy("r").agg(F.min(F.struct("pos", "doc_id")).alias("e"))  # of equal names the earlier entry
+    best = inside.join(first, "r").groupBy("n").agg(F.min("e").alias("e")).select("n", "e.pos", "e.doc_id")
+    by_part = own.join(best, "n").select("name", "pos", "doc_id", F.lit(2).alias("tier"))
+    found = by_id.unionByName(by_name).unionByName(by_part).groupBy("name").agg(F.min(F.struct("tier", "pos", "doc_id")).alias("e"))
+    return found.select("name", "e.doc_id", "e.tier")
 
 
 def located(names: DataFrame, documents: DataFrame) -> DataFrame:

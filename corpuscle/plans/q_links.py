@@ -74,10 +74,18 @@ NAMES = Fixture("name string", ("d3",), ("weathering steel a review 2015",), ("C
 _PLAIN = r"regexp_replace(lower({}), '[ \t\r\n,，;；/\\.\-_:：()（）\[\]【】]+', '', 'g')"
 
 
-@query("registry_match", f"""SELECT name, doc_id, CAST(tier AS INTEGER) tier FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY tier, pos) k FROM (SELECT name, pos, doc_id, CASE WHEN name = doc_id OR n = r THEN 1 ELSE 2 END tier FROM (SELECT name, {_PLAIN.format('name')} n FROM {NAMES.sql}) a
- JOIN (SELECT *, {_PLAIN.format('doc_name')} r FROM {REGISTRY.sql} WHERE session_id = 1) b ON name = doc_id OR n = r OR (length(n) >= 4 AND length(r) >= 4 AND (contains(n, r) OR contains(r, n))))) WHERE k = 1""")
+#: What conversations and benchmark items say, as names, and all documents under their first two words as the registry; some of both that are rare there.
+_ASKED_NAMES = f"(SELECT text AS name FROM conversations UNION SELECT text FROM benchmark UNION SELECT name FROM {NAMES.sql})"
+_ALL_ENTRIES = f"(SELECT doc_id AS pos, CAST(doc_id AS VARCHAR) AS doc_id, regexp_extract(text, '[a-z]+ [a-z]+', 0) AS doc_name FROM documents UNION ALL SELECT pos - 100, doc_id, doc_name FROM {REGISTRY.sql} WHERE session_id = 1)"
+
+
+@query("registry_match", f"""WITH a AS (SELECT name, {_PLAIN.format('name')} n FROM {_ASKED_NAMES}), b AS (SELECT *, {_PLAIN.format('doc_name')} r FROM {_ALL_ENTRIES}), p AS (SELECT DISTINCT n, r FROM (SELECT DISTINCT n FROM a WHERE length(n) >= 4) JOIN (SELECT DISTINCT r FROM b WHERE length(r) >= 4) ON contains(n, r) OR contains(r, n))
+ SELECT name, doc_id, CAST(tier AS INTEGER) tier FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY tier, pos) k FROM (SELECT name, pos, doc_id, 1 AS tier FROM a JOIN b ON (name = doc_id OR n = r) AND n <> '' UNION ALL SELECT name, pos, doc_id, 2 FROM a JOIN p USING (n) JOIN b USING (r))) WHERE k = 1""")
 def registry_match(spark, d):
-    return links.registry_match(NAMES.df(spark), REGISTRY.df(spark).where("session_id = 1"))
+    asked = table(spark, d, "conversations").select(F.col("text").alias("name")).union(table(spark, d, "benchmark").select("text")).union(NAMES.df(spark))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("doc_id"), F.regexp_extract("text", "[a-z]+ [a-z]+", 0).alias("doc_name"))
+    few = REGISTRY.df(spark).where("session_id = 1").select((F.col("pos") - 100).cast("long").alias("pos"), "doc_id", "doc_name")
+    return links.registry_match(asked, docs.unionByName(few))
 
 
 DOCS = Fixture("doc_id string, doc_name string", ("d1", "Weathering steel review"), ("d2", "Steel in sea air"), ("d3", "Sea air"), ("d4", "Rust"))
