@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.functions import questions as qs, text
 from corpuscle.functions.words import FIGURE_LABEL, TABLE_LABEL
+from corpuscle.sources.shared import stored
 
 from . import retrieval as r
 
@@ -198,18 +199,35 @@ def reflect_summary(hits: DataFrame, most: int = 6, chars: int = 200, route_char
     return blocks.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("route", "block"))), lambda x: x["block"]), "\n\n").alias("summary"), F.sum("n").alias("n"))
 
 
-def dispatched(plans: DataFrame, handlers: Mapping[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """``(query_id, sub, route, pk, score, rank)``: the hits of every route that a plan (query_id, sub, route, q, ...) names.
+def _routed(plans: DataFrame, route: str, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The hits of one route for all of its sub-questions; each has hits of its own."""
+    asked = plans.where(F.col("route") == route).withColumn("query_id", F.concat_ws("/", F.col("query_id").cast("string"), "sub"))
+    hits = search(asked.drop("sub", "route"))
+    return hits.select(F.substring_index("query_id", "/", 1).cast(plans.schema["query_id"].dataType).alias("query_id"), F.substring_index("query_id", "/", -1).alias("sub"), F.lit(route).alias("route"), "pk", "score", "rank")
 
-    Each route answers all of its questions in one job, and the routes are one union; a sub-question has hits of its own.
+
+def dispatched(plans: DataFrame, handlers: Mapping[str, Callable[[DataFrame], DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """Hits ``(query_id, sub, route, pk, score, rank)`` of every route that a plan (query_id, sub, route, q, ...) names, and how each route ended.
+
+    Each route answers all of its questions in a job of its own, whose hits are stored; one that fails, when it is made or
+    when it runs, costs its own hits only. Outcomes: (route, asked, hits, error), error null where the route ended well.
     """
-    out = None
+    spark, done, outcomes = plans.sparkSession, [], []
+    asked = {r["route"]: r["n"] for r in plans.where(F.col("route").isin(*handlers)).groupBy("route").agg(F.count("*").alias("n")).collect()}
     for route, search in handlers.items():
-        asked = plans.where(F.col("route") == route).withColumn("query_id", F.concat_ws("/", F.col("query_id").cast("string"), "sub"))
-        hits = search(asked.drop("sub", "route"))
-        part = hits.select(F.substring_index("query_id", "/", 1).cast(plans.schema["query_id"].dataType).alias("query_id"), F.substring_index("query_id", "/", -1).alias("sub"), F.lit(route).alias("route"), "pk", "score", "rank")
-        out = part if out is None else out.unionByName(part)
-    return out
+        try:
+            part = stored(_routed(plans, route, search), f"route-{len(outcomes)}")
+            outcomes.append((route, asked.get(route, 0), part.count(), None))
+            done.append(part)
+        except Exception as error:  # whatever a route does, the others go on
+            outcomes.append((route, asked.get(route, 0), 0, f"{type(error).__name__}: {str(error).splitlines()[0] if str(error) else ''}"[:500]))
+    kind = plans.schema["query_id"].dataType.simpleString()
+    hits = spark.createDataFrame([], f"query_id {kind}, sub string, route string, pk string, score double, rank int")
+    if done:
+        hits = done[0]
+        for part in done[1:]:
+            hits = hits.unionByName(part)
+    return hits, spark.createDataFrame(outcomes, "route string, asked long, hits long, error string")
 
 
 def new_evidence(rounds: DataFrame, least: float | None = None) -> DataFrame:

@@ -400,7 +400,7 @@ def _plans(spark, d) -> DataFrame:
 _ROUTES_SQL = f"WITH {VC}, {BQ}, {VQ}, su AS (SELECT * FROM vchunks WHERE type = 'summary'), im AS (SELECT * FROM vchunks WHERE type = 'image'), {_tagged('a', r.dense_sql(4, 'vq', 'vchunks', 'pk'))}, {_bm25_of('b', 'vq', 'su', 3)}, {_bm25_of('c', 'vq', 'im', 2)} SELECT query_id, 'sub1' AS sub, 'progressive' AS route, pk, score, rank FROM a_dense UNION ALL SELECT query_id, 'sub2', 'summary', pk, score, rank FROM b_bm25 UNION ALL SELECT query_id, 'sub2', 'metadata', pk, score, rank FROM c_bm25"
 
 
-def _dispatch(spark, d) -> DataFrame:
+def _dispatch(spark, d) -> tuple[DataFrame, DataFrame]:
     own = vector_chunks(spark, d)
     handlers = {"progressive": lambda q: r.dense(q, own, 4), "summary": lambda q: r.bm25(q, own.where("type = 'summary'"), 3), "metadata": lambda q: r.bm25(q, own.where("type = 'image'"), 2)}
     return routing.dispatched(_plans(spark, d), handlers)
@@ -408,9 +408,14 @@ def _dispatch(spark, d) -> DataFrame:
 
 @query("multi_route", _ROUTES_SQL)
 def multi_route(spark, d):
-    return _dispatch(spark, d)
+    return _dispatch(spark, d)[0]
 
 
 @query("compound", f"SELECT query_id, sub || ':' || route AS key, count(*)::BIGINT AS hits, max(score) AS best FROM ({_ROUTES_SQL}) GROUP BY ALL")
 def compound(spark, d):
-    return _dispatch(spark, d).groupBy("query_id", F.concat_ws(":", "sub", "route").alias("key")).agg(F.count("*").alias("hits"), F.max("score").alias("best"))
+    return _dispatch(spark, d)[0].groupBy("query_id", F.concat_ws(":", "sub", "route").alias("key")).agg(F.count("*").alias("hits"), F.max("score").alias("best"))
+
+
+@query("route_outcomes", f"SELECT route, asked, hits, CAST(NULL AS VARCHAR) AS error FROM (SELECT route, count(*)::BIGINT AS hits FROM ({_ROUTES_SQL}) GROUP BY route) CROSS JOIN (SELECT count(*)::BIGINT AS asked FROM benchmark)")
+def route_outcomes(spark, d):
+    return _dispatch(spark, d)[1]
