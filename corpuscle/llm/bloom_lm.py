@@ -370,22 +370,20 @@ def _scored_by_shuffle(rows: DataFrame, model: Model, schema: T.StructType) -> D
         rows = asking.to_pylist()
         keys, names = [np.frombuffer(r["keys"], "<u8") for r in rows], [np.frombuffer(r["names"], WORD) for r in rows]
         held = [levels_of.level(k) for k in keys]
-        known = [_table(x["key"], x["check"], counts.of(x["key"], x["check"])) for x in names]
-        out = [(r["block"], r["keys"], h.astype("<u1").tobytes(), x.tobytes()) for r, h, x in zip(rows, held, known, strict=True)]
-        kinds = {"block": pa.int64(), "keys": pa.binary(), "held": pa.binary(), "words": pa.binary()}
+        known = [counts.of(x["key"], x["check"]) for x in names]
+        out = [(r["block"], r["cell"], h.astype("<u1").tobytes(), c.astype("<i8").tobytes()) for r, h, c in zip(rows, held, known, strict=True)]
+        kinds = {"block": pa.int64(), "cell": pa.int64(), "held": pa.binary(), "counts": pa.binary()}
         return pa.table({n: pa.array([o[k] for o in out], t) for k, (n, t) in enumerate(kinds.items())})
 
     def put(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
         found = grams([x.as_py() for x in docs.column("text")], order)
-        keys, held = _joined(told.column("keys"), "<u8"), _joined(told.column("held"), "<u1").astype(np.int64)
-        by = np.argsort(keys)
-        keys, held = keys[by], held[by]
-        words = _joined(told.column("words"), WORD)
-        words = _table(words["key"], words["check"], words["n"])
-        counts = Counts(words["key"], words["check"], words["n"])
+        told = told.sort_by("cell")  # answers come without their questions, in the order of these
+        keys, held = np.unique(np.concatenate(found.keys)), _joined(told.column("held"), "<u1").astype(np.int64)
+        words = _table(found.keys[0], found.checks, np.zeros(len(found.checks)))
+        counts = Counts(words["key"], words["check"], _joined(told.column("counts"), "<i8"))
         scores = log_scores(found, counts.of(found.keys[0], found.checks), _held(found, lambda k: held[np.searchsorted(keys, k)]), n_tokens, n_words)
         return pa.table({"id": docs.column("id"), "mark": docs.column("mark"), **{n: pa.array(scores[n]) for n in NAMES}})
 
     asking = blocks.groupBy("block").applyInArrow(asked, "block long, cell long, keys binary, names binary")
-    told = asking.groupBy("cell").cogroup(model.cells.groupBy("cell")).applyInArrow(answered, "block long, keys binary, held binary, words binary")
+    told = asking.groupBy("cell").cogroup(model.cells.groupBy("cell")).applyInArrow(answered, "block long, cell long, held binary, counts binary")
     return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(put, schema)
