@@ -30,11 +30,11 @@ ORDER, PRIOR, ADDED = 2, 4.0, 0.1
 #: Bits of the filter for each pair that it holds, and of these the bits that a pair sets, all in one 64-bit word.
 BITS, SET = 11, 5
 #: Text for each cell of the filter.
-CELL_BYTES = 1 << 24
+CELL_BYTES = 1 << 23
 #: Filter and word counts that are broadcast at most.
 BROADCAST_BYTES = 1 << 28
 #: Text whose n-grams are taken together, and rows in a block of documents when the filter stays a table.
-BLOCK_BYTES, BLOCK_ROWS = 1 << 22, 1 << 8
+BLOCK_BYTES, BLOCK_ROWS = 1 << 21, 1 << 8
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 #: The symbol before the first word and the one after the last; no word is like them.
@@ -340,7 +340,7 @@ def _scored_here(rows: DataFrame, model: Model, schema: T.StructType) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, counts = sent.value
         for batch in batches:
-            for first, end, texts in _blocks(batch, 2, BLOCK_BYTES // 4):
+            for first, end, texts in _blocks(batch, 2, BLOCK_BYTES // 2):
                 found = grams(texts, order)
                 scores = log_scores(found, counts.of(found.keys[0], found.checks), _held(found, own.level), n_tokens, n_words)
                 part = batch.slice(first, end - first)
