@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpuscle.functions import layout as y, questions
+from corpuscle.functions.paragraphs import joined
 
 from . import filters
 
@@ -26,6 +31,8 @@ PAGES = T.ArrayType(T.ArrayType(T.StructType([T.StructField("type", T.StringType
 SUMMARY_TITLE = r"(?i)\babstract\b|\bexecutive\s+summary\b|\bsynopsis\b|\bsummary\b|\boverview\b|\btl;?\s*dr\b|摘\s*要|概\s*要|提\s*要|梗\s*概"
 #: Where a long text may be cut, in the order in which the places are tried: paragraphs, sentences, semicolons, commas.
 CUTS = (r"\n{2,}", r"(?<=[。！？!?])\s*", r"(?<=[；;])\s*", r"(?<=[，,])\s*")
+#: Paragraphs that are handed on together.
+JOINED_ROWS = 1_000
 #: References in one chunk.
 BATCH = 5
 
@@ -74,35 +81,28 @@ def leaves(pages: DataFrame, least_confidence: float = 0.0) -> DataFrame:
     return out.withColumn("k", F.row_number().over(first)).where("k = 1").drop("k")
 
 
-def _last(array: Column) -> Column:
-    return F.element_at(array, -1)
-
-
 def paragraphs(rows: DataFrame) -> DataFrame:
     """``(doc_id, section_pos, section, pos, page, text)``: paragraphs of items (with section) put together.
 
-    Paragraphs in a row that belong together are one, and so are short ones with the one before. What two paragraphs tell
-    each other decides, so windows find the runs; within a run of paragraphs a fold joins the short ones.
+    A paragraph takes the next one by all that it has become, and short ones go with the one before. A window marks where
+    nothing may be joined and leaves the rows of a document in one partition, in order; one pass over it joins them and
+    holds no more than two paragraphs.
     """
     line = Window.partitionBy("doc_id").orderBy("pos")
     near = (F.lag("type").over(line) == "paragraph") & (F.lag("section_pos").over(line) == F.col("section_pos"))
-    kept = rows.where(F.col("type").isin("paragraph", "equation", "list", "reference_list", "title") & ~((F.col("type") == "paragraph") & ((F.col("text") == "") | filters.metadata_line("text"))))
-    marked = kept.withColumn("apart", (~F.coalesce(near, F.lit(False))).cast("int")).withColumn("cut", F.when(F.col("apart") == 1, 1).otherwise((~y.belong_together(F.lag("text").over(line), F.col("text"))).cast("int")))
-    runs = marked.withColumn("run", F.sum("apart").over(line)).withColumn("unit", F.sum("cut").over(line)).where("type = 'paragraph'")
-    pieces = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])
-    units = runs.groupBy("doc_id", "section_pos", "section", "run", "unit").agg(F.min("pos").alias("pos"), F.min("page").alias("page"), F.aggregate(pieces, F.lit(""), lambda a, x: y.fused(a, x)).alias("text"))
-    unit = F.struct("pos", "page", "text")
-    listed = units.groupBy("doc_id", "section_pos", "section", "run").agg(F.array_sort(F.collect_list(unit)).alias("units"))
-
-    def step(done: Column, x: Column) -> Column:
-        was = _last(done)["text"]
-        short = (F.length(x["text"]) < y.SHORT_CHARS) & ~F.trim(x["text"]).rlike(y.NEW_BLOCK) & (~y.ends_sentence(was) | (F.length(was) < y.SHORT_CHARS))
-        more = F.struct(_last(done)["pos"].alias("pos"), _last(done)["page"].alias("page"), y.fused(was, x["text"]).alias("text"))
-        return F.when((F.size(done) > 0) & F.coalesce(F.when(F.size(done) > 0, short), F.lit(False)), F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(more))).otherwise(F.concat(done, F.array(x)))
-
-    kind = "array<struct<pos:int,page:int,text:string>>"
-    folded = F.aggregate(F.slice(F.col("units"), 2, 1_000_000_000), F.slice(F.col("units"), 1, 1).cast(kind), step)
-    return listed.select("doc_id", "section_pos", "section", F.inline(folded))
+    kept = rows.where(F.col("type").isin("paragraph", "equation", "list", "reference_list", "title") & ~((F.col("type") == "paragraph") & ((y.stripped(F.col("text")) == "") | filters.metadata_line("text"))))
+    marked = kept.select("doc_id", "section_pos", "section", "pos", "page", "type", "text", (~F.coalesce(near, F.lit(False))).alias("apart")).where("type = 'paragraph'").drop("type")
+    shape = marked.select("doc_id", "section_pos", "section", "pos", "page", "text").schema
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("doc_id", "section_pos", "section", "pos", "page", "text", "apart")
+        lines = (row for b in batches for row in zip(*(b.column(n).to_pylist() for n in names), strict=True))
+        found = joined(((row[:3], row[3], row[4], row[5], row[6]) for row in lines))
+        while part := list(islice(found, JOINED_ROWS)):
+            values = zip(*((*key, pos, page, text) for key, pos, page, text in part), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(values, to_arrow_schema(shape), strict=True)], names=shape.names)
+
+    return marked.sortWithinPartitions("doc_id", "pos").mapInArrow(join, shape)
 
 
 def with_sections(rows: DataFrame) -> DataFrame:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import json
 import re
+import time
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corpuscle.functions import layout as y, questions
+from corpuscle.functions import layout as y, paragraphs, questions
 from corpuscle.operators import segment
 from corpuscle.plans import q_segment
 from corpuscle.plans.queries import QUERIES
@@ -99,6 +102,35 @@ def test_short_paragraphs_join_as_they_add_up(spark):
     assert [r["text"] for r in segment.paragraphs(items).orderBy("pos").collect()] == grouped(texts)
 
 
+def together_text(texts):
+    return [t for _, _, _, t in paragraphs.joined((((), i, 0, t, i == 0) for i, t in enumerate(texts)))]
+
+
+def test_paragraphs_are_joined_by_all_that_was_joined_before():
+    long = "and so on, for as long as a line of this kind goes"
+    assert together_text(["Key", "words: a; b", long]) == grouped(["Key", "words: a; b", long]) == ["Key words: a; b", long]
+    assert together_text(["it ends.", ")", "[1]", '"', "The next one, long enough to stand on its own."]) == grouped(["it ends.", ")", "[1]", '"', "The next one, long enough to stand on its own."])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["Aa", "bb", "the rest of a sentence that is long enough", ".", ":", "[1]", "[2, 3]", "]", "[", ")", " ", "\n", "Key", "words", "1. X", "2.1 Y", "and", "耐候", "。", "关键词", "Ends here."]), min_size=1, max_size=6).map("".join).filter(str.strip), max_size=14), st.sampled_from([4, 4096]))
+def test_joining_is_as_going_text_by_text(texts, window):
+    was, paragraphs.TAIL_CHARS = paragraphs.TAIL_CHARS, window
+    try:
+        assert together_text(texts) == grouped(texts)
+    finally:
+        paragraphs.TAIL_CHARS = was
+
+
+def test_joining_is_linear():
+    took = []
+    for n in (20_000, 80_000):
+        start = time.process_time()
+        assert len(together_text(["goes on and on [1])"] * n)) == 1
+        took.append(time.process_time() - start)
+    assert took[1] < 10 * took[0] + 1
+
+
 def test_chunks_of_layout_files(spark, tiny):
     rows = {(r["doc_id"], r["type"], r["paragraph_index"], r["content"]): r for r in QUERIES["layout_chunks"](spark, tiny).collect()}
     assert len(rows) == 14 and len({r["pk"] for r in rows.values()}) == 14
