@@ -13,6 +13,8 @@ from corpuscle.streaming import streams
 from .registry import Fixture, query, table
 
 CALLS, PERIOD, TTL = 2, 3600, 1800
+#: Seconds that events may come late.
+LATE = 3600
 
 
 def calls(spark, d):
@@ -80,10 +82,10 @@ def streamed(spark, d, name: str):
     return spark.readStream.schema(table(spark, d, name).schema).parquet(f"{d}/{name[:-1]}?.parquet")
 
 
-def finished(spark, stream, name: str, keys: list[str]):
+def finished(spark, stream, name: str, keys: list[str], mode: str = "update"):
     """Run a stream to the end of its input and read what it has kept up."""
     folder = new_folder(spark, name)
-    streams.keep_up(stream, f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    streams.keep_up(stream, f"{folder}/table", f"{folder}/checkpoint", mode).awaitTermination()
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema)
     return streams.current(spark, f"{folder}/table", columns, keys)
 
@@ -103,3 +105,27 @@ def stream_rate_limit(spark, d):
 @query("stream_upsert_chunks", f"WITH {C} SELECT pk, doc_id, type, content FROM chunks")
 def stream_upsert_chunks(spark, d):
     return finished(spark, store.from_documents(streamed(spark, d, "documents")).select("pk", "doc_id", "type", "content"), "chunks", ["pk"])
+
+
+@query("stream_log_tail", f"SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t DESC, event_id DESC) k FROM {_AT}) WHERE k <= 5")
+def stream_log_tail(spark, d):
+    events = streamed(spark, d, "events").select("user_id", "event_id", "event_type", activity.micros().alias("t"))
+    with streams.with_state(spark):
+        kept = finished(spark, streams.tail(events, "user_id", 5), "tail", ["user_id", "slot"])
+    return kept.where("t IS NOT NULL").select("user_id", "event_id", "event_type")
+
+
+@query("stream_idle_tail", f"WITH s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t) session FROM (SELECT *, coalesce(t - lag(t) OVER (PARTITION BY user_id ORDER BY t) > {TTL}000000, false)::INTEGER new FROM {_AT})), l AS (SELECT *, max(session) OVER (PARTITION BY user_id) AS newest, max(t) OVER () AS hi FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t DESC, event_id DESC) k, max(t) OVER (PARTITION BY user_id) last FROM l WHERE session = newest) SELECT user_id, event_id, event_type FROM k WHERE k <= 5 AND last + {TTL}000000 >= hi - {LATE}000000")
+def stream_idle_tail(spark, d):
+    events = streamed(spark, d, "events").select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), activity.micros().alias("t"))
+    with streams.with_state(spark):
+        kept = finished(spark, streams.tail(events.withWatermark("ts", f"{LATE} seconds"), "user_id", 5, TTL), "idle", ["user_id", "slot"])
+    return kept.where("t IS NOT NULL").select("user_id", "event_id", "event_type")
+
+
+@query("stream_sessions", f"WITH s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t) session FROM (SELECT *, coalesce(t - lag(t) OVER (PARTITION BY user_id ORDER BY t) > {TTL}000000, false)::INTEGER new FROM {_AT})) SELECT user_id, min(t) AS first, count(*) AS n FROM s GROUP BY user_id, session HAVING max(t) + {TTL}000000 < (SELECT max(t) FROM {_AT}) - {LATE}000000")
+def stream_sessions(spark, d):
+    """Sessions that have ended: a later event of the key can no longer come."""
+    events = streamed(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    ended = streams.session_counts(events, "user_id", f"{TTL} seconds 1 microsecond", f"{LATE} seconds").select("user_id", F.unix_micros("session_window.start").alias("first"), "n")
+    return finished(spark, ended, "sessions", ["user_id", "first"], "append")

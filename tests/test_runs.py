@@ -145,3 +145,57 @@ def test_sessions_of_a_stream(spark, tiny, event_stream, tmp_path):
 def test_first_rows_of_a_stream(spark, tiny, event_stream, tmp_path):
     got = run(streams.first_seen(event_stream(), "user_id", "3650 days"), "own_first", spark, "append", tmp_path)
     assert got.count() == spark.read.parquet(f"{tiny}/events.parquet").select("user_id").distinct().count()
+
+
+def expected_tails(rows, most, idle=None):
+    out = {}
+    for k in {r[0] for r in rows}:
+        own = sorted((r[1:] for r in rows if r[0] == k and r[1] is not None), key=lambda r: (r[0], r[1], r[2] or ""))
+        for i in range(len(own) - 1, 0, -1):
+            if idle is not None and own[i][0] - own[i - 1][0] > idle * 1_000_000:
+                own = own[i:]
+                break
+        if own:
+            out[k] = own[-most:]
+    return out
+
+
+@pytest.mark.parametrize("idle", [None, 100])
+def test_tails_over_many_batches(spark, tmp_path, idle):
+    s = 1_000_000
+    batches = [
+        [("a", 10 * s, 1, "x"), ("a", 20 * s, 2, None), ("a", 20 * s, 2, "y"), ("b", 5 * s, 3, "x"), (None, 7 * s, 4, "n"), ("a", None, 5, "no time")],
+        [("a", 150 * s, 6, "x"), ("a", 5 * s, 7, "late"), ("b", 50 * s, 8, "x"), ("b", 30 * s, 9, "late")],
+        [("a", 90 * s, 10, "between"), ("b", 170 * s, 11, "after a pause")] + [("c", (100 + i) * s, 100 + i, "many") for i in range(50)],
+    ]
+    schema = "k string, t long, event_id long, event_type string"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are taken by their time
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withColumn("ts", F.timestamp_micros("t"))
+    with streams.with_state(spark):
+        query = streams.keep_up(streams.tail(stream.withWatermark("ts", "1 hour"), "k", 3, idle), str(tmp_path / "out"), str(tmp_path / "check"))
+        query.awaitTermination()
+    rows = streams.current(spark, str(tmp_path / "out"), "k string, slot int, t long, event_id long, event_type string", ["k", "slot"]).where("t IS NOT NULL").orderBy("slot").collect()
+    got: dict = {}
+    for r in rows:
+        got.setdefault(r["k"], []).append((r["t"], r["event_id"], r["event_type"]))
+    assert got == expected_tails(sum(batches, []), 3, idle)
+    held = max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"])
+    assert held <= len(got) * (3 + 8)  # lists of three, their lengths, slots shown, timers: not one for each row
+
+
+def test_idle_tails_go(spark, tmp_path):
+    s = 1_000_000
+    schema = "k string, t long, event_id long, event_type string"
+    for rows in ([("a", 10 * s, 1, "x"), ("a", 20 * s, 2, "x")], [("b", 10_000 * s, 3, "x")], [("b", 10_001 * s, 4, "x")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withColumn("ts", F.timestamp_micros("t"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    with streams.with_state(spark):
+        streams.keep_up(streams.tail(stream.withWatermark("ts", "60 seconds"), "k", 3, 100), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+    rows = streams.current(spark, str(tmp_path / "out"), "k string, slot int, t long, event_id long, event_type string", ["k", "slot"]).collect()
+    assert sorted((r["k"], r["slot"], r["event_id"]) for r in rows if r["t"] is not None) == [("b", 0, 3), ("b", 1, 4)]
+    assert sorted((r["k"], r["slot"]) for r in rows if r["t"] is None) == [("a", 0), ("a", 1)]
