@@ -283,6 +283,35 @@ def summary_sections(sections: DataFrame, asked: DataFrame, scores: DataFrame, l
     return ruled.unionByName(scored).withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).select("doc_id", "section", "tier")
 
 
+def mean_vectors(rows: DataFrame, keys: list[str], dim: int, *others: Column) -> DataFrame:
+    """``(keys, others, embedding)``: the mean of the vectors of ``dim`` components of each group, other aggregates beside it.
+
+    Component by component, so that it is summed before the shuffle. Vectors that are null, of another size or hold what is
+    not finite take no part; a group without any has a null.
+    """
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    own = rows.withColumn("embedding", F.when((F.size("embedding") == dim) & finite, F.col("embedding")))
+    parts = [F.avg(F.get(F.col("embedding"), F.lit(i)).cast("double")).alias(f"__{i}") for i in range(dim)]
+    sums = own.groupBy(*keys).agg(*others, *parts)
+    vector = F.when(F.col("__0").isNotNull(), F.array(*(f"__{i}" for i in range(dim))))
+    return sums.withColumn("embedding", vector).drop(*(f"__{i}" for i in range(dim)))
+
+
+def summary_sections_by_vectors(sections: DataFrame, prototypes: DataFrame, by: str, least: float = 0.5, most: int = 2) -> DataFrame:
+    """``(doc_id, section, tier, score)``: sections that are a summary, by their titles, else by their vectors, ``most`` a document.
+
+    sections: (doc_id, pos, section, title, embedding, by); prototypes: (by, embedding) of texts known as summaries. What
+    counts is the sum of the cosines to the prototypes under the same ``by``, such as the language; it is rounded to six
+    digits, and the greatest come first, earlier sections before later ones. A title settles its document and has no score.
+    """
+    ruled = sections.where(F.col("title").rlike(SUMMARY_TITLE)).select("doc_id", "pos", "section", F.lit(1).alias("tier"), F.lit(None).cast("double").alias("score"))
+    known = prototypes.where("embedding IS NOT NULL").select(F.col(by).alias("__by"), F.col("embedding").alias("__to"))
+    near = sections.where("embedding IS NOT NULL").join(ruled.select("doc_id").distinct(), "doc_id", "left_anti").join(known, F.col(by).eqNullSafe(F.col("__by")))
+    scored = near.groupBy("doc_id", "pos", "section").agg(F.round(F.sum(questions.cosine(F.col("embedding"), F.col("__to"))), 6).alias("score")).where(F.col("score") >= least)
+    order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "pos", "section")
+    return ruled.unionByName(scored.select("doc_id", "pos", "section", F.lit(3).alias("tier"), "score")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).select("doc_id", "section", "tier", "score")
+
+
 def with_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     """Chunks with their vectors by key; an error where a chunk has none or more than one."""
     n = vectors.groupBy("pk").agg(F.count("*").alias("n"), F.first("embedding").alias("embedding"))

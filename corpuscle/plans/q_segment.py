@@ -11,6 +11,7 @@ from corpuscle.functions import layout as y, questions
 from corpuscle.operators import retrieval as r, segment
 from corpuscle.sources.chunks import CHUNKS_SQL as C
 
+from .q_retrieval import VC, vector_chunks
 from .q_store import chunks
 from .registry import Fixture, query, table
 
@@ -114,6 +115,25 @@ def summary_tiers(spark, d):
     return segment.summary_sections(own, ASKED.df(spark), scores)
 
 
+#: The least cosine to the mean of summaries of the language at which a section counts as one.
+LIKE_SUMMARY = 0.2
+_MEANS = "SELECT {keys}, list(x ORDER BY i) AS e FROM (SELECT {keys}, i, avg(x) AS x FROM (SELECT *, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(1, len(embedding) + 1)) AS i FROM vchunks WHERE {where}) GROUP BY ALL) GROUP BY {keys}"
+
+
+@query("summary_by_vectors", f"""WITH {VC}, m AS ({_MEANS.format(keys='doc_id, section', where='true')}), p AS ({_MEANS.format(keys='lang', where="type = 'summary'")}),
+ h AS (SELECT doc_id, section, min(paragraph_index) AS pos, arg_min(content, paragraph_index) AS title, min(lang) AS lang FROM vchunks GROUP BY ALL), s AS (SELECT *, regexp_matches(title, '{segment.SUMMARY_TITLE}') AS hit FROM h JOIN m USING (doc_id, section)),
+ u AS (SELECT doc_id, pos, section, 1 AS tier, NULL::DOUBLE AS score FROM s WHERE hit UNION ALL SELECT doc_id, pos, section, 3, round(list_cosine_similarity(s.e, p.e), 6) AS score FROM s JOIN p USING (lang) WHERE doc_id NOT IN (SELECT doc_id FROM s WHERE hit) AND round(list_cosine_similarity(s.e, p.e), 6) >= {LIKE_SUMMARY})
+ SELECT doc_id, section, tier, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) k FROM u) WHERE k <= 2""")
+def summary_by_vectors(spark, d):
+    """Of every document, the sections that are a summary: by their first line, else by the mean of their vectors."""
+    own = vector_chunks(spark, d)
+    dim = own.agg(F.max(F.size("embedding"))).first()[0] or 0
+    head = (F.min("paragraph_index").alias("pos"), F.min_by("content", "paragraph_index").alias("title"), F.min("lang").alias("lang"))
+    sections = segment.mean_vectors(own, ["doc_id", "section"], dim, *head)
+    prototypes = segment.mean_vectors(own.where("type = 'summary'"), ["lang"], dim)
+    return segment.summary_sections_by_vectors(sections, prototypes, "lang", LIKE_SUMMARY)
+
+
 @query("semantic_distances", f"WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] v, lead(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) n FROM embeddings) SELECT vec_id, round(1 - list_cosine_similarity(v, n), 5) AS distance FROM e WHERE n IS NOT NULL")
 def semantic_distances(spark, d):
     from pyspark.sql import Window
@@ -125,7 +145,5 @@ def semantic_distances(spark, d):
 
 @query("vectorized", f"WITH {C} SELECT pk, len(embedding) AS dim FROM chunks JOIN embeddings ON (CAST(doc_id AS BIGINT) * 31 + paragraph_index) % (SELECT count(*) FROM embeddings) = vec_id")
 def vectorized(spark, d):
-    from .q_retrieval import vector_chunks
-
     own = chunks(spark, d)
     return segment.with_vectors(own, vector_chunks(spark, d).select("pk", "embedding")).select("pk", F.size("embedding").cast("long").alias("dim"))

@@ -209,3 +209,20 @@ def test_vectors_are_loaded_with_their_files_and_checked(spark, tmp_path):
         store.checked(rows, 2).collect()
     with pytest.raises(ValueError, match="rebuild needed"):
         store.checked(rows.drop("section"))
+
+
+def test_summaries_by_vectors(spark):
+    nan = float("nan")
+    rows = [
+        ("a", 1, "s", "Abstract", [0.0, 1.0], "en"), ("a", 2, "t", "Body", [1.0, 0.0], "en"),  # the title settles it
+        ("b", 1, "s", "Body", [1.0, 0.1], "en"), ("b", 2, "t", "Body", [1.0, 0.0], "en"), ("b", 3, "u", "Body", [1.0, 0.0], "en"), ("b", 4, "v", "Body", [0.0, 1.0], "en"),
+        ("c", 1, "s", "Body", None, "en"), ("d", 1, "s", "Body", [1.0, 0.0], "zh"), ("e", 1, "s", None, [0.0, 0.0], "en"), ("f", 1, "s", "Body", [2.0, 0.0], None),
+    ]
+    sections = spark.createDataFrame(rows, "doc_id string, pos int, section string, title string, embedding array<double>, lang string")
+    prototypes = spark.createDataFrame([("en", [2.0, 0.0]), (None, [1.0, 0.0]), ("zh", None)], "lang string, embedding array<double>")
+    got = sorted((r["doc_id"], r["section"], r["tier"], r["score"]) for r in segment.summary_sections_by_vectors(sections, prototypes, "lang").collect())
+    assert got == [("a", "s", 1, None), ("b", "t", 3, 1.0), ("b", "u", 3, 1.0), ("f", "s", 3, 1.0)]
+    assert segment.summary_sections_by_vectors(sections.where("false"), prototypes, "lang").count() == 0
+
+    vectors = spark.createDataFrame([("x", [1.0, 2.0]), ("x", [3.0, 6.0]), ("x", None), ("x", [1.0]), ("x", [nan, 1.0]), ("y", None)], "k string, embedding array<double>")
+    assert {r["k"]: r["embedding"] for r in segment.mean_vectors(vectors, ["k"], 2).collect()} == {"x": [2.0, 4.0], "y": None}
