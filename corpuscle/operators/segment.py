@@ -16,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpuscle.functions import layout as y, questions
 from corpuscle.functions.paragraphs import joined
+from corpuscle.sources.shared import stored
 
 from . import filters
 
@@ -63,7 +64,8 @@ def leaves(pages: DataFrame, least_confidence: float = 0.0) -> DataFrame:
     """``(doc_id, page, block, ord, type, text, group)`` of nested blocks (doc_id, tree: JSON pages), each block once.
 
     group is the block number of the nearest container. Hidden and unsure blocks go, as the flat layout has it. Levels are
-    unfolded one after the other until none has children; only their number comes to the driver.
+    unfolded one after the other until none has children, and each is stored, so that no level is read from the first again;
+    only their number comes to the driver.
     """
     node = "struct<type:string,page:int,block:int,order:int,text:string,conf:double,hidden:boolean,items:string>"
     level = pages.select("doc_id", F.explode(F.from_json("tree", "array<array<string>>")).alias("p")).select("doc_id", F.explode("p").alias("json"), F.lit(None).cast("int").alias("group"))
@@ -74,7 +76,8 @@ def leaves(pages: DataFrame, least_confidence: float = 0.0) -> DataFrame:
         sure = ~F.coalesce(F.col("n.hidden"), F.lit(False)) & (F.coalesce(F.col("n.conf"), F.lit(1.0)) >= least_confidence) & (F.coalesce(F.col("n.type"), F.lit("")) != "noise")
         part = own.where(~holder & sure).select("doc_id", "n.page", "n.block", F.col("n.order").alias("ord"), "n.type", "n.text", "group")
         out = part if out is None else out.unionByName(part)
-        level = own.where(F.col("n.items").isNotNull() & (holder | sure)).select("doc_id", F.explode(F.from_json("n.items", "array<string>")).alias("json"), F.when(holder, F.col("n.block")).otherwise(F.col("group")).alias("group"))
+        inner = own.where(F.col("n.items").isNotNull() & (holder | sure)).select("doc_id", F.explode(F.from_json("n.items", "array<string>")).alias("json"), F.when(holder, F.col("n.block")).otherwise(F.col("group")).alias("group"))
+        level = stored(inner, "blocks")
         if level.isEmpty():
             break
     first = Window.partitionBy("doc_id", "page", "block").orderBy(F.col("group").isNull(), "ord")

@@ -10,7 +10,7 @@ from corpuscle.sources.chunks import CHUNKS_SQL as C
 from corpuscle.sources.shared import new_folder
 from corpuscle.streaming import streams
 
-from .registry import Fixture, query, table
+from .registry import query, table
 
 CALLS, PERIOD, TTL = 2, 3600, 1800
 #: Seconds that events may come late.
@@ -69,12 +69,11 @@ def breakpoint_pct(spark, d):
     return activity.percentiles(calls(spark, d), "event_type", "value", 0.85)
 
 
-FILES = Fixture("task_id int, pos int, file string, error string", (1, 1, "a.pdf", None), (1, 2, "b.pdf", "no text"), (1, 3, "c.pdf", "timeout"), (2, 1, "d.pdf", None))
-
-
-@query("ingest_summary", f"SELECT task_id, count(*) FILTER (WHERE error IS NULL) AS ok, count(*) FILTER (WHERE error IS NOT NULL) AS failed, arg_min(error, pos) FILTER (WHERE error IS NOT NULL) AS first_failure FROM {FILES.sql} GROUP BY task_id")
+@query("ingest_summary", "SELECT user_id AS task_id, count(*) FILTER (WHERE NOT coalesce(value < 20, false)) AS ok, count(*) FILTER (WHERE value < 20) AS failed, arg_min(event_type || ' failed', event_id) FILTER (WHERE value < 20) AS first_failure FROM events GROUP BY user_id")
 def ingest_summary(spark, d):
-    return activity.outcomes(FILES.df(spark), "task_id")
+    """Events as files of a user's task: one with a small value has failed."""
+    error = F.when(F.col("value") < 20, F.concat("event_type", F.lit(" failed")))
+    return activity.outcomes(calls(spark, d).select(F.col("user_id").alias("task_id"), F.col("event_id").alias("pos"), error.alias("error")), "task_id")
 
 
 def streamed(spark, d, name: str):

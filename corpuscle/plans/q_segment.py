@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.functions import layout as y, questions
@@ -24,7 +24,7 @@ def _text(kind: str, text: str) -> dict:
 PAPERS = {
     "p1": [
         [
-            _text("title", "R U S T on steel"), _text("paragraph", "Abstract: we look at rust. Keywords: steel"), _text("title", "1 Introduction"), _text("paragraph", "文章编号：1672-9242"), _text("paragraph", "The layer grows with"), _text("paragraph", "time and with rain, as Fig. 1 shows."),
+            _text("title", "R U S T on steel"), _text("paragraph", "Abstract: we look at rust. Keywords: steel"), _text("title", "1 Introduction"), _text("paragraph", "文章编号：2000-0007"), _text("paragraph", "The layer grows with"), _text("paragraph", "time and with rain, as Fig. 1 shows."),
             _text("paragraph", "It is thin."), {"type": "equation_interline", "content": {"math_content": "m = k t^n"}}, _text("paragraph", "where k is a rate! More follows."),
             {"type": "image", "content": {"image_caption": [{"type": "text", "content": "Fig. 1 The"}, {"type": "equation_inline", "content": "x"}, {"type": "text", "content": "layer"}], "image_footnote": [{"type": "text", "content": "after Lee"}], "image_source": {"path": "images/a.jpg"}}},
         ],
@@ -39,14 +39,40 @@ PAPERS = {
 LAYOUTS = Fixture("doc_id string, layout string", *[(k, json.dumps(v, ensure_ascii=False)) for k, v in PAPERS.items()])
 
 
-@query("layout_items", f"""SELECT doc_id, p - 1 AS page, (p - 1) * 100000 + b - 1 AS pos, CASE j->>'type' WHEN 'equation_interline' THEN 'equation' WHEN 'list' THEN coalesce(j->'content'->>'list_type', 'list') ELSE j->>'type' END AS type FROM (SELECT doc_id, p, unnest(range(1, len(CAST(pg AS JSON[])) + 1)) b, unnest(CAST(pg AS JSON[])) j FROM (SELECT doc_id, unnest(range(1, len(CAST(layout AS JSON[])) + 1)) p, unnest(CAST(layout AS JSON[])) pg FROM {LAYOUTS.sql}))""")
+#: Lines on a page, blocks in a group, and the least confidence, where documents are read as layout.
+PAGE_LINES, GROUP_BLOCKS, LEAST = 40, 5, 0.5
+
+
+def _pages(blocks: Column) -> Column:
+    """An array cut to pages."""
+    last = F.floor((F.size(blocks) - 1) / PAGE_LINES).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda p: F.slice(blocks, p * PAGE_LINES + 1, PAGE_LINES))
+
+
+def document_layouts(spark, d) -> DataFrame:
+    """Documents as layout files: the first line a title, the others paragraphs, pages of equal length."""
+
+    def block(line: Column, i: Column) -> Column:
+        runs = F.array(F.struct(F.lit("text").alias("type"), line.alias("content")))
+        content = F.struct(F.when(i == 0, runs).alias("title_content"), F.when(i > 0, runs).alias("paragraph_content"))
+        return F.struct(F.when(i == 0, "title").otherwise("paragraph").alias("type"), content.alias("content"))
+
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.to_json(_pages(F.transform(lines, block))).alias("layout"))
+
+
+#: Lines of documents with their place.
+LINES_SQL = "SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS text, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents"
+
+
+@query("layout_items", f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, i // {PAGE_LINES} AS page, (i // {PAGE_LINES}) * 100000 + i % {PAGE_LINES} AS pos, CASE WHEN i = 0 THEN 'title' ELSE 'paragraph' END AS type FROM ({LINES_SQL})")
 def layout_items(spark, d):
-    return segment.items(LAYOUTS.df(spark)).select("doc_id", F.col("page").cast("long").alias("page"), F.col("pos").cast("long").alias("pos"), "type")
+    return segment.items(document_layouts(spark, d)).select("doc_id", F.col("page").cast("long").alias("page"), F.col("pos").cast("long").alias("pos"), "type")
 
 
 @query("layout_chunks")
 def layout_chunks(spark, d):
-    return segment.chunks(segment.items(LAYOUTS.df(spark)))
+    return segment.chunks(segment.items(document_layouts(spark, d)))
 
 
 def document_items(spark, d) -> DataFrame:
@@ -73,12 +99,25 @@ TREES = Fixture(
 )
 
 
-@query("tree_leaves", f"""WITH RECURSIVE n AS (SELECT doc_id, NULL::INTEGER AS grp, unnest(CAST(pg AS JSON[])) AS j FROM (SELECT doc_id, unnest(CAST(tree AS JSON[])) pg FROM {TREES.sql})
- UNION ALL SELECT doc_id, CASE WHEN (j->>'type') IN ('group', 'figuregroup', 'tablegroup') THEN CAST((j->>'block') AS INTEGER) ELSE grp END, unnest(CAST((j->'items') AS JSON[])) FROM n WHERE (j->'items') IS NOT NULL),
- l AS (SELECT doc_id, CAST((j->>'page') AS INTEGER) page, CAST((j->>'block') AS INTEGER) block, CAST((j->>'order') AS INTEGER) ord, (j->>'type') AS type, (j->>'text') AS text, grp AS "group" FROM n WHERE (j->>'type') NOT IN ('group', 'figuregroup', 'tablegroup', 'noise') AND NOT coalesce(CAST((j->>'hidden') AS BOOLEAN), false) AND coalesce(CAST((j->>'conf') AS DOUBLE), 1) >= 0.5)
- SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page, block ORDER BY ord) k FROM l) WHERE k = 1""")
+def document_trees(spark, d) -> DataFrame:
+    """Documents as nested blocks: pages hold groups, groups hold lines; some lines are unsure, some hidden."""
+
+    def leaf(line: Column, i: Column) -> Column:
+        page, at = F.floor(i / PAGE_LINES).cast("int"), i % PAGE_LINES
+        return F.struct(F.lit("text").alias("type"), page.alias("page"), at.alias("block"), i.alias("order"), line.alias("text"), ((i % 7 + 3) / 10).alias("conf"), (i % 11 == 5).alias("hidden"))
+
+    def groups(blocks: Column) -> Column:
+        last = F.floor((F.size(blocks) - 1) / GROUP_BLOCKS).cast("int")
+        own = lambda g: F.slice(blocks, g * GROUP_BLOCKS + 1, GROUP_BLOCKS)
+        return F.transform(F.sequence(F.lit(0), last), lambda g: F.struct(F.lit("group").alias("type"), (g + 1_000).alias("block"), own(g).alias("items")))
+
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), leaf)
+    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.to_json(F.transform(_pages(lines), groups)).alias("tree"))
+
+
+@query("tree_leaves", f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, i // {PAGE_LINES} AS page, i % {PAGE_LINES} AS block, i AS ord, 'text' AS type, text, 1000 + i % {PAGE_LINES} // {GROUP_BLOCKS} AS \"group\" FROM ({LINES_SQL}) WHERE (i % 7 + 3) / 10 >= {LEAST} AND i % 11 <> 5")
 def tree_leaves(spark, d):
-    return segment.leaves(TREES.df(spark), 0.5)
+    return segment.leaves(document_trees(spark, d), LEAST).withColumns({c: F.col(c).cast("long") for c in ("page", "block", "ord", "group")})
 
 
 @query("recursive_pieces")

@@ -131,8 +131,8 @@ def test_joining_is_linear():
     assert took[1] < 10 * took[0] + 1
 
 
-def test_chunks_of_layout_files(spark, tiny):
-    rows = {(r["doc_id"], r["type"], r["paragraph_index"], r["content"]): r for r in QUERIES["layout_chunks"](spark, tiny).collect()}
+def test_chunks_of_layout_files(spark):
+    rows = {(r["doc_id"], r["type"], r["paragraph_index"], r["content"]): r for r in segment.chunks(segment.items(q_segment.LAYOUTS.df(spark))).collect()}
     assert len(rows) == 14 and len({r["pk"] for r in rows.values()}) == 14
     assert ("p1", "summary", 1, "we look at rust.") in rows
     assert ("p1", "text", 2, "The layer grows with time and with rain, as Fig. 1 shows.") in rows
@@ -226,3 +226,13 @@ def test_summaries_by_vectors(spark):
 
     vectors = spark.createDataFrame([("x", [1.0, 2.0]), ("x", [3.0, 6.0]), ("x", None), ("x", [1.0]), ("x", [nan, 1.0]), ("y", None)], "k string, embedding array<double>")
     assert {r["k"]: r["embedding"] for r in segment.mean_vectors(vectors, ["k"], 2).collect()} == {"x": [2.0, 4.0], "y": None}
+
+
+def test_documents_as_layout_give_the_chunks_of_documents(spark, tiny):
+    of = lambda name: sorted((r["doc_id"], r["type"], " ".join(r["content"].split())) for r in QUERIES[name](spark, tiny).collect())
+    assert of("layout_chunks") == of("document_chunks")
+
+
+def test_leaves_of_nested_blocks(spark):
+    got = sorted((r["doc_id"], r["page"], r["block"], r["ord"], r["type"], r["text"], r["group"]) for r in segment.leaves(q_segment.TREES.df(spark), 0.5).collect())
+    assert got == [("t1", 0, 2, 2, "text", "b", None), ("t1", 0, 6, 4, "figure", "f", 5), ("t1", 0, 8, 5, "imagecaption", "Fig. 1", 7), ("t1", 0, 9, 6, "image", "in", 5), ("t2", 0, 1, 1, "text", "a", None)]
