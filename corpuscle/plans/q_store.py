@@ -27,35 +27,38 @@ def distinct_doc_ids(spark, d):
     return chunks(spark, d).select("doc_id").distinct()
 
 
-FILES = Fixture("path string, size long", ("/kb/a/one_vec.json", 10), ("/kb/b/two_vectors.json", 20), ("/kb/c/three_embedded.json", 30), ("/kb/d/four.json", 40))
-SIDECARS = Fixture("path string, doc_name string, publication_year int", ("/kb/a/one_meta.json", "One", 2011), ("/kb/c/three_meta.json", "Three", None), ("/kb/x/none_meta.json", "None", 2000))
+#: Documents as vector files and their sidecars, in SQL that both engines read alike.
+_AT = "'/kb/' || coalesce(source, '') || '/' || doc_id"
+_YEARS = "CAST(CASE WHEN doc_id % 5 > 0 THEN 2000 + doc_id % 25 END AS INT) AS publication_year"
+FILES_SQL = f"SELECT {_AT} || CASE doc_id % 4 WHEN 0 THEN '_vec' WHEN 1 THEN '_vectors' WHEN 2 THEN '_embedded' ELSE '' END || '.json' AS path, length(text) AS size FROM documents"
+SIDECARS_SQL = f"SELECT {_AT} || '_meta.json' AS path, 'paper ' || doc_id AS doc_name, {_YEARS} FROM documents WHERE lang = 'en'"
+NEW_SIDECARS_SQL = f"SELECT {_AT} || '_meta.json' AS path, CASE WHEN length(text) > 800 THEN 'new ' || doc_id END AS doc_name, CAST(1990 + doc_id % 9 AS INT) AS publication_year FROM documents WHERE length(text) > 400"
+META_SQL = """SELECT '/kb/' || doc_id || CASE doc_id % 3 WHEN 0 THEN '/content_vec.json' WHEN 1 THEN '/' || coalesce(source, '') || '_vectors.json' ELSE '/p' || (1990 + doc_id % 30) || '.json' END AS path,
+ CASE doc_id % 5 WHEN 0 THEN 'given ' || doc_id WHEN 1 THEN ' ' END AS explicit_name, CASE doc_id % 2 WHEN 0 THEN 'side ' || doc_id ELSE '' END AS sidecar_name, CAST(CASE WHEN doc_id % 7 = 0 THEN 2015 ELSE 0 END AS INT) AS explicit_year, text AS content FROM documents"""
 
 
-@query("sidecar_join", rf"SELECT f.path, f.size, s.doc_name, s.publication_year FROM {FILES.sql} f LEFT JOIN {SIDECARS.sql} s ON regexp_replace(f.path, '(?:_vec|_vectors|_embedded)?\.json$', '_meta.json') = s.path")
-def sidecar_join(spark, d):
-    return store.with_sidecars(FILES.df(spark), SIDECARS.df(spark)).select("path", "size", "doc_name", "publication_year")
+def _rows(spark, d, sql: str) -> DataFrame:
+    """Rows that a SELECT makes of the documents."""
+    return spark.sql(sql.replace("FROM documents", "FROM {documents}"), documents=table(spark, d, "documents"))
 
 
-NEW_SIDECARS = Fixture("path string, doc_name string, publication_year int", ("/kb/a/one_meta.json", None, 2012), ("/kb/n/new_meta.json", "New", 2020))
+@query("sidecar_join", rf"SELECT f.path, f.size, s.doc_name, s.publication_year FROM ({FILES_SQL}) f LEFT JOIN ({SIDECARS_SQL}) s ON regexp_replace(f.path, '(?:_vec|_vectors|_embedded)?\.json$', '_meta.json') = s.path")
+def sidecar_join(spark, d):
+    return store.with_sidecars(_rows(spark, d, FILES_SQL), _rows(spark, d, SIDECARS_SQL)).select("path", F.col("size").cast("long").alias("size"), "doc_name", "publication_year")
 
 
-@query("sidecar_merge", f"SELECT coalesce(o.path, n.path) path, coalesce(n.doc_name, o.doc_name) doc_name, coalesce(n.publication_year, o.publication_year) publication_year FROM {SIDECARS.sql} o FULL JOIN {NEW_SIDECARS.sql} n ON o.path = n.path")
+@query("sidecar_merge", f"SELECT coalesce(o.path, n.path) path, coalesce(n.doc_name, o.doc_name) doc_name, coalesce(n.publication_year, o.publication_year) publication_year FROM ({SIDECARS_SQL}) o FULL JOIN ({NEW_SIDECARS_SQL}) n ON o.path = n.path")
 def sidecar_merge(spark, d):
-    return store.merge_sidecar(SIDECARS.df(spark), NEW_SIDECARS.df(spark), "path", ["doc_name", "publication_year"])
+    return store.merge_sidecar(_rows(spark, d, SIDECARS_SQL), _rows(spark, d, NEW_SIDECARS_SQL), "path", ["doc_name", "publication_year"])
 
 
-META = Fixture(
-    "path string, explicit_name string, sidecar_name string, explicit_year int, content string",
-    ("/kb/smith_1999/content_vec.json", "", None, 0, "Published 2003"), ("/kb/x/deep_steel_vec.json", None, "Deep Steel", 2015, "no year"),
-    ("/kb/y/plain.json", "Given", "Side", 0, "in 2021 and 1980"), ("/kb/z/nothing.json", None, " ", 0, "none"),
-)
 _YEAR = "CAST(nullif(regexp_extract({}, '(?:19|20)[0-9][0-9]', 0), '') AS INTEGER)"
 
 
 @query("infer_doc_meta", rf"""SELECT path, coalesce(nullif(trim(explicit_name), ''), nullif(trim(sidecar_name), ''), CASE WHEN regexp_extract(path, '([^/]+?)(?:_vec|_vectors)?\.json$', 1) IN ('content', 'knowledge_blocks', 'output', 'result') THEN regexp_extract(path, '([^/]+)/[^/]+$', 1) ELSE regexp_extract(path, '([^/]+?)(?:_vec|_vectors)?\.json$', 1) END) doc_name,
- coalesce(CASE WHEN explicit_year > 0 THEN explicit_year END, {_YEAR.format('path')}, {_YEAR.format('content')}, 0) publication_year FROM {META.sql}""")
+ coalesce(CASE WHEN explicit_year > 0 THEN explicit_year END, {_YEAR.format('path')}, {_YEAR.format('content')}, 0) publication_year FROM ({META_SQL})""")
 def infer_doc_meta(spark, d):
-    return store.infer_meta(META.df(spark))
+    return store.infer_meta(_rows(spark, d, META_SQL))
 
 
 @query("upsert_latest", f"""WITH {C}, n AS (SELECT pk, reverse(content) AS content, 2 AS version FROM chunks WHERE paragraph_index % 3 = 0 UNION ALL SELECT 'new::' || pk, content, 1 FROM chunks WHERE paragraph_index = 1),

@@ -199,3 +199,22 @@ def test_idle_tails_go(spark, tmp_path):
     rows = streams.current(spark, str(tmp_path / "out"), "k string, slot int, t long, event_id long, event_type string", ["k", "slot"]).collect()
     assert sorted((r["k"], r["slot"], r["event_id"]) for r in rows if r["t"] is not None) == [("b", 0, 3), ("b", 1, 4)]
     assert sorted((r["k"], r["slot"]) for r in rows if r["t"] is None) == [("a", 0), ("a", 1)]
+
+
+def test_sidecars_and_what_they_leave_open(spark):
+    from corpuscle.sources import chunks as store
+
+    files = spark.createDataFrame([("/kb/a/one_vec.json",), ("/kb/b/two_vectors.json",), ("/kb/c/three_embedded.json",), ("/kb/d/four.json",)], "path string")
+    kind = "path string, doc_name string, publication_year int"
+    sidecars = spark.createDataFrame([("/kb/a/one_meta.json", "One", 2011), ("/kb/c/three_meta.json", "Three", None), ("/kb/x/none_meta.json", "None", 2000)], kind)
+    got = sorted((r["path"][4], r["doc_name"], r["publication_year"]) for r in store.with_sidecars(files, sidecars).collect())
+    assert got == [("a", "One", 2011), ("b", None, None), ("c", "Three", None), ("d", None, None)]
+    fresh = spark.createDataFrame([("/kb/a/one_meta.json", None, 2012), ("/kb/n/new_meta.json", "New", 2020)], kind)
+    merged = store.merge_sidecar(sidecars, fresh, "path", ["doc_name", "publication_year"]).collect()
+    assert sorted((r["path"][4], r["doc_name"], r["publication_year"]) for r in merged) == [("a", "One", 2012), ("c", "Three", None), ("n", "New", 2020), ("x", "None", 2000)]
+    meta = [
+        ("/kb/smith_1999/content_vec.json", "", None, 0, "Published 2003"), ("/kb/x/deep_steel_vec.json", None, "Deep Steel", 2015, "no year"),
+        ("/kb/y/plain.json", "Given", "Side", 0, "in 2021 and 1980"), ("/kb/z/nothing.json", None, " ", 0, "none"),
+    ]
+    rows = store.infer_meta(spark.createDataFrame(meta, "path string, explicit_name string, sidecar_name string, explicit_year int, content string")).orderBy("path").collect()
+    assert [(r["doc_name"], r["publication_year"]) for r in rows] == [("smith_1999", 1999), ("Deep Steel", 2015), ("Given", 2021), ("nothing", 0)]
