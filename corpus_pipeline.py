@@ -20,7 +20,10 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are near copies (five-word shingles, similarity 0.8 or more) the one with the smallest id."""
+    """Of documents that are near copies the one with the smallest id.
+
+    SimHash fingerprints find them, and their five-word shingles have to have a similarity of 0.8 or more.
+    """
     return near_copies.keep_one(docs)
 
 

@@ -65,14 +65,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 class BKTree:
     """A BK-tree over distinct 64-bit values: node k is ``values[k]``, and ``child`` lists the nodes in the order of ``key``.
 
-    ``key`` is 65 times the parent plus the distance to it, so the edges of a node within a range are one slice.
+    ``key`` is 65 times the parent plus the distance to it, so the edges of a node within a range are one slice. With
+    ``root`` there are several trees: it has the node that each value's tree starts from, a tree's values are distinct, and
+    the values themselves are the queries.
     """
 
-    def __init__(self, values: np.ndarray):
-        self.values = values
+    def __init__(self, values: np.ndarray, root: np.ndarray | None = None, block: int | None = None):
+        self.values, self.block = values, block or QUERIES
+        self.root = root
         parent, edge = np.zeros(len(values), np.int64), np.zeros(len(values), np.int64)
-        own = np.arange(1, len(values))
-        at = np.zeros(len(own), np.int64)  # the node that each value not yet in the tree has come to
+        inner = own = np.arange(1, len(values)) if root is None else np.flatnonzero(root != np.arange(len(values)))
+        at = np.zeros(len(own), np.int64) if root is None else root[own]  # the node that each value not yet in the tree has come to
         while len(own):
             distance = np.bitwise_count(values[own] ^ values[at]).astype(np.int64)
             _, first, same = np.unique(at * 65 + distance, return_index=True, return_inverse=True)
@@ -82,14 +85,14 @@ class BKTree:
             left[first] = False
             own, at = own[left], at[left]
         key = parent * 65 + edge
-        self.child = 1 + np.argsort(key[1:], kind="stable")
+        self.child = inner[np.argsort(key[inner], kind="stable")]
         self.key = key[self.child]
 
     def pairs(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Blocks of (index of query, index of value) within the radius."""
-        for at in range(0, len(queries) if len(self.values) else 0, QUERIES):
-            query = np.arange(at, min(at + QUERIES, len(queries)))
-            node = np.zeros(len(query), np.int64)
+        for at in range(0, len(queries) if len(self.values) else 0, self.block):
+            query = np.arange(at, min(at + self.block, len(queries)))
+            node = np.zeros(len(query), np.int64) if self.root is None else self.root[query]
             while len(query):
                 distance = np.bitwise_count(queries[query] ^ self.values[node]).astype(np.int64)
                 near = distance <= radius
@@ -114,10 +117,10 @@ def _join(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return labels
 
 
-def linked(values: np.ndarray, radius: int) -> np.ndarray:
-    """For each of the distinct values the index of its component's first value, links being at most radius bits."""
+def linked(values: np.ndarray, radius: int, root: np.ndarray | None = None, block: int | None = None) -> np.ndarray:
+    """For each of the distinct values (of a tree) the index of its component's first value, links being at most radius bits."""
     labels, held, size = np.arange(len(values)), [], 0
-    for i, j in BKTree(values).pairs(values, radius):
+    for i, j in BKTree(values, root, block).pairs(values, radius):
         keep = labels[i] != labels[j]
         held.append((i[keep], j[keep]))
         size += int(keep.sum())

@@ -4,11 +4,14 @@ import random
 import sys
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+
 sys.path.insert(0, str(Path(__file__).parent))
 import corpus_pipeline as pipeline
 from rows import none, odd
 
-from corpuscle.llm import near_copies
+from corpuscle.llm import near_copies, simhash
 
 
 def shingles(text: str | None, k: int = 5) -> frozenset[bytes]:
@@ -74,3 +77,50 @@ def test_no_text_is_lost_to_an_id_that_a_copy_has(spark):
     text, other = "alpha beta gamma delta epsilon zeta eta theta", "quite another text that nothing here is like at all"
     docs = spark.createDataFrame([(3, text), (5, text), (5, other), (9, other)], "doc_id long, text string")
     assert sorted(map(tuple, near_copies.keep_one(docs).collect())) == [(3, text), (5, other)]
+
+
+def test_near_copies_come_from_fingerprints_and_trees(spark, monkeypatch):
+    table = spark.createDataFrame([(1, "a b c d e f g h i"), (2, "a b c d e f g h i j")], "doc_id long, text string")
+    assert [r["doc_id"] for r in near_copies.keep_one(table).collect()] == [1]
+    one = near_copies.fingerprints(near_copies.shingle_set(b"a b c d e f g h i"))
+    assert len(one) == near_copies.WORDS
+    keys = [pa.RecordBatch.from_arrays([pa.array([7, 8, 9]), pa.array([one.tobytes(), one.tobytes(), (~one).tobytes()])], names=["rid", "fps"])]
+    dealt = pa.Table.from_batches(near_copies._dealt(iter(keys), 4, 20)).sort_by("shard").to_batches()
+    assert {(r["a"], r["b"]) for b in near_copies._search(iter(dealt)) for r in b.to_pylist()} == {(8, 7)}
+    monkeypatch.setattr(simhash.BKTree, "pairs", lambda self, queries, radius: iter([(np.arange(0), np.arange(0))]))
+    dealt = [b.take(pa.array([i for i, r in enumerate(b["rid"].to_pylist()) if r != 8])) for b in dealt]
+    assert not [r for b in near_copies._search(iter(dealt)) for r in b.to_pylist()]
+
+
+def test_many_tables_and_large_shards(spark, monkeypatch):
+    docs = planted()
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(near_copies, "FILL", 8)
+    assert near_copies.tables(len(docs))[0] >= 4
+    assert sorted(str(r["doc_id"]) for r in near_copies.keep_one(table).collect()) == brute_kept(docs)
+    monkeypatch.setattr(near_copies, "FILL", 1 << 7)
+    whole = near_copies.candidates(_keys(spark, docs))
+    monkeypatch.setattr(near_copies, "TREE_ROWS", 16)  # shards are dealt out as pairs of parts
+    parts = near_copies.candidates(_keys(spark, docs))
+    assert _components(whole) == _components(parts) != set()
+
+
+def _keys(spark, docs: list[tuple[int, str]]):
+    return spark.createDataFrame([(i, near_copies.fingerprints(near_copies.shingle_set(t.encode())).tobytes()) for i, t in docs], "rid long, fps binary")
+
+
+def _components(links) -> set[tuple[int, int]]:
+    return {(r["node"], r["root"]) for r in near_copies.connected_components(links, "a", "b").collect()}
+
+
+def test_least_similar_pairs_share_a_table():
+    rng, bits, count = np.random.default_rng(3), *near_copies.tables(200_000)
+    for shared, left, right in ((4, 0, 1), (12, 1, 2), (40, 5, 5), (400, 50, 50)):
+        found = 0
+        for _ in range(20):
+            own = rng.integers(0, 1 << 64, shared + left + right, np.uint64)
+            two = [near_copies.fingerprints(x).tobytes() for x in (own[: shared + left], np.r_[own[:shared], own[shared + left :]])]
+            keys = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array(two)], names=["rid", "fps"])
+            dealt = pa.Table.from_batches(near_copies._dealt(iter([keys]), bits, count)).sort_by("shard").to_batches()
+            found += any(b.num_rows for b in near_copies._search(iter(dealt)))
+        assert found == 20
