@@ -109,7 +109,10 @@ def _near(shard: np.ndarray, fp: np.ndarray, rid: np.ndarray) -> tuple[np.ndarra
     values, starts = fp[first].view(np.uint64), np.flatnonzero(np.r_[True, np.diff(shard[first]) != 0])
     sizes = np.diff(np.r_[starts, len(first)])
     labels = simhash.linked(values, RADIUS, np.repeat(starts, sizes), min(simhash.QUERIES, max(1, VISITS // int(sizes.max()))))
-    to = rid[first[labels[np.cumsum(new) - 1]]]
+    joined = labels[np.cumsum(new) - 1]
+    hub = np.full(len(first), np.iinfo(np.int64).max)  # the least of a component: tables agree on it more often than not
+    np.minimum.at(hub, joined, rid)
+    to = hub[joined]
     moved = to != rid
     return rid[moved], to[moved]
 

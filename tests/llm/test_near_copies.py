@@ -124,3 +124,15 @@ def test_least_similar_pairs_share_a_table():
             dealt = pa.Table.from_batches(near_copies._dealt(iter([keys]), bits, count)).sort_by("shard").to_batches()
             found += any(b.num_rows for b in near_copies._search(iter(dealt)))
         assert found == 20
+
+
+def test_links_of_a_group_have_few_hubs():
+    rng = np.random.default_rng(5)
+    own = rng.integers(0, 1 << 64, 200, np.uint64)
+    fps = [near_copies.fingerprints(np.r_[own, rng.integers(0, 1 << 64, 10, np.uint64)]).tobytes() for _ in range(300)]
+    keys = pa.RecordBatch.from_arrays([pa.array(np.arange(300)), pa.array(fps)], names=["rid", "fps"])
+    dealt = pa.Table.from_batches(near_copies._dealt(iter([keys]), *near_copies.tables(45_000))).sort_by("shard").to_batches()
+    links = {(r["a"], r["b"]) for b in near_copies._search(iter(dealt)) for r in b.to_pylist()}
+    assert {a for a, _ in links} | {0} == set(range(300))
+    assert all(a > b for a, b in links)
+    assert len(links) < 300 * 25
