@@ -35,7 +35,7 @@ DIFFER, MISS = 0.1615, 1e-7
 #: Texts in a shard, about, and at most; more of them (near copies of each other) are dealt out as pairs of parts.
 FILL, TREE_ROWS = 1 << 7, 1 << 12
 #: Pairs of query and node held at a time.
-VISITS = 1 << 20
+VISITS = 1 << 18
 #: Texts and shingles in one half of a cluster's shard; a larger cluster is dealt out as pairs of such parts.
 SHARD_ROWS, SHARD_SHINGLES = 1 << 11, 1 << 21
 #: Shingles whose bits are counted at a time: as many as a byte can count.

@@ -120,11 +120,12 @@ def _join(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def linked(values: np.ndarray, radius: int, root: np.ndarray | None = None, block: int | None = None) -> np.ndarray:
     """For each of the distinct values (of a tree) the index of its component's first value, links being at most radius bits."""
     labels, held, size = np.arange(len(values)), [], 0
+    most = 1 << 21 if block is None else 1 << 18
     for i, j in BKTree(values, root, block).pairs(values, radius):
         keep = labels[i] != labels[j]
         held.append((i[keep], j[keep]))
         size += int(keep.sum())
-        if size > 1 << 21:
+        if size > most:
             labels, held, size = _join(labels, *map(np.concatenate, zip(*held, strict=True))), [], 0
     return _join(labels, *map(np.concatenate, zip(*held, strict=True))) if held else labels
 
