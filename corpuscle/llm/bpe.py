@@ -196,18 +196,23 @@ def decode_ids(path: str, ids: bytes) -> str:
     return b"".join(map(strings.__getitem__, numbers.tolist())).decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: str | None = None) -> DataFrame:
     """``(<id_col>, ids, n_tokens)``, a row for each row of ``docs``; ids are little-endian unsigned 32-bit integers.
 
     A null or empty text has no tokens; special tokens' strings in a text become their ids; nothing is truncated.
-    Repeated rows and null ids pass as they are; other columns play no part.
+    Repeated rows and null ids pass as they are; other columns play no part. ``decoded`` names one more column: the text
+    of the ids, as :func:`decode` gives it, made by the same Python worker (a second step would have one more of them).
     """
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
+    fields = [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())]
+    schema = T.StructType(fields if decoded is None else [*fields, T.StructField(decoded, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = [encode_text(path, str(x.as_py(), "utf-8", "replace")) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], names=schema.names)
+            columns = [batch.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+            if decoded is not None:
+                columns.append(pa.array([decode_ids(path, x) for x in ids], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.select(F.col(id_col), text_bytes(text_col).alias("text")).mapInArrow(run, schema)
 

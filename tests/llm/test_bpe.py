@@ -80,3 +80,13 @@ def test_odd_rows(spark):
     assert bpe.encode(none(spark), path).count() == bpe.count_tokens(none(spark), path).count() == 0
     nulls = spark.createDataFrame([(1, None)], "doc_id long, ids binary")
     assert bpe.decode(nulls, path).first()["text"] == ""
+
+
+def test_round_trip_needs_one_python_worker_a_task(spark):
+    path = public_tokenizers.path(queries.BYTE_BPE)
+    docs = odd(spark)
+    plan = queries.round_trip(docs.select("doc_id", "text"), path)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    own = bpe.encode(docs, path, decoded="back")
+    two = bpe.decode(bpe.encode(docs, path), path, text_col="back")
+    assert sorted(map(str, own.select(*two.columns).collect())) == sorted(map(str, two.collect()))
