@@ -18,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -213,6 +214,20 @@ def _joined(column: pa.ChunkedArray, kind: str | np.dtype) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for x in column), kind)
 
 
+def _by_cell(keys: np.ndarray, rows: np.ndarray, cells: int) -> tuple[list[int], list[bytes]]:
+    """The cells that rows in the order of their keys fall in, and the rows of each: larger keys are never in an earlier cell."""
+    cell = cell_of(keys, cells)
+    first = np.flatnonzero(np.diff(cell, prepend=-1))
+    ends = np.append(first[1:], len(keys))[: len(first)]
+    return cell[first].tolist(), [rows[a:b].tobytes() for a, b in zip(first, ends, strict=True)]
+
+
+def _cut(data: bytes, like: pa.ChunkedArray, size: int, width: int) -> pa.Array:
+    """The answers to rows of questions, cut as these are: so many bytes a question, and an answer."""
+    ends = np.r_[0, np.cumsum(pc.binary_length(like).to_numpy() // size * width)].tolist()
+    return pa.array([data[a:b] for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
+
+
 def _blocks(batch: pa.RecordBatch, column: int, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
     """(first row, end, texts) of parts of a batch with about so much text."""
     texts: list[bytes] = []
@@ -357,23 +372,19 @@ def _scored_by_shuffle(rows: DataFrame, model: Model, schema: T.StructType) -> D
 
     def asked(table: pa.Table) -> pa.Table:
         found = grams([x.as_py() for x in table.column("text")], order)
-        keys = np.unique(np.concatenate(found.keys))
-        cell = cell_of(keys, n_cells)
-        words = _table(found.keys[0], found.checks, np.zeros(len(found.checks)))
-        word_cell = cell_of(words["key"], n_cells)
-        own = np.unique(cell)
-        return pa.table({"block": pa.array([table.column("block")[0].as_py()] * len(own), pa.int64()), "cell": pa.array(own, pa.int64()), "keys": pa.array([keys[cell == c].tobytes() for c in own], pa.binary()), "names": pa.array([words[word_cell == c].tobytes() for c in own], pa.binary())})
+        keys, words = np.unique(np.concatenate(found.keys)), _table(found.keys[0], found.checks, np.zeros(len(found.checks)))
+        own, parts = _by_cell(keys, keys, n_cells)
+        names = dict(zip(*_by_cell(words["key"], words, n_cells), strict=True))
+        return pa.table({"block": pa.array([table.column("block")[0].as_py()] * len(own), pa.int64()), "cell": pa.array(own, pa.int64()), "keys": pa.array(parts, pa.binary()), "names": pa.array([names.get(c, b"") for c in own], pa.binary())})
 
     def answered(key: tuple, asking: pa.Table, cells: pa.Table) -> pa.Table:
         own = [(0, r["filter"], r["words"]) for r in cells.to_pylist()]
         levels_of, counts = _loaded(own, {c: (len(f), len(w)) for c, f, w in own}, 1)
-        rows = asking.to_pylist()
-        keys, names = [np.frombuffer(r["keys"], "<u8") for r in rows], [np.frombuffer(r["names"], WORD) for r in rows]
-        held = [levels_of.level(k) for k in keys]
-        known = [counts.of(x["key"], x["check"]) for x in names]
-        out = [(r["block"], r["cell"], h.astype("<u1").tobytes(), c.astype("<i8").tobytes()) for r, h, c in zip(rows, held, known, strict=True)]
-        kinds = {"block": pa.int64(), "cell": pa.int64(), "held": pa.binary(), "counts": pa.binary()}
-        return pa.table({n: pa.array([o[k] for o in out], t) for k, (n, t) in enumerate(kinds.items())})
+        held = levels_of.level(_joined(asking.column("keys"), "<u8")).astype("<u1").tobytes()
+        names = _joined(asking.column("names"), WORD)
+        known = counts.of(names["key"], names["check"]).astype("<i8").tobytes()
+        out = {"block": asking.column("block"), "cell": asking.column("cell")}
+        return pa.table(out | {"held": _cut(held, asking.column("keys"), 8, 1), "counts": _cut(known, asking.column("names"), WORD.itemsize, 8)})
 
     def put(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
         found = grams([x.as_py() for x in docs.column("text")], order)
