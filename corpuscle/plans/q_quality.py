@@ -19,7 +19,7 @@ HITS = f"""{C}, {BQ}, {r.bm25_sql(12, 'bench')}, hits AS (SELECT query_id, CAST(
 
 
 def hits(spark, d):
-    found = lexical_index.search(benchmark_queries(spark, d), lexical(spark, d), 12).join(chunks(spark, d).select("pk", "doc_id", "doc_name", "type", "content"), "pk")
+    found = r.with_chunks(lexical_index.search(benchmark_queries(spark, d), lexical(spark, d), 12), chunks(spark, d).select("pk", "doc_id", "doc_name", "type", "content"))
     n, prose = F.col("doc_id").cast("long"), F.col("type").isin("text", "equation")
     route = F.when(prose, "progressive").when(F.col("type") == "summary", "summary").when(F.col("type") == "title", "local").otherwise("metadata")
     stage = F.when(prose, F.when(n % 3 == 0, "l1").otherwise("l2"))
