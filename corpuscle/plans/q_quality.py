@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpuscle.functions import questions, text, words
 from corpuscle.operators import context, evaluation, lexical_index, quality, retrieval as r
 from corpuscle.sources.chunks import CHUNKS_SQL as C
+from corpuscle.sources.shared import stored
 
 from .q_retrieval import BQ, benchmark_queries, lexical
 from .q_store import chunks
@@ -116,11 +117,12 @@ _NORM = "regexp_replace(translate(lower(coalesce({}, '')), '×∼－', 'x~-'), '
 _EVAL = f"{HITS}, gold AS (SELECT item_id AS question_id, text FROM benchmark), answers AS (SELECT item_id AS question_id, CASE WHEN item_id % 4 > 0 THEN left(text, CAST(12 + item_id % 30 AS INTEGER)) ELSE '' END AS text FROM benchmark), found AS (SELECT query_id AS question_id, pos AS rank, content AS text FROM hits), hay AS (SELECT question_id, {_NORM.format(chr(34) + 'all' + chr(34))} h FROM (SELECT question_id, string_agg(text, ' ' ORDER BY rank) AS \"all\" FROM found GROUP BY question_id))"
 
 
-def _evaluated(spark, d):
-    """(gold, answers, found)"""
+def _evaluated(spark, d, judged=None):
+    """(gold, answers, found), of hits that are at hand or searched for now"""
     items = benchmark_queries(spark, d).withColumnRenamed("query_id", "question_id")
     head = F.when(F.col("question_id") % 4 > 0, F.substring("q", F.lit(1), (F.col("question_id") % 30 + 12).cast("int"))).otherwise("")
-    found = hits(spark, d).select(F.col("query_id").alias("question_id"), F.col("pos").alias("rank"), F.col("content").alias("text"))
+    judged = hits(spark, d) if judged is None else judged
+    found = judged.select(F.col("query_id").alias("question_id"), F.col("pos").alias("rank"), F.col("content").alias("text"))
     return items.select("question_id", F.col("q").alias("text")), items.select("question_id", head.alias("text")), found
 
 
@@ -159,8 +161,9 @@ _RESULTS = f"(SELECT question_id AS id, eval_kind, CASE WHEN hit = 0 THEN 'not f
 
 @query("eval_rollup", f"WITH {_EVAL} SELECT CASE WHEN grouping(eval_kind) = 1 THEN 'ALL' ELSE eval_kind END AS eval_kind, count(*) AS n, count(*) FILTER (WHERE error IS NULL) AS success, round(avg(recall), 4) AS recall, round(avg(exact), 4) AS exact, round(avg(latency) FILTER (WHERE error IS NULL), 3) AS latency FROM {_RESULTS.format(recall=_GOLD_SQL, exact=_EXACT_SQL)} GROUP BY ROLLUP (eval_kind)")
 def eval_rollup(spark, d):
-    gold, answers, found = _evaluated(spark, d)
-    runs = hits(spark, d).groupBy(F.col("query_id").alias("question_id")).agg(F.min_by("route", "pos").alias("eval_kind"), (F.count("*") / 4.0).alias("latency"))
+    judged = stored(hits(spark, d), "judged-hits")
+    gold, answers, found = _evaluated(spark, d, judged)
+    runs = judged.groupBy(F.col("query_id").alias("question_id")).agg(F.min_by("route", "pos").alias("eval_kind"), (F.count("*") / 4.0).alias("latency"))
     own = runs.join(evaluation.gold_recall(gold, found), "question_id").join(evaluation.exact_hits(answers, found), "question_id")
     return evaluation.report(own.select("eval_kind", F.when(F.col("hit") == 0, "not found").alias("error"), "recall", F.col("hit").alias("exact"), "latency"))
 
