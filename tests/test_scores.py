@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +71,18 @@ def test_words_of_chunks_with_vectors(spark, tiny, monkeypatch):
         assert rows(q.worded_chunks(spark, tiny), "pk", "content") == want
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("most", [1, 40, 1 << 19])
+def test_words_taken_together(spark, tiny, monkeypatch, most):
+    chunks, questions = q.chunks(spark, tiny).where("cast(doc_id AS long) % 9 = 0"), q.benchmark_queries(spark, tiny).limit(8)
+    want = rows(by_shuffle(questions, chunks, 4), *RANKED)
+    monkeypatch.setattr(bm25_scores, "WORDS", most)
+    assert rows(retrieval.bm25(questions, chunks, 4), *RANKED) == want
+
+
+def test_parts_have_all_rows():
+    lists = pa.array([[1, 2, 3], [], [4], None, [5, 6, 7, 8], [9]], pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), lists], names=["n", "l"])
+    assert [p.column(0).to_pylist() for p in bm25_scores._parts(batch, 1, 4)] == [[0, 1, 2, 3], [4], [5]]
+    assert [p.num_rows for p in bm25_scores._parts(batch, 1, 100)] == [6] and not list(bm25_scores._parts(batch.slice(6), 1, 4))
